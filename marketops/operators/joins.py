@@ -184,7 +184,7 @@ def policy_join(df: DataFrame, policy: DataFrame, scopes: Mapping[str, str], nam
     return out.select(*df.columns, *[F.coalesce(*cols).alias(n) for n, cols in lookups.items()])
 
 
-def _search_at_or_below(values: np.ndarray, begin: np.ndarray, goal: np.ndarray) -> np.ndarray:
+def search_at_or_below(values: np.ndarray, begin: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """Index of the first value at or after ``begin`` that is <= ``goal``, or -1; all searches at once.
 
     A pyramid of pairwise minima is climbed and descended, so one search costs a logarithm.
@@ -219,27 +219,53 @@ def _search_at_or_below(values: np.ndarray, begin: np.ndarray, goal: np.ndarray)
     return np.where(hit, node, -1)
 
 
+def positions_in_group(ticks: pd.DataFrame, asks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sortable keys (instrument, time) of ticks and searches that share a group of instruments."""
+    codes, _ = pd.factorize(pd.concat([ticks["instrument"], asks["instrument"]]))
+    at = np.concatenate([ticks["at"].to_numpy("int64"), asks["at"].to_numpy("int64")])
+    low = int(at.min()) if len(at) else 0
+    span = int(at.max()) - low + 2 if len(at) else 1
+    keys = codes * span + (at - low)
+    return keys[: len(ticks)], keys[len(ticks):], low, span
+
+
 def _first_crossing(group: pd.DataFrame) -> pd.DataFrame:
-    """First price after each search start at or beyond its level, inside one instrument and bucket."""
-    prices = group[group["signal_id"].isna()].sort_values(["at", "seq"])
+    """First price after each search start at or beyond its level, inside one bucket and shard."""
+    ticks = group[group["signal_id"].isna()]
     asks = group[group["signal_id"].notna()]
-    at, price = prices["at"].to_numpy("int64"), prices["price"].to_numpy("int64")
-    begin = np.searchsorted(at, asks["at"].to_numpy("int64"), side="right")
+    tick_keys, ask_keys, _, span = positions_in_group(ticks, asks)
+    order = np.lexsort((ticks["seq"].to_numpy(), tick_keys))
+    keys = tick_keys[order]
+    at, price = ticks["at"].to_numpy("int64")[order], ticks["price"].to_numpy("int64")[order]
+    begin = np.searchsorted(keys, ask_keys, side="right")
+    # The instrument's own ticks end where the next instrument's keys begin.
+    end = np.searchsorted(keys, (ask_keys // span + 1) * span, side="left")
     level, long = asks["level"].to_numpy("int64"), asks["is_long"].to_numpy(bool)
     hit = np.full(len(asks), -1, dtype="int64")
     for side, sign in ((long, 1), (~long, -1)):
         if len(at) and side.any():
-            place = _search_at_or_below(sign * price, begin[side], sign * level[side])
-            hit[side] = np.where(place >= 0, at[place], -1)
+            place = search_at_or_below(sign * price, begin[side], sign * level[side])
+            hit[side] = np.where((place >= 0) & (place < end[side]), at[place], -1)
     return pd.DataFrame({"signal_id": asks["signal_id"].to_numpy(), "hit_us": hit})
 
 
+def grouped_search(asks: DataFrame, ticks: DataFrame, search, schema: str, shards: int) -> DataFrame:
+    """Run ``search`` on every (bucket, shard of instruments) holding searches and their ticks.
+
+    A group holds one time bucket of a share of the instruments. The number of tasks is fixed because
+    the work per row is Python's, which the size of the shuffled data does not show.
+    """
+    pool = asks.unionByName(ticks, allowMissingColumns=True).withColumn("shard", F.pmod(F.xxhash64("instrument"), F.lit(shards)))
+    tasks = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pool.repartition(tasks, "bucket", "shard").groupBy("bucket", "shard").applyInPandas(search, schema)
+
+
 def _units(price: str) -> Column:
     """A price as a whole number of its eighth decimal, exact in 64 bits."""
     return (F.col(price).cast(PRICE) * 100_000_000).cast("bigint")
 
 
-def first_invalidation(signals: DataFrame, snapshots: DataFrame, width: str | int = "1 day", price: str = "last") -> DataFrame:
+def first_invalidation(signals: DataFrame, snapshots: DataFrame, width: str | int = "1 day", price: str = "last", shards: int = 64) -> DataFrame:
     """First snapshot after the signal and within its horizon that crosses the invalidation level.
 
     Long signals are invalidated at or below the level, short ones at or above. Each signal looks up
@@ -264,8 +290,7 @@ def first_invalidation(signals: DataFrame, snapshots: DataFrame, width: str | in
         .withColumn("at", F.col("bucket") * width_us - 1)
     )
     searches = asks.unionByName(later)
-    pool = searches.unionByName(ticks, allowMissingColumns=True)
-    hits = pool.groupBy("instrument", "bucket").applyInPandas(_first_crossing, "signal_id string, hit_us long")
+    hits = grouped_search(searches, ticks, _first_crossing, "signal_id string, hit_us long", shards)
     first = hits.where("hit_us >= 0").groupBy("signal_id").agg(F.min("hit_us").alias("__hit"))
     inside = F.col("__hit") <= us("ts") + F.col("horizon_us")
     out = signals.join(first, "signal_id", "left")

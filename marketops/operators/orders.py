@@ -13,7 +13,7 @@ from marketops.functions.reasons import not_ok
 from marketops.functions.timing import bucket, micros, us
 from marketops.functions.windows import previous
 from marketops.operators.features import mid_spread
-from marketops.operators.joins import _search_at_or_below, asof_join
+from marketops.operators.joins import asof_join, grouped_search, positions_in_group, search_at_or_below
 from marketops.operators.portfolio import BY, ORDER, position_path, signed_qty
 
 # Our own transition table: states an order may move to. Terminal states lead nowhere.
@@ -150,14 +150,18 @@ def stale_orders(orders: DataFrame, signals: DataFrame, as_of: str) -> DataFrame
 
 
 def _trail_search(k: float):
-    """Search of one instrument and bucket for the first trailing-stop hit of each entry."""
+    """Search of one bucket and shard of instruments for the first trailing-stop hit of each entry."""
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        ticks = group[group["entry_id"].isna()].sort_values(["at", "seq"])
+        ticks = group[group["entry_id"].isna()]
         asks = group[group["entry_id"].notna()]
-        at, price = ticks["at"].to_numpy("int64"), ticks["price"].to_numpy("float64")
-        begin = np.searchsorted(at, asks["at"].to_numpy("int64"), side="right")
-        end = np.searchsorted(at, asks["until"].to_numpy("int64"), side="right")
+        tick_keys, ask_keys, low, span = positions_in_group(ticks, asks)
+        order = np.lexsort((ticks["seq"].to_numpy(), tick_keys))
+        keys, at, price = tick_keys[order], ticks["at"].to_numpy("int64")[order], ticks["price"].to_numpy("float64")[order]
+        begin = np.searchsorted(keys, ask_keys, side="right")
+        base = ask_keys // span * span
+        until = base + np.clip(asks["until"].to_numpy("int64") - low, -1, span - 1)
+        end = np.searchsorted(keys, until, side="right")
         sign, extreme = asks["sign"].to_numpy("int64"), asks["extreme"].to_numpy("float64")
         hit = np.full(len(asks), -1, dtype="int64")
         best = extreme.copy()
@@ -168,10 +172,10 @@ def _trail_search(k: float):
             # With the sign flipped for shorts, a hit is always a value at or below factor * running maximum.
             q, factor = s * price, 1 - s * k
             n = len(q)
-            drop = _search_at_or_below(q, np.arange(n) + 1, factor * q)
+            drop = search_at_or_below(q, np.arange(n) + 1, factor * q)
             drop = np.where(drop >= 0, drop, n)
             earliest = np.append(np.minimum.accumulate(drop[::-1])[::-1], n)
-            direct = _search_at_or_below(q, begin[mine], factor * s * extreme[mine])
+            direct = search_at_or_below(q, begin[mine], factor * s * extreme[mine])
             direct = np.where(direct >= 0, direct, n)
             place = np.minimum(direct, earliest[begin[mine]])
             found = place < end[mine]
@@ -181,12 +185,13 @@ def _trail_search(k: float):
             spans = np.stack([begin[mine], stop], axis=1)
             peak = np.where(spans[:, 1] > spans[:, 0], np.maximum.reduceat(padded, spans.ravel())[::2], -np.inf)
             best[mine] = s * np.maximum(s * extreme[mine], peak)
-        return pd.DataFrame({"entry_id": asks["entry_id"].to_numpy(), "bucket": asks["bucket"].to_numpy("int64"), "hit_us": hit, "extreme": best})
+        return pd.DataFrame({"entry_id": asks["entry_id"].to_numpy(), "hit_us": hit, "extreme": best})
 
     return search
 
 
-def trailing_stop_path(entries: DataFrame, snapshots: DataFrame, k: float, until: str, width: str | int = "1 day", price: str = "last") -> DataFrame:
+def trailing_stop_path(entries: DataFrame, snapshots: DataFrame, k: float, until: str, width: str | int = "1 day", price: str = "last",
+                       shards: int = 64) -> DataFrame:
     """Trailing stop per position entry: the level it reached and when it was first hit.
 
     ``entries(entry_id, instrument, direction, ts, price, closed_at)``. A long stop trails the highest
@@ -200,11 +205,9 @@ def trailing_stop_path(entries: DataFrame, snapshots: DataFrame, k: float, until
         "entry_id", "instrument", bucket("ts", width).alias("bucket"), us("ts").alias("at"), F.when(F.col("direction") == "long", 1).otherwise(-1).alias("sign"),
         F.col("price").cast("double").alias("extreme"), F.least(us("closed_at"), us(F.lit(until))).alias("until"),
     )
-    schema = "entry_id string, bucket long, hit_us long, extreme double"
 
     def search(asks: DataFrame) -> DataFrame:
-        pool = asks.unionByName(ticks, allowMissingColumns=True)
-        return pool.groupBy("instrument", "bucket").applyInPandas(_trail_search(k), schema)
+        return grouped_search(asks, ticks, _trail_search(k), "entry_id string, hit_us long, extreme double", shards)
 
     own = search(begin).select("entry_id", F.col("hit_us").alias("own_hit"), F.col("extreme").alias("own_extreme"))
     first = begin.join(own, "entry_id")

@@ -263,7 +263,7 @@ def decision_summary(decisions: DataFrame, reasons: str = "reason_codes") -> Dat
 def decision_pivot(decisions: DataFrame, outcomes: Sequence[str] = ("approved", "rejected")) -> DataFrame:
     """Approved and rejected counts side by side per strategy."""
     outcome = F.when(F.col("approved"), "approved").otherwise("rejected")
-    return decisions.withColumn("__o", outcome).groupBy("strategy_id").pivot("__o", list(outcomes)).agg(F.count("*")).na.fill(0)
+    return decisions.withColumn("__o", outcome).groupBy("strategy_id").pivot("__o", list(outcomes)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def funding_and_fees(fills: DataFrame, funding: DataFrame, by: Sequence[str] = ("account", "instrument"), width: str | int = "30 days") -> DataFrame:

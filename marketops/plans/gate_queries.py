@@ -350,7 +350,7 @@ def _(v):
 AUTHORIZED = unmet({
     "decision_missing": "d.ts IS NOT NULL", "decision_stale": "epoch_us(r.ts) - epoch_us(d.ts) BETWEEN 0 AND 600000000", "decision_rejected": "d.approved",
     "instrument_mismatch": "r.instrument = d.instrument",
-    "side_mismatch": "(r.side = CASE d.direction WHEN 'long' THEN 'buy' ELSE 'sell' END) <> coalesce(r.reduce_only, FALSE)",
+    "side_mismatch": "(r.side = CASE d.direction WHEN 'long' THEN 'buy' WHEN 'short' THEN 'sell' END) <> coalesce(r.reduce_only, FALSE)",
     "already_consumed": "r.rn = 1", "quantity_above_approved": "r.quantity <= d.quantity"})
 
 
@@ -449,7 +449,7 @@ GROUP BY g.signal_id"""
 
 @query("first_invalidation", ["fx_signal", "fx_snapshot"], FIRST_INVALIDATION_SQL)
 def _(v):
-    return plain(joins.first_invalidation(v("fx_signal"), v("fx_snapshot")).select("signal_id", "invalidated_at"))
+    return plain(joins.first_invalidation(v("fx_signal"), v("fx_snapshot"), shards=4).select("signal_id", "invalidated_at"))
 
 
 @query("unprotected_positions", ["fx_position", "fx_stop"], f"""
