@@ -37,13 +37,11 @@ def shift(ts: Column | str, by_us: Column | int) -> Column:
     return F.timestamp_micros(us(ts) + offset)
 
 
-def bucket(ts: Column | str, width: str | int) -> Column:
-    """Number of the fixed-width time bucket that holds ``ts``."""
+def bucket(ts: Column | str, width: str | int | None) -> Column | None:
+    """Number of the fixed-width time bucket that holds ``ts``; no width, no bucket."""
+    if width is None:
+        return None
     width_us = F.lit(micros(width))
     value = us(ts)
     return ((value - F.pmod(value, width_us)) / width_us).cast("bigint")
 
-
-def bucket_start(ts: Column | str, width: str | int) -> Column:
-    value = us(ts)
-    return F.timestamp_micros(value - F.pmod(value, F.lit(micros(width))))

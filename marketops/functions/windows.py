@@ -10,6 +10,10 @@ into *segments*: any value that never decreases along the window order, usually
              equal chunks; each chunk also gets the few neighbouring rows its frames reach into.
 
 Both keep every row and give the same values as the plain window.
+
+Where even one time bucket of a key may be too large for a task, pass no segment (``width=None`` in the
+operators): the rows are then range-partitioned by key and order, which splits at any row, and written
+to a reliable checkpoint so that their partition number can serve as the segment.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketops.functions.timing import as_column
+from marketops.session import materialize
 
 SEGMENT, IS_ROW, ROW_NUMBER = "__segment", "__is_row", "__row_number"
 CHUNK, HOME = "__chunk", "__home"
@@ -33,11 +38,21 @@ def _over(kind: str, value: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min}[kind](value)
 
 
+def range_segments(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Equal-sized segments whatever the skew: the partition number after a sort-range shuffle.
+
+    The checkpoint freezes the numbers; a partition lost later is read again, not cut anew.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *by, *order).withColumn(name, F.spark_partition_id().cast("bigint"))
+    return materialize(ranged)
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     aggs: Mapping[str, tuple[str, Column | str]],
     inclusive: bool = True,
     reverse: bool = False,
@@ -48,9 +63,13 @@ def running(
     itself; ``reverse`` walks from the latest row back, so ``last`` means the nearest later value.
     ``order`` must be unique within a key for the kinds that depend on it.
     """
+    columns = df.columns
+    if segment is None:
+        df = range_segments(df, by, order, "__range")
+        segment = F.col("__range")
     values = {name: f"__v_{i}" for i, name in enumerate(aggs)}
     rows = df.select(
-        "*",
+        *columns,
         segment.alias(SEGMENT),
         *[as_column(value).alias(values[name]) for name, (_, value) in aggs.items()],
         F.lit(1).alias(IS_ROW),
@@ -82,7 +101,7 @@ def running(
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     out = rows.unionByName(headers, allowMissingColumns=True).select(
-        *df.columns,
+        *columns,
         IS_ROW,
         *[_over(kind, F.col(values[name])).over(frame).alias(name) for name, (kind, _) in aggs.items()],
     )
@@ -93,7 +112,7 @@ def previous(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     columns: Mapping[str, Column | str],
     reverse: bool = False,
 ) -> DataFrame:
@@ -103,7 +122,7 @@ def previous(
     return out.select("*", *[F.col(f"__prev.{name}").alias(name) for name in columns]).drop("__prev")
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], segment: Column, name: str) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], segment: Column | None, name: str) -> DataFrame:
     """Exact row number per key, from 1."""
     return running(df, by, order, segment, {name: ("sum", F.lit(1).cast("bigint"))})
 
@@ -112,7 +131,7 @@ def rolling(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
-    segment: Column,
+    segment: Column | None,
     columns: Callable[[WindowSpec], Mapping[str, Column]],
     before: int,
     after: int = 0,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from decimal import Decimal
 
 import numpy as np
@@ -64,7 +64,10 @@ def asof_join(
 
 
 def signal_lineage(signals: DataFrame, decisions: DataFrame, requests: DataFrame, fills: DataFrame) -> DataFrame:
-    """signal -> decision -> request -> fills, keeping signals that stop early."""
+    """signal -> decision -> request -> fills, keeping signals that stop early.
+
+    Joined from the fills back, so no join ever meets a NULL key and no task collects them.
+    """
     s = signals.select("signal_id", "instrument", "strategy_id", F.col("ts").alias("signal_ts"))
     d = decisions.select("signal_id", "decision_id", "approved", F.col("ts").alias("decision_ts"))
     r = requests.select(
@@ -73,7 +76,9 @@ def signal_lineage(signals: DataFrame, decisions: DataFrame, requests: DataFrame
     f = fills.groupBy("client_order_id").agg(
         F.count("*").alias("fills"), F.sum("qty").alias("filled"), F.min("ts").alias("first_fill_ts"), F.max("ts").alias("last_fill_ts")
     )
-    return s.join(d, "signal_id", "left").join(r, "decision_id", "left").join(f, "client_order_id", "left")
+    filled = r.join(f, "client_order_id", "left")
+    decided = d.join(filled, "decision_id", "left")
+    return s.join(decided, "signal_id", "left")
 
 
 def missing_decisions(signals: DataFrame, decisions: DataFrame, timeout: str | int) -> DataFrame:
@@ -219,45 +224,90 @@ def search_at_or_below(values: np.ndarray, begin: np.ndarray, goal: np.ndarray)
     return np.where(hit, node, -1)
 
 
-def positions_in_group(ticks: pd.DataFrame, asks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Sortable keys (instrument, time) of ticks and searches that share a group of instruments."""
+def sorted_keys(ticks: pd.DataFrame, asks: pd.DataFrame, width_us: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ticks' order by (instrument, time, seq), and for each search the first tick after its start and
+    the end of its ticks: those of its own instrument and bucket, no later than its ``until``."""
     codes, _ = pd.factorize(pd.concat([ticks["instrument"], asks["instrument"]]))
-    at = np.concatenate([ticks["at"].to_numpy("int64"), asks["at"].to_numpy("int64")])
-    low = int(at.min()) if len(at) else 0
-    span = int(at.max()) - low + 2 if len(at) else 1
-    keys = codes * span + (at - low)
-    return keys[: len(ticks)], keys[len(ticks):], low, span
-
-
-def _first_crossing(group: pd.DataFrame) -> pd.DataFrame:
-    """First price after each search start at or beyond its level, inside one bucket and shard."""
-    ticks = group[group["signal_id"].isna()]
-    asks = group[group["signal_id"].notna()]
-    tick_keys, ask_keys, _, span = positions_in_group(ticks, asks)
+    n, start = len(ticks), asks["at"].to_numpy("int64")
+    stop = np.minimum((asks["bucket"].to_numpy("int64") + 1) * width_us, asks["until"].to_numpy("int64") + 1)
+    at = ticks["at"].to_numpy("int64")
+    low = min(at.min(), start.min(), stop.min())
+    span = max(at.max(), start.max(), stop.max()) - low + 2
+    tick_keys = codes[:n] * span + (at - low)
+    base = codes[n:] * span - low
     order = np.lexsort((ticks["seq"].to_numpy(), tick_keys))
     keys = tick_keys[order]
-    at, price = ticks["at"].to_numpy("int64")[order], ticks["price"].to_numpy("int64")[order]
-    begin = np.searchsorted(keys, ask_keys, side="right")
-    # The instrument's own ticks end where the next instrument's keys begin.
-    end = np.searchsorted(keys, (ask_keys // span + 1) * span, side="left")
-    level, long = asks["level"].to_numpy("int64"), asks["is_long"].to_numpy(bool)
-    hit = np.full(len(asks), -1, dtype="int64")
-    for side, sign in ((long, 1), (~long, -1)):
-        if len(at) and side.any():
-            place = search_at_or_below(sign * price, begin[side], sign * level[side])
-            hit[side] = np.where((place >= 0) & (place < end[side]), at[place], -1)
-    return pd.DataFrame({"signal_id": asks["signal_id"].to_numpy(), "hit_us": hit})
-
-
-def grouped_search(asks: DataFrame, ticks: DataFrame, search, schema: str, shards: int) -> DataFrame:
-    """Run ``search`` on every (bucket, shard of instruments) holding searches and their ticks.
-
-    A group holds one time bucket of a share of the instruments. The number of tasks is fixed because
-    the work per row is Python's, which the size of the shuffled data does not show.
+    begin = np.searchsorted(keys, base + start, side="right")
+    end = np.searchsorted(keys, base + stop, side="left")
+    return order, begin, np.maximum(begin, end)
+
+
+def range_max(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Largest of ``values[begin:end]`` for many ranges at once; -inf where a range is empty."""
+    out = np.full(len(begin), -np.inf)
+    size = end - begin
+    row, reach = values, 1
+    while reach <= len(values):
+        mine = (size >= reach) & (size < 2 * reach)
+        out[mine] = np.maximum(row[begin[mine]], row[end[mine] - reach])
+        row = np.maximum(row[:-reach], row[reach:]) if len(row) > reach else row[:0]
+        reach *= 2
+    return out
+
+
+def first_crossing(width_us: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """First price after each search start at or beyond its level, inside the search's bucket."""
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        ticks, asks = group[group["signal_id"].isna()], group[group["signal_id"].notna()]
+        hit = np.full(len(asks), -1, dtype="int64")
+        if len(ticks) and len(asks):
+            order, begin, end = sorted_keys(ticks, asks, width_us)
+            at, price = ticks["at"].to_numpy("int64")[order], ticks["price"].to_numpy("int64")[order]
+            level, long = asks["level"].to_numpy("int64"), asks["is_long"].to_numpy(bool)
+            for side, sign in ((long, 1), (~long, -1)):
+                place = search_at_or_below(sign * price, begin[side], sign * level[side])
+                hit[side] = np.where((place >= 0) & (place < end[side]), at[place], -1)
+        return pd.DataFrame({"signal_id": asks["signal_id"].to_numpy(), "hit_us": hit})
+
+    return search
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Re-cut sorted batches so that no (instrument, bucket) group is split between two of them."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = (batch["instrument"].iloc[-1], batch["bucket"].iloc[-1])
+        same = ((batch["instrument"] == key[0]) & (batch["bucket"] == key[1])).to_numpy()
+        cut = 0 if same.all() else len(same) - int(same[::-1].argmin())
+        if cut:
+            yield pd.concat([*held, batch.iloc[:cut]], ignore_index=True)
+            held = [batch.iloc[cut:]]
+        elif held and (held[-1]["instrument"].iloc[-1], held[-1]["bucket"].iloc[-1]) != key:
+            yield pd.concat(held, ignore_index=True)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def bucket_search(asks: DataFrame, ticks: DataFrame, search: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Run a vectorised ``search`` over the ticks of each (instrument, bucket) together with its searches.
+
+    One shuffle by instrument and bucket; a task walks its sorted groups batch by batch and holds no
+    more than one batch and one bucket of one instrument. The number of tasks is fixed because the work
+    per row is Python's, which the size of the shuffled data does not show.
     """
-    pool = asks.unionByName(ticks, allowMissingColumns=True).withColumn("shard", F.pmod(F.xxhash64("instrument"), F.lit(shards)))
+    pool = asks.unionByName(ticks, allowMissingColumns=True).where(F.col("instrument").isNotNull())
     tasks = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pool.repartition(tasks, "bucket", "shard").groupBy("bucket", "shard").applyInPandas(search, schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (search(group) for group in whole_groups(batches))
+
+    return pool.repartition(tasks, "instrument", "bucket").sortWithinPartitions("instrument", "bucket").mapInPandas(run, schema)
 
 
 def _units(price: str) -> Column:
@@ -265,32 +315,52 @@ def _units(price: str) -> Column:
     return (F.col(price).cast(PRICE) * 100_000_000).cast("bigint")
 
 
-def first_invalidation(signals: DataFrame, snapshots: DataFrame, width: str | int = "1 day", price: str = "last", shards: int = 64) -> DataFrame:
+def node_range(first: Column, last: Column) -> Column:
+    """Bucket numbers first..last as an array, empty when there are none."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def first_invalidation(signals: DataFrame, snapshots: DataFrame, width: str | int = "10 minutes", fanout: int = 36, price: str = "last") -> DataFrame:
     """First snapshot after the signal and within its horizon that crosses the invalidation level.
 
-    Long signals are invalidated at or below the level, short ones at or above. Each signal looks up
-    the extreme price of every later bucket up to its deadline (one pre-aggregated row per instrument
-    and bucket), and only its own bucket and the first bucket that crosses are searched row by row.
+    Long signals are invalidated at or below the level, short ones at or above. The extremes of every
+    instrument are pre-aggregated per bucket of ``width`` and per block of ``fanout`` buckets. A signal
+    looks up the blocks up to its deadline, then the buckets of its own block and of the first block
+    that crosses: equi joins on unique keys, a bounded number of them per signal. Only its own bucket
+    and the first crossing bucket are searched tick by tick.
     """
     width_us = micros(width)
+    block_us = width_us * fanout
     ticks = snapshots.select("instrument", bucket("ts", width).alias("bucket"), us("ts").alias("at"), "seq", _units(price).alias("price"))
-    asks = signals.select(
+    asks = signals.where(F.col("horizon_us") > 0).select(
         "signal_id", "instrument", us("ts").alias("at"), (us("ts") + F.col("horizon_us")).alias("until"),
         (F.col("direction") == "long").alias("is_long"), _units("invalidation_level").alias("level"), bucket("ts", width).alias("bucket"),
-    ).where(F.col("horizon_us") > 0)
-    extremes = ticks.groupBy("instrument", "bucket").agg(F.min("price").alias("lowest"), F.max("price").alias("highest"))
-    last_bucket = F.floor(F.col("until") / width_us).cast("bigint")
-    ahead = asks.where(last_bucket > F.col("bucket")).withColumn("bucket", F.explode(F.sequence(F.col("bucket") + 1, last_bucket)))
-    crossing = F.when(F.col("is_long"), F.col("lowest") <= F.col("level")).otherwise(F.col("highest") >= F.col("level"))
+    )
+    fine = ticks.groupBy("instrument", "bucket").agg(F.min("price").alias("lowest"), F.max("price").alias("highest"))
+    coarse = fine.groupBy("instrument", F.floor(F.col("bucket") / fanout).cast("bigint").alias("block")).agg(
+        F.min("lowest").alias("lowest"), F.max("highest").alias("highest")
+    )
+    crosses = F.when(F.col("is_long"), F.col("lowest") <= F.col("level")).otherwise(F.col("highest") >= F.col("level"))
+    end_bucket, end_block = (F.floor(F.col("until") / size).cast("bigint") for size in (width_us, block_us))
+    own_block = F.floor(F.col("bucket") / fanout).cast("bigint")
+
+    blocks = asks.select("signal_id", "instrument", "is_long", "level", F.explode(node_range(own_block + 1, end_block)).alias("block"))
+    hit_block = blocks.join(coarse, ["instrument", "block"]).where(crosses).groupBy("signal_id").agg(F.min("block").alias("hit_block"))
+    near = node_range(F.col("bucket") + 1, F.least(end_bucket, (own_block + 1) * fanout - 1))
+    far = F.when(F.col("hit_block").isNotNull(), F.sequence(F.col("hit_block") * fanout, (F.col("hit_block") + 1) * fanout - 1)).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    nodes = asks.join(hit_block, "signal_id", "left").select(
+        "signal_id", "instrument", "until", "is_long", "level", F.explode(F.concat(near, far)).alias("bucket")
+    )
     later = (
-        ahead.join(extremes, ["instrument", "bucket"])
-        .where(crossing)
+        nodes.join(fine, ["instrument", "bucket"])
+        .where(crosses)
         .groupBy("signal_id", "instrument", "until", "is_long", "level")
         .agg(F.min("bucket").alias("bucket"))
         .withColumn("at", F.col("bucket") * width_us - 1)
     )
-    searches = asks.unionByName(later)
-    hits = grouped_search(searches, ticks, _first_crossing, "signal_id string, hit_us long", shards)
+    hits = bucket_search(asks.unionByName(later), ticks, first_crossing(width_us), "signal_id string, hit_us long")
     first = hits.where("hit_us >= 0").groupBy("signal_id").agg(F.min("hit_us").alias("__hit"))
     inside = F.col("__hit") <= us("ts") + F.col("horizon_us")
     out = signals.join(first, "signal_id", "left")

@@ -36,14 +36,15 @@ def time_in_state(timeline: DataFrame) -> DataFrame:
     )
 
 
-def exposure_outside_ready(requests: DataFrame, states: DataFrame, path: DataFrame, by: Sequence[str] = ("account", "instrument"), width: str | int = "1 day") -> DataFrame:
+def exposure_outside_ready(requests: DataFrame, states: DataFrame, path: DataFrame, by: Sequence[str] = ("account", "instrument"),
+                           width: str | int | None = "10 minutes", path_width: str | int | None = "1 day") -> DataFrame:
     """Requests sent while the runtime was not READY and that do not provably lower exposure.
 
     In DEGRADED and HALTED a reduce-only request against a known opposite position of at least its size
     is tolerated. An unknown state or position is a violation. ``path`` is the position path.
     """
     at = asof_join(requests, states.select("from_ts", "seq", "state"), [], right_on="from_ts", width=width, name="__state")
-    held = asof_join(at, path.select(*by, "ts", "position", F.col("fill_id").alias("seq")), list(by), width=width, name="__held")
+    held = asof_join(at, path.select(*by, "ts", "position", F.col("fill_id").alias("seq")), list(by), width=path_width, name="__held")
     state, pos = F.col("__state.state"), F.col("__held.position")
     opposite = F.when(F.col("side") == "buy", pos < 0).when(F.col("side") == "sell", pos > 0)
     reduces = F.col("reduce_only") & opposite & (F.col("quantity") <= F.abs(pos))
@@ -51,7 +52,7 @@ def exposure_outside_ready(requests: DataFrame, states: DataFrame, path: DataFra
     return held.where(~F.coalesce(fine, F.lit(False))).select(*requests.columns, state.alias("state"), pos.alias("position"))
 
 
-def kill_switch_audit(requests: DataFrame, switches: DataFrame, width: str | int = "1 day") -> DataFrame:
+def kill_switch_audit(requests: DataFrame, switches: DataFrame, width: str | int | None = "10 minutes") -> DataFrame:
     """New exposure requested while the kill switch was engaged."""
     graded = covered_by(requests, switches, [], "engaged_at", "released_at", width=width, flag="__killed")
     return graded.where(F.col("__killed") & ~F.coalesce(F.col("reduce_only"), F.lit(False))).drop("__killed")

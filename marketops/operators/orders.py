@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,9 @@ from marketops.functions.reasons import not_ok
 from marketops.functions.timing import bucket, micros, us
 from marketops.functions.windows import previous
 from marketops.operators.features import mid_spread
-from marketops.operators.joins import asof_join, grouped_search, positions_in_group, search_at_or_below
+from marketops.operators.joins import asof_join, bucket_search, node_range, range_max, search_at_or_below, sorted_keys
 from marketops.operators.portfolio import BY, ORDER, position_path, signed_qty
+from marketops.session import materialize
 
 # Our own transition table: states an order may move to. Terminal states lead nowhere.
 ALLOWED_TRANSITIONS: dict[str, tuple[str, ...]] = {
@@ -149,55 +150,45 @@ def stale_orders(orders: DataFrame, signals: DataFrame, as_of: str) -> DataFrame
     return joined.where(~F.coalesce(F.col("deadline") > F.lit(as_of).cast("timestamp"), F.lit(False)))
 
 
-def _trail_search(k: float):
-    """Search of one bucket and shard of instruments for the first trailing-stop hit of each entry."""
+def _trail_search(k: float, width_us: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """First trailing-stop hit of each entry inside its bucket, and the extreme reached by then."""
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        ticks = group[group["entry_id"].isna()]
-        asks = group[group["entry_id"].notna()]
-        tick_keys, ask_keys, low, span = positions_in_group(ticks, asks)
-        order = np.lexsort((ticks["seq"].to_numpy(), tick_keys))
-        keys, at, price = tick_keys[order], ticks["at"].to_numpy("int64")[order], ticks["price"].to_numpy("float64")[order]
-        begin = np.searchsorted(keys, ask_keys, side="right")
-        base = ask_keys // span * span
-        until = base + np.clip(asks["until"].to_numpy("int64") - low, -1, span - 1)
-        end = np.searchsorted(keys, until, side="right")
-        sign, extreme = asks["sign"].to_numpy("int64"), asks["extreme"].to_numpy("float64")
+        ticks, asks = group[group["entry_id"].isna()], group[group["entry_id"].notna()]
         hit = np.full(len(asks), -1, dtype="int64")
+        extreme = asks["extreme"].to_numpy("float64")
         best = extreme.copy()
-        for s in (1, -1):
-            mine = np.flatnonzero(sign == s)
-            if not len(mine) or not len(at):
-                continue
-            # With the sign flipped for shorts, a hit is always a value at or below factor * running maximum.
-            q, factor = s * price, 1 - s * k
-            n = len(q)
-            drop = search_at_or_below(q, np.arange(n) + 1, factor * q)
-            drop = np.where(drop >= 0, drop, n)
-            earliest = np.append(np.minimum.accumulate(drop[::-1])[::-1], n)
-            direct = search_at_or_below(q, begin[mine], factor * s * extreme[mine])
-            direct = np.where(direct >= 0, direct, n)
-            place = np.minimum(direct, earliest[begin[mine]])
-            found = place < end[mine]
-            hit[mine[found]] = at[place[found]]
-            stop = np.where(found, place + 1, np.maximum(end[mine], begin[mine]))
-            padded = np.append(q, -np.inf)
-            spans = np.stack([begin[mine], stop], axis=1)
-            peak = np.where(spans[:, 1] > spans[:, 0], np.maximum.reduceat(padded, spans.ravel())[::2], -np.inf)
-            best[mine] = s * np.maximum(s * extreme[mine], peak)
+        if len(ticks) and len(asks):
+            order, begin, end = sorted_keys(ticks, asks, width_us)
+            at, price = ticks["at"].to_numpy("int64")[order], ticks["price"].to_numpy("float64")[order]
+            sign, n = asks["sign"].to_numpy("int64"), len(price)
+            for s in (1, -1):
+                mine = np.flatnonzero(sign == s)
+                # With the sign flipped for shorts, a hit is always a value at or below factor * running maximum.
+                q, factor, start = s * price, 1 - s * k, begin[mine]
+                drop = search_at_or_below(q, np.arange(n) + 1, factor * q)
+                earliest = np.append(np.minimum.accumulate(np.where(drop >= 0, drop, n)[::-1])[::-1], n)
+                direct = search_at_or_below(q, start, factor * s * extreme[mine])
+                place = np.minimum(np.where(direct >= 0, direct, n), earliest[start])
+                found = place < end[mine]
+                hit[mine[found]] = at[place[found]]
+                peak = range_max(q, start, np.where(found, place + 1, end[mine]))
+                best[mine] = s * np.maximum(s * extreme[mine], peak)
         return pd.DataFrame({"entry_id": asks["entry_id"].to_numpy(), "hit_us": hit, "extreme": best})
 
     return search
 
 
-def trailing_stop_path(entries: DataFrame, snapshots: DataFrame, k: float, until: str, width: str | int = "1 day", price: str = "last",
-                       shards: int = 64) -> DataFrame:
+def trailing_stop_path(entries: DataFrame, snapshots: DataFrame, k: float, until: str, width: str | int = "10 minutes", fanout: int = 36,
+                       price: str = "last") -> DataFrame:
     """Trailing stop per position entry: the level it reached and when it was first hit.
 
     ``entries(entry_id, instrument, direction, ts, price, closed_at)``. A long stop trails the highest
     price since entry times (1 - k), a short one the lowest times (1 + k); prices after ``closed_at``
-    (or ``until``) do not count. Whole buckets between entry and close are judged from one
-    pre-aggregated row; only the first and the deciding bucket of an entry are searched by tick.
+    (or ``until``) do not count. Buckets of ``width`` and blocks of ``fanout`` buckets are judged from
+    pre-aggregated rows: their extremes and whether the price falls (rises) by ``k`` inside them. An
+    entry walks its own block by buckets, then whole blocks, then the deciding block by buckets; only
+    its first and its deciding bucket are searched tick by tick.
     """
     width_us = micros(width)
     ticks = snapshots.select("instrument", bucket("ts", width).alias("bucket"), us("ts").alias("at"), "seq", F.col(price).cast("double").alias("price"))
@@ -205,41 +196,65 @@ def trailing_stop_path(entries: DataFrame, snapshots: DataFrame, k: float, until
         "entry_id", "instrument", bucket("ts", width).alias("bucket"), us("ts").alias("at"), F.when(F.col("direction") == "long", 1).otherwise(-1).alias("sign"),
         F.col("price").cast("double").alias("extreme"), F.least(us("closed_at"), us(F.lit(until))).alias("until"),
     )
+    long = F.col("sign") == 1
 
     def search(asks: DataFrame) -> DataFrame:
-        return grouped_search(asks, ticks, _trail_search(k), "entry_id string, hit_us long, extreme double", shards)
-
-    own = search(begin).select("entry_id", F.col("hit_us").alias("own_hit"), F.col("extreme").alias("own_extreme"))
-    first = begin.join(own, "entry_id")
-
-    run = Window.partitionBy("instrument", "bucket").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    walked = ticks.withColumns({
-        "fell": (F.col("price") <= (1 - k) * F.max("price").over(run)).cast("int"),
-        "rose": (F.col("price") >= (1 + k) * F.min("price").over(run)).cast("int"),
-    })
-    shape = walked.groupBy("instrument", "bucket").agg(
-        F.max("price").alias("hi"), F.min("price").alias("lo"), F.max("fell").alias("fell"), F.max("rose").alias("rose")
-    )
-    last_bucket = F.floor(F.col("until") / width_us).cast("bigint")
-    waiting = first.where((F.col("own_hit") < 0) & (last_bucket > F.col("bucket"))).withColumn("last_bucket", last_bucket)
-    ahead = waiting.withColumn("bucket", F.explode(F.sequence(F.col("bucket") + 1, "last_bucket"))).join(shape, ["instrument", "bucket"])
-    earlier = Window.partitionBy("entry_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    long = F.col("sign") == 1
-    ahead = ahead.withColumn(
-        "level", F.when(long, F.greatest("own_extreme", F.max("hi").over(earlier))).otherwise(F.least("own_extreme", F.min("lo").over(earlier)))
-    )
-    hits = F.when(long, (F.col("fell") == 1) | (F.col("lo") <= (1 - k) * F.col("level"))).otherwise((F.col("rose") == 1) | (F.col("hi") >= (1 + k) * F.col("level")))
-    decides = ahead.where(hits | (F.col("bucket") == F.col("last_bucket")))
-    chosen = decides.groupBy("entry_id").agg(F.min_by(F.struct("instrument", "bucket", "sign", "level", "until"), "bucket").alias("c"))
-    second = search(chosen.select(
-        "entry_id", "c.instrument", "c.bucket", (F.col("c.bucket") * width_us - 1).alias("at"), "c.sign", F.col("c.level").alias("extreme"), "c.until"
+        return bucket_search(asks, ticks, _trail_search(k, width_us), "entry_id string, hit_us long, extreme double")
+
+    def shape(rows: DataFrame, keys: Sequence[str], order: Sequence[str], hi: str, lo: str, inner: Sequence[str] = ()) -> DataFrame:
+        """Extremes of each node and whether a stop trailing inside it alone would be hit."""
+        run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        fell, rose = F.col(lo) <= (1 - k) * F.max(hi).over(run), F.col(hi) >= (1 + k) * F.min(lo).over(run)
+        if inner:
+            before = run.rowsBetween(Window.unboundedPreceding, -1)
+            fell = (F.col("fell") == 1) | F.coalesce(F.col(lo) <= (1 - k) * F.max(hi).over(before), F.lit(False))
+            rose = (F.col("rose") == 1) | F.coalesce(F.col(hi) >= (1 + k) * F.min(lo).over(before), F.lit(False))
+        walked = rows.select(*keys, F.col(hi).alias("h"), F.col(lo).alias("l"), fell.cast("int").alias("fell"), rose.cast("int").alias("rose"))
+        return walked.groupBy(*keys).agg(F.max("h").alias("hi"), F.min("l").alias("lo"), F.max("fell").alias("fell"), F.max("rose").alias("rose"))
+
+    fine = shape(ticks, ["instrument", "bucket"], ["at", "seq"], "price", "price")
+    blocked = fine.withColumn("block", F.floor(F.col("bucket") / fanout).cast("bigint"))
+    coarse = shape(blocked, ["instrument", "block"], ["bucket"], "hi", "lo", inner=("fell", "rose"))
+
+    def walk(asks: DataFrame, nodes: DataFrame, node: str, final: str) -> DataFrame:
+        """Add to each ask the first node whose row tells of a hit (or the node ``final``), the extreme
+        before it, and the extreme after all nodes."""
+        seen = asks.select("entry_id", "instrument", "sign", "extreme", final, F.explode("nodes").alias(node)).join(nodes, ["instrument", node])
+        earlier = Window.partitionBy("entry_id").orderBy(node).rowsBetween(Window.unboundedPreceding, -1)
+        level = F.when(long, F.greatest("extreme", F.max("hi").over(earlier))).otherwise(F.least("extreme", F.min("lo").over(earlier)))
+        seen = seen.withColumn("level", level)
+        hit = F.when(long, (F.col("fell") == 1) | (F.col("lo") <= (1 - k) * F.col("level"))).otherwise((F.col("rose") == 1) | (F.col("hi") >= (1 + k) * F.col("level")))
+        stops = F.when(hit | (F.col(node) == F.col(final)), F.col(node))
+        found = seen.groupBy("entry_id").agg(
+            F.min(stops).alias("stop_node"), F.min_by(F.when(stops.isNotNull(), F.col("level")), stops).alias("stop_extreme"),
+            F.max("hi").alias("hi"), F.min("lo").alias("lo"),
+        )
+        joined = asks.drop("nodes").join(found, "entry_id", "left")
+        after = F.when(long, F.greatest("extreme", "hi")).otherwise(F.least("extreme", "lo"))
+        return joined.withColumn("extreme", F.coalesce("stop_extreme", after)).drop("hi", "lo", "stop_extreme")
+
+    own = materialize(search(begin))
+    first = begin.drop("extreme").join(own, "entry_id")
+    end_bucket = F.floor(F.col("until") / width_us).cast("bigint")
+    end_block = F.floor(F.col("until") / (width_us * fanout)).cast("bigint")
+    own_block = F.floor(F.col("bucket") / fanout).cast("bigint")
+    waiting = first.where("hit_us < 0").select("entry_id", "instrument", "sign", "until", "extreme", end_bucket.alias("end_bucket"), end_block.alias("end_block"),
+                                               own_block.alias("own_block"), F.col("bucket").alias("own"))
+    none = F.array().cast("array<bigint>")
+    near = waiting.withColumn("nodes", node_range(F.col("own") + 1, F.least("end_bucket", (F.col("own_block") + 1) * fanout - 1)))
+    near = walk(near, fine, "bucket", "end_bucket").withColumnRenamed("stop_node", "near_bucket")
+    over = near.withColumn("nodes", F.when(F.col("near_bucket").isNull(), node_range(F.col("own_block") + 1, F.col("end_block"))).otherwise(none))
+    over = walk(over, coarse, "block", "end_block").withColumnRenamed("stop_node", "hit_block")
+    inside = F.sequence(F.col("hit_block") * fanout, F.least("end_bucket", (F.col("hit_block") + 1) * fanout - 1))
+    far = walk(over.withColumn("nodes", F.when(F.col("hit_block").isNotNull(), inside).otherwise(none)), fine, "bucket", "end_bucket")
+    decided = materialize(far.withColumn("bucket", F.coalesce("near_bucket", "stop_node")))
+    second = search(decided.where(F.col("bucket").isNotNull()).select(
+        "entry_id", "instrument", "bucket", (F.col("bucket") * width_us - 1).alias("at"), "sign", "extreme", "until"
     )).select("entry_id", F.col("hit_us").alias("later_hit"), F.col("extreme").alias("later_extreme"))
-    # Entries whose last bucket holds no tick end with the extreme of the buckets they did pass.
-    passed = ahead.groupBy("entry_id").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    out = first.join(second, "entry_id", "left").join(passed, "entry_id", "left")
-    through = F.when(long, F.greatest("own_extreme", "hi")).otherwise(F.least("own_extreme", "lo"))
-    extreme = F.when(F.col("own_hit") >= 0, F.col("own_extreme")).otherwise(F.coalesce("later_extreme", through))
-    hit_us = F.when(F.col("own_hit") >= 0, F.col("own_hit")).when(F.col("later_hit") >= 0, F.col("later_hit"))
+    passed = decided.select("entry_id", F.col("extreme").alias("passed_extreme"))
+    out = first.join(passed, "entry_id", "left").join(second, "entry_id", "left")
+    extreme = F.coalesce("later_extreme", "passed_extreme", "extreme")
+    hit_us = F.when(F.col("hit_us") >= 0, F.col("hit_us")).when(F.col("later_hit") >= 0, F.col("later_hit"))
     return out.select(
         "entry_id", "instrument", extreme.alias("extreme"), (extreme * (1 - F.col("sign") * k)).alias("stop_level"), F.timestamp_micros(hit_us).alias("hit_at")
     )

@@ -20,7 +20,7 @@ _MID = "CAST(ask + bid AS DOUBLE) / 2"
 def deadlines(v: Inputs):
     s = v("fx_signal").withColumn("policy_expiry", F.when(F.col("k") < 40, F.col("ts") + F.expr("INTERVAL 6 HOUR")))
     limited = joins.policy_join(s, v("fx_policy"), {"instrument": "instrument"}, ["max_age_us"])
-    ended = joins.first_invalidation(limited, v("fx_snapshot"), shards=4)
+    ended = joins.first_invalidation(limited, v("fx_snapshot"))
     return signals.signal_deadline(ended)
 
 
@@ -185,7 +185,7 @@ def _(v):
         F.col("fill_id").alias("entry_id"), "instrument", F.when(F.col("side") == "buy", "long").otherwise("short").alias("direction"), "ts", "price",
         (F.col("ts") + F.expr("INTERVAL 200 HOUR")).alias("closed_at"),
     )
-    out = orders.trailing_stop_path(entries, v("fx_snapshot"), 0.3, "2024-01-25 00:00:00", shards=4)
+    out = orders.trailing_stop_path(entries, v("fx_snapshot"), 0.3, "2024-01-25 00:00:00")
     return plain(out.select("entry_id", "extreme", "hit_at"))
 
 
@@ -429,9 +429,12 @@ def decisions(v: Inputs):
     return risk.risk_gate(sig, v("fx_snapshot"), gate_accounts(v), limits)
 
 
-@query("risk_gate", ["fx_signal", "fx_snapshot", "fx_policy"], _GATE + f"""
+GATE_SQL = _GATE + f"""
 SELECT signal_id, reasons = '' AS approved, reasons AS reason_codes, {d("CASE WHEN reasons = '' THEN q ELSE 0 END", 'quantity', 4)},
-       {d("CASE WHEN reasons = '' THEN q * mid ELSE 0 END", 'notional', 2)}, {d('lim', 'max_leverage')} FROM decided""")
+       {d("CASE WHEN reasons = '' THEN q * mid ELSE 0 END", 'notional', 2)}, {d('lim', 'max_leverage')} FROM decided"""
+
+
+@query("risk_gate", ["fx_signal", "fx_snapshot", "fx_policy"], GATE_SQL)
 def _(v):
     out = decisions(v).select("signal_id", "approved", "reason_codes", "quantity", "notional", "max_leverage")
     return plain(out, quantity=4, notional=2)

@@ -305,7 +305,7 @@ def _(v):
     from marketops.functions.windows import numbered
 
     ordered = quality.total_order(v("fx_raw"))
-    return plain(numbered(ordered, [], list(quality.REPLAY_ORDER), bucket("event_ts", "1 day"), "place").select("seq", "place"))
+    return plain(numbered(ordered, [], list(quality.REPLAY_ORDER), bucket("event_ts", "10 minutes"), "place").select("seq", "place"))
 
 
 # Joins
@@ -449,7 +449,7 @@ GROUP BY g.signal_id"""
 
 @query("first_invalidation", ["fx_signal", "fx_snapshot"], FIRST_INVALIDATION_SQL)
 def _(v):
-    return plain(joins.first_invalidation(v("fx_signal"), v("fx_snapshot"), shards=4).select("signal_id", "invalidated_at"))
+    return plain(joins.first_invalidation(v("fx_signal"), v("fx_snapshot")).select("signal_id", "invalidated_at"))
 
 
 @query("unprotected_positions", ["fx_position", "fx_stop"], f"""
