@@ -44,6 +44,9 @@ def size_positions(df: DataFrame) -> DataFrame:
     known = F.lit(True)
     for name in SIZING_INPUTS:
         known = known & F.col(name).isNotNull()
+    # ``least`` skips NULLs, so a cap that cannot be computed (no stop distance) must be ruled out here.
+    for cap in caps:
+        known = known & cap.isNotNull()
     usable = known & (entry > 0) & (F.col("equity") > 0) & (F.least(*caps) > 0)
     quantity = F.when(F.coalesce(usable, F.lit(False)), _floor8(F.least(*caps))).otherwise(F.lit(0)).cast(PRICE)
     sized = df.withColumn("quantity", quantity)

@@ -13,6 +13,7 @@ W = "30 days"
 _SIGNED = "CASE WHEN side = 'buy' THEN CAST(qty AS DECIMAL(38,8)) ELSE -CAST(qty AS DECIMAL(38,8)) END"
 _CASH = "CASE WHEN side = 'buy' THEN -CAST(qty AS DECIMAL(38,8)) * price ELSE CAST(qty AS DECIMAL(38,8)) * price END"
 _MID = "CAST(ask + bid AS DOUBLE) / 2"
+_FLOOR8 = "floor({0} * 100000000 + 0.001) / 100000000"
 
 
 # Signal lifecycle
@@ -277,8 +278,8 @@ def sizing_inputs(v: Inputs):
 
 
 @query("size_positions", ["fx_signal"], f"""
-SELECT signal_id, {d('q', 'quantity', 4)}, {d('q * entry', 'notional', 3)}, {d('coalesce(q * entry / equity, 0)', 'leverage', 4)} FROM (
-  SELECT *, CASE WHEN budget > 0 AND equity > 0 AND k > 0 THEN least(budget / 20.0, 5000 / entry, k * 100 / entry, lim * equity / entry) ELSE 0 END AS q FROM (
+SELECT signal_id, {d('q', 'quantity', 4)}, {d('q * entry', 'notional', 3)}, {d('coalesce(round(q * entry / equity, 8), 0)', 'leverage', 4)} FROM (
+  SELECT *, CASE WHEN budget > 0 AND equity > 0 AND k > 0 THEN {_FLOOR8.format('least(budget / 20.0, 5000 / entry, k * 100 / entry, lim * equity / entry)')} ELSE 0 END AS q FROM (
     SELECT signal_id, k, CAST(px AS DOUBLE) AS entry, CASE WHEN k <> 13 THEN k * 10 END AS budget, CASE WHEN value > 5 THEN 10000 + k END AS equity, 1 + event_id % 5 AS lim FROM fx_signal) a) b""")
 def _(v):
     out = risk.size_positions(sizing_inputs(v)).select("signal_id", "quantity", "notional", "leverage")
@@ -419,7 +420,7 @@ checked AS (
   LEFT JOIN fx_policy t ON t.scope = 'strategy' AND t.name = 'max_leverage' AND t.key = f.strategy_id),
 sized AS (
   SELECT *, CASE WHEN mid > 0 AND equity > 0 AND liquidity > 0 AND abs(mid - CAST(stop AS DOUBLE)) > 0
-                 THEN least(200 / abs(mid - CAST(stop AS DOUBLE)), 4000 / mid, 0.5 * CAST(liquidity AS DOUBLE) / mid, CAST(lim AS DOUBLE) * equity / mid) ELSE 0 END AS q FROM checked),
+                 THEN {_FLOOR8.format('least(200 / abs(mid - CAST(stop AS DOUBLE)), 4000 / mid, 0.5 * CAST(liquidity AS DOUBLE) / mid, CAST(lim AS DOUBLE) * equity / mid)')} ELSE 0 END AS q FROM checked),
 decided AS (SELECT *, concat_ws(',', nullif(r0, ''), CASE WHEN q <= 0 THEN 'size_zero' END) AS reasons FROM sized)"""
 
 

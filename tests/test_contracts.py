@@ -129,3 +129,15 @@ def test_strictest_limit_never_exceeds_the_ceiling(spark):
     limits = spark.createDataFrame([("account", "a", 50.0), ("account", "b", 2.0)], "scope string, key string, value double")
     out = {r.account: (float(r.limit), r.above) for r in contracts.strictest_leverage_limit(df, limits, {"account": "account"}).collect()}
     assert out == {"a": (20.0, True), "b": (2.0, True), "none": (20.0, True)}
+
+
+def test_sizing_without_a_stop_distance_is_zero(spark):
+    from marketops.operators.risk import SIZING_INPUTS, size_positions
+
+    base = {"entry": D(100), "stop": D(95), "risk_budget": D(10), "max_notional": D(5000), "liquidity": D(9000), "liquidity_fraction": D("0.5"), "equity": D(1000), "limit": D(3)}
+    rows = [base, {**base, "stop": D(100)}, {**base, "limit": D(0)}, {**base, "stop": D("99.99")}] + [{**base, name: None} for name in SIZING_INPUTS]
+    schema = ", ".join(f"{name} decimal(18,8)" for name in base)
+    out = [(float(r.quantity), float(r.notional), float(r.leverage)) for r in size_positions(spark.createDataFrame(rows, schema)).collect()]
+    assert out[0] == (2.0, 200.0, 0.2)
+    assert out[3] == (30.0, 3000.0, 3.0)
+    assert [o for i, o in enumerate(out) if i not in (0, 3)] == [(0.0, 0.0, 0.0)] * (len(out) - 2)
