@@ -9,11 +9,14 @@ into *segments*: any value that never decreases along the window order, usually
 ``rolling``  frames of a fixed number of rows. Rows are numbered with ``running`` and cut into
              equal chunks; each chunk also gets the few neighbouring rows its frames reach into.
 
+The input is read twice, once with few columns for the totals. Operators that chain windows therefore
+write the narrow intermediate result first (``materialize``), or work would double with every step.
+
 Both keep every row and give the same values as the plain window.
 
 Where even one time bucket of a key may be too large for a task, pass no segment (``width=None`` in the
 operators): the rows are then range-partitioned by key and order, which splits at any row, and written
-to a reliable checkpoint so that their partition number can serve as the segment.
+to a table in the shared folder so that their partition number can serve as the segment.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ def _over(kind: str, value: Column) -> Column:
 def range_segments(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Equal-sized segments whatever the skew: the partition number after a sort-range shuffle.
 
-    The checkpoint freezes the numbers; a partition lost later is read again, not cut anew.
+    The written table freezes the numbers; a partition lost later is read again, not cut anew.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *by, *order).withColumn(name, F.spark_partition_id().cast("bigint"))

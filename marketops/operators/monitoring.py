@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketops.functions.timing import bucket, micros, us
 from marketops.functions.windows import previous
 from marketops.operators.joins import asof_join, covered_by
+from marketops.session import materialize
 
 RUNTIME_STATES = ("STARTING", "RECONCILING", "READY", "DEGRADED", "HALTED")
 MUST_RECONCILE_AFTER = ("STARTING",)
@@ -78,6 +79,7 @@ def invariant_report(violations: Mapping[str, DataFrame], samples: int = 3) -> D
     for name, df in violations.items():
         part = df.select(F.lit(name).alias("invariant"), F.col("id").cast("string").alias("id"))
         rows = part if rows is None else rows.unionByName(part)
+    rows = materialize(rows)
     first = Window.partitionBy("invariant").orderBy("id")
     sampled = rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= samples)
     sampled = sampled.groupBy("invariant").agg(F.array_sort(F.collect_list("id")).alias("sample_ids"))

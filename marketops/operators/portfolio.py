@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketops.functions.timing import bucket
 from marketops.functions.windows import previous, running
 from marketops.schemas import MONEY
+from marketops.session import materialize
 
 BY = ("account", "instrument")
 ORDER = ("ts", "fill_id")
@@ -64,6 +65,7 @@ def pnl_fifo_realized(fills: DataFrame, by: Sequence[str] = BY, order: Sequence[
         F.when(F.col("side") == "buy", F.col("price")).alias("__b"), F.when(F.col("side") == "sell", F.col("price")).alias("__s"),
     )
     step = F.floor(F.col("__x") / span).cast("bigint")
+    marked = materialize(marked)
     covered = running(marked, by, ["__x", "side"], step, {"__buy": ("last", "__b"), "__sell": ("last", "__s")}, reverse=True)
     pieces = previous(covered, by, ["__x", "side"], step, {"__from": "__x"})
     length = (F.col("__x") - F.coalesce(F.col("__from"), F.lit(Decimal(0)))).cast("decimal(18,8)")
@@ -105,6 +107,7 @@ def equity_curve(fills: DataFrame, marks: DataFrame, start: Decimal | int, last_
 
 def position_episodes(path: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: str | int = "1 day") -> DataFrame:
     """Flat-to-flat trades with open and close time, largest size and PnL net of fees (NULL while open)."""
+    path = materialize(path.select(*dict.fromkeys([*by, *order, "ts", "position", "side", "qty", "price", "fee"])))
     flat = F.when(F.col("position") == 0, 1).otherwise(0).cast("bigint")
     numbered = running(path, by, order, bucket(order[0], width), {"episode": ("sum", flat)}, inclusive=False)
     numbered = numbered.withColumn("episode", F.coalesce("episode", F.lit(0)))

@@ -12,6 +12,7 @@ from marketops.functions.windows import running
 from marketops.operators.features import mid_spread
 from marketops.operators.joins import asof_join, param_grid
 from marketops.operators.portfolio import difference
+from marketops.session import materialize
 
 
 def replay_parity(run_a: DataFrame, run_b: DataFrame) -> DataFrame:
@@ -127,6 +128,7 @@ def robust_selection(sweep: DataFrame) -> DataFrame:
         F.avg(F.when(test, F.col("sharpe"))).alias("oos"), F.coalesce(F.stddev_samp(F.when(test, F.col("sharpe"))), F.lit(0.0)).alias("spread"),
         F.min(F.when(test, F.col("sharpe"))).alias("worst"), F.avg(F.when(train, F.col("sharpe"))).alias("ins"),
     )
+    per = materialize(per)
     side = per.select((F.col("param_id") + 1).alias("param_id"), F.col("oos").alias("v")).unionByName(per.select((F.col("param_id") - 1).alias("param_id"), F.col("oos").alias("v")))
     near = side.groupBy("param_id").agg(F.avg("v").alias("neighbours"))
     joined = per.join(near, "param_id", "left")
@@ -143,8 +145,9 @@ def performance_metrics(returns: DataFrame, by: Sequence[str], value: str = "net
     """Mean, volatility, Sharpe-type ratio, hit rate, profit factor, largest fall of the summed returns
     and turnover per group."""
     v = F.col(value)
-    rows = returns.where(v.isNotNull())
-    cum = running(rows, by, order, bucket(order[0], width), {"__c": ("sum", v)})
+    keep = dict.fromkeys([*by, *order, value, *([traded] if traded else [])])
+    rows = materialize(returns.where(v.isNotNull()).select(*keep))
+    cum = materialize(running(rows, by, order, bucket(order[0], width), {"__c": ("sum", v)}))
     peak = running(cum, by, order, bucket(order[0], width), {"__p": ("max", "__c")})
     # The starting point, before any return, is a peak too.
     fall = F.greatest(F.col("__p"), F.lit(0.0)) - F.col("__c")

@@ -279,6 +279,7 @@ def funding_and_fees(fills: DataFrame, funding: DataFrame, by: Sequence[str] = (
     from marketops.operators.portfolio import signed_qty
 
     rates = running(funding, ["instrument"], ["ts"], bucket("ts", width), {"cum": ("sum", F.col("rate").cast(PRICE))}).select("instrument", "ts", "cum")
+    rates = materialize(rates)
     totals = funding.groupBy("instrument").agg(F.sum(F.col("rate").cast(PRICE)).alias("total"))
     keyed = asof_join(fills.select(*by, "ts", "fee", signed_qty().alias("q")), rates, ["instrument"], tie=("ts",), strict=True, width=width)
     sums = keyed.groupBy(*by).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketops.functions.timing import bucket
 from marketops.functions.windows import previous
 from marketops.operators.joins import point_in_time_members
+from marketops.session import materialize
 
 
 def select_universe(liquidity: DataFrame, k_min: int, k_max: int) -> DataFrame:
@@ -29,19 +30,21 @@ def membership_intervals(listings: DataFrame, width: str | int = "30 days") -> D
     key, order = ["instrument"], ["ts", "seq"]
     cut = bucket("ts", width)
     seen = previous(listings, key, order, cut, {"__kind": "kind"})
-    changes = seen.where(~F.col("kind").eqNullSafe(F.col("__kind"))).drop("__kind")
+    changes = materialize(seen.where(~F.col("kind").eqNullSafe(F.col("__kind"))).select("instrument", "ts", "seq", "kind"))
     ends = previous(changes, key, order, cut, {"valid_to": "ts"}, reverse=True)
     spans = ends.where(F.col("kind") == "list").select("instrument", F.col("ts").alias("valid_from"), "valid_to")
-    return spans.where(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+    return materialize(spans.where(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))))
 
 
 def survivorship_audit(df: DataFrame, membership: DataFrame, on: str = "ts", width: str | int = "1 day") -> DataFrame:
     """Evaluated rows outside membership, and delisted members that were never evaluated while listed."""
     graded = point_in_time_members(df.select("instrument", on), membership, on=on, width=width, keep_all=True)
-    outside = graded.where(~F.col("member")).groupBy("instrument").agg(F.count("*").alias("n")).withColumn("violation", F.lit("outside_membership"))
-    evaluated = graded.where("member").select("instrument").distinct()
-    delisted = membership.groupBy("instrument").agg(
-        F.count(F.when(F.col("valid_to").isNull(), 1)).alias("open"), F.count("*").alias("n")
-    ).where("open = 0").select("instrument", "n")
-    missing = delisted.join(evaluated, "instrument", "left_anti").withColumn("violation", F.lit("delisted_never_evaluated"))
-    return outside.unionByName(missing)
+    seen = graded.groupBy("instrument").agg(F.count(F.when(~F.col("member"), 1)).alias("outside"), F.count(F.when(F.col("member"), 1)).alias("inside"))
+    listed = membership.groupBy("instrument").agg(F.count("*").alias("spells"), F.count(F.when(F.col("valid_to").isNull(), 1)).alias("open"))
+    both = seen.join(listed, "instrument", "full_outer")
+    never = (F.col("open") == 0) & (F.coalesce("inside", F.lit(0)) == 0)
+    found = F.array_compact(F.array(
+        F.when(F.col("outside") > 0, F.struct(F.col("outside").alias("n"), F.lit("outside_membership").alias("violation"))),
+        F.when(never, F.struct(F.col("spells").alias("n"), F.lit("delisted_never_evaluated").alias("violation"))),
+    ))
+    return both.select("instrument", F.inline(found))

@@ -20,9 +20,8 @@ _FLOOR8 = "floor({0} * 100000000 + 0.001) / 100000000"
 
 def deadlines(v: Inputs):
     s = v("fx_signal").withColumn("policy_expiry", F.when(F.col("k") < 40, F.col("ts") + F.expr("INTERVAL 6 HOUR")))
-    limited = joins.policy_join(s, v("fx_policy"), {"instrument": "instrument"}, ["max_age_us"])
-    ended = joins.first_invalidation(limited, v("fx_snapshot"))
-    return signals.signal_deadline(ended)
+    ended = joins.first_invalidation(s, v("fx_snapshot"))
+    return signals.signal_deadline(joins.policy_join(ended, v("fx_policy"), {"instrument": "instrument"}, ["max_age_us"]))
 
 
 _DEADLINES = f"""

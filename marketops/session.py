@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,6 @@ def build_session(master: str | None = None, app: str = "marketops", **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -43,10 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
+    """Write the rows once to a table in the shared folder and go on from there.
+
+    Cuts the lineage, survives the loss of executors, and lets several consumers read the columns
+    they need without computing the rows again. Runs a job.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = f"{shared_dir(spark)}/marketops-scratch-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _SCRATCH.append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables ``materialize`` wrote, once their results are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)

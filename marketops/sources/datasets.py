@@ -37,15 +37,14 @@ def scan_dataset(spark: SparkSession, path: str, schema: T.StructType = RAW_EVEN
     return df
 
 
-def write_dataset(df: DataFrame, path: str, version: int, ts: str = "event_ts", partitions: Sequence[str] = PARTITIONS, spread: int = 1) -> None:
+def write_dataset(df: DataFrame, path: str, version: int, ts: str = "event_ts", partitions: Sequence[str] = PARTITIONS) -> None:
     """Write a new immutable version below ``path``; an existing version is an error.
 
-    Rows are shuffled by partition plus a hash of the sequence over ``spread`` parts, so a partition is
-    written as at most that many files and a very busy one is not left to a single task.
+    Rows are rebalanced by partition: Spark splits a very busy partition over several tasks and files
+    and lets one task write many small ones.
     """
     dated = df.withColumn("date", F.to_date(ts)) if "date" not in df.columns else df
-    part = F.pmod(F.xxhash64("seq"), F.lit(spread)) if spread > 1 else F.lit(0)
-    dated.repartition(*partitions, part).write.mode("errorifexists").partitionBy(*partitions).parquet(f"{path.rstrip('/')}/version={version}")
+    dated.hint("rebalance", *[F.col(c) for c in partitions]).write.mode("errorifexists").partitionBy(*partitions).parquet(f"{path.rstrip('/')}/version={version}")
 
 
 def read_version(df: DataFrame, as_of_version: int, key: Sequence[str] = SOURCE_KEY, version: str = "version") -> DataFrame:
