@@ -191,25 +191,24 @@ def admit_by_budget(requests: DataFrame, budgets: DataFrame, scope: str = "accou
     pos = F.struct(*order)
     for _ in range(max_phases):
         fits = F.coalesce((amount >= 0) & (amount <= F.col("__left")), F.lit(False))
-        refused = open_rows.where(~fits).select(*columns, F.lit(False).alias("admitted"))
-        candidates = open_rows.where(fits)
-        small = F.when(amount <= F.col("__left") / 2, amount).otherwise(F.lit(0).cast(kind))
-        summed = running(candidates, [scope], order, bucket(order[0], width), {"__small": ("sum", small)})
+        done.append(open_rows.where(~fits).select(*columns, F.lit(False).alias("admitted")))
         is_small = amount <= F.col("__left") / 2
+        small = F.when(is_small, amount).otherwise(F.lit(0).cast(kind))
+        summed = running(open_rows.where(fits), [scope], order, bucket(order[0], width), {"__small": ("sum", small)})
         rest = F.col("__left") - F.col("__small")
         ends = F.when(F.col("__left") == 0, F.lit(False)).when(is_small, rest <= F.col("__left") / 2).otherwise(amount <= rest)
         summed = materialize(summed.select("*", ends.alias("__ends")))
+        if summed.isEmpty():
+            break
         stop = summed.where("__ends").groupBy(scope).agg(
             F.min(pos).alias("__stop"), F.min_by(F.when(is_small, rest).otherwise(rest - amount), pos).alias("__next")
         )
-        judged = summed.join(stop, scope, "left")
         inside = F.col("__stop").isNull() | (pos <= F.col("__stop"))
         at_stop = F.coalesce(pos == F.col("__stop"), F.lit(False))
-        decided = judged.where(inside).select(*columns, (is_small | at_stop).alias("admitted"))
-        done += [refused, decided]
-        open_rows = materialize(judged.where(~inside).select(*columns, F.col("__next").alias("__left")))
-        if open_rows.isEmpty():
-            break
+        verdict = F.when(inside, is_small | at_stop)
+        judged = materialize(summed.join(stop, scope, "left").select(*columns, F.col("__next").alias("__left"), verdict.alias("admitted")))
+        done.append(judged.where(F.col("admitted").isNotNull()).drop("__left"))
+        open_rows = judged.where(F.col("admitted").isNull()).drop("admitted")
     else:
         raise RuntimeError("admission did not settle; amounts must be positive")
     result = done[0]

@@ -146,7 +146,7 @@ SELECT fill_id, {d('position_before', 'position_before')}, {d('position', 'posit
     SELECT *, sum({_SIGNED}) OVER (PARTITION BY account, instrument ORDER BY ts, recv_seq, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS position FROM fx_fill_once) a) b
 WHERE reduce_only AND (abs(position) > abs(position_before) OR sign(position) * sign(position_before) < 0)""")
 def _(v):
-    out = orders.reduce_only_audit(v("fx_fill_once"), order=("ts", "recv_seq", "fill_id"), width=W)
+    out = orders.reduce_only_audit(v.ledger(), order=("ts", "recv_seq", "fill_id"), width=W)
     return plain(out.select("fill_id", "position_before", "position"))
 
 
@@ -194,7 +194,7 @@ def _(v):
 @query("position_path", ["fx_fill_once"], f"""
 SELECT fill_id, {d(f"sum({_SIGNED}) OVER (PARTITION BY account, instrument ORDER BY ts, recv_seq, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", 'position')} FROM fx_fill_once""")
 def _(v):
-    return plain(portfolio.position_path(v("fx_fill_once"), order=("ts", "recv_seq", "fill_id"), width=W).select("fill_id", "position"))
+    return plain(portfolio.position_path(v.ledger(), order=("ts", "recv_seq", "fill_id"), width=W).select("fill_id", "position"))
 
 
 @query("positions", ["fx_fill_once"], f"SELECT account, instrument, {d(f'sum({_SIGNED})', 'qty')} FROM fx_fill_once WHERE ts <= TIMESTAMP '1998-06-30' GROUP BY 1, 2")
@@ -220,7 +220,7 @@ FROM (SELECT DISTINCT account, instrument FROM lots) k LEFT JOIN (
   FROM lots b JOIN lots s ON b.side = 'buy' AND s.side = 'sell' AND b.account = s.account AND b.instrument = s.instrument
    AND least(b.upto, s.upto) > greatest(b.upto - b.qty, s.upto - s.qty)) m ON m.account = k.account AND m.instrument = k.instrument GROUP BY 1, 2""")
 def _(v):
-    out = portfolio.pnl_fifo_realized(v("fx_fill_once"), order=("ts", "recv_seq", "fill_id"), width=W, span=500)
+    out = portfolio.pnl_fifo_realized(v.ledger(), order=("ts", "recv_seq", "fill_id"), width=W, span=500)
     return plain(out, realized=2)
 
 
@@ -228,14 +228,14 @@ def _(v):
 , daily AS (SELECT account, instrument, CAST(ts AS DATE) AS day, sum({_SIGNED}) AS q, sum({_CASH} - fee) AS c FROM fx_fill_once GROUP BY ALL),
 book AS (SELECT account, instrument, day, sum(q) OVER w AS q, sum(c) OVER w AS c FROM daily WINDOW w AS (PARTITION BY account, instrument ORDER BY day ROWS UNBOUNDED PRECEDING)),
 marks AS (SELECT instrument, CAST(ts AS DATE) AS day, arg_max(price, (ts, fill_id)) AS mark FROM fx_fill_once GROUP BY ALL),
-cal AS (SELECT b.account, b.instrument, CAST(unnest(generate_series(min(b.day), DATE '1997-12-31', INTERVAL '1' DAY)) AS DATE) AS day FROM book b WHERE day <= DATE '1997-12-31' GROUP BY 1, 2),
+cal AS (SELECT b.account, b.instrument, CAST(unnest(generate_series(min(b.day), DATE '2001-12-31', INTERVAL '1' DAY)) AS DATE) AS day FROM book b WHERE day <= DATE '2001-12-31' GROUP BY 1, 2),
 held AS (SELECT c.*, b.q, b.c FROM cal c ASOF JOIN book b ON c.account = b.account AND c.instrument = b.instrument AND c.day >= b.day),
 valued AS (SELECT h.*, m.mark FROM held h ASOF LEFT JOIN marks m ON h.instrument = m.instrument AND h.day >= m.day)
 SELECT account, strftime(day, '%Y-%m-%d') AS day, {d('1000000 + sum(c + q * mark)', 'equity', 2)} FROM valued GROUP BY 1, 2""")
 def _(v):
-    once = v("fx_fill_once")
+    once = v.ledger()
     marks = once.select("instrument", "ts", F.col("fill_id").alias("seq"), "price")
-    out = portfolio.equity_curve(once, marks, 1_000_000, "1997-12-31")
+    out = portfolio.equity_curve(once, marks, 1_000_000, "2001-12-31")
     return plain(out.withColumn("day", F.col("day").cast("string")), equity=2)
 
 
@@ -249,7 +249,7 @@ SELECT account, instrument, {n('episode', 'episode')}, min(ts) AS opened, CASE W
        {d(f'CASE WHEN bool_or(position = 0) THEN sum({_CASH} - fee) END', 'pnl', 2)}, count(*) AS fills FROM numbered GROUP BY 1, 2, 3""")
 def _(v):
     order = ("ts", "recv_seq", "fill_id")
-    path = portfolio.position_path(v("fx_fill_once"), order=order, width=W)
+    path = portfolio.position_path(v.ledger(), order=order, width=W)
     return plain(portfolio.position_episodes(path, order=order, width=W), pnl=2)
 
 
@@ -458,4 +458,4 @@ def _(v):
 fees AS (SELECT account, instrument, sum(fee) AS fees FROM fx_fill_once GROUP BY 1, 2)
 SELECT e.account, e.instrument, {d('coalesce(d.funding, 0)', 'funding')}, {d('e.fees', 'fees')} FROM fees e LEFT JOIN due d ON d.account = e.account AND d.instrument = e.instrument""")
 def _(v):
-    return plain(risk.funding_and_fees(v("fx_fill_once"), v("fx_funding")))
+    return plain(risk.funding_and_fees(v.ledger(), v("fx_funding")))

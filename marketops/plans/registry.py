@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketops.session import shared_dir
+from marketops.operators.quality import dedup_fills
+from marketops.session import materialize, shared_dir
 from marketops.sources.fixtures import cte, view
 
 
@@ -22,6 +23,10 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
 
+    def ledger(self) -> DataFrame:
+        """Fills counted once, stored as the table every position and PnL is built from."""
+        return materialize(dedup_fills(self("fx_fill"), order=("ts", "recv_seq", "price")))
+
     def fresh_folder(self) -> str:
         return f"{shared_dir(self.spark)}/marketops-{uuid.uuid4().hex}"
 
