@@ -466,7 +466,7 @@ def _(v):
 
 
 @query("param_grid", ["fx_signal"], """
-SELECT signal_id, param_id, confidence > min_conf AS trades FROM fx_signal, (VALUES (0, 0.2), (1, 0.5), (2, 0.8)) g(param_id, min_conf)""")
+SELECT signal_id, CAST(param_id AS BIGINT) AS param_id, confidence > min_conf AS trades FROM fx_signal, (VALUES (0, 0.2), (1, 0.5), (2, 0.8)) g(param_id, min_conf)""")
 def _(v):
     out = joins.param_grid(v("fx_signal"), [{"min_conf": 0.2}, {"min_conf": 0.5}, {"min_conf": 0.8}])
     return plain(out.select("signal_id", "params.param_id", (F.col("confidence").cast("double") > F.col("params.min_conf")).alias("trades")))
@@ -484,7 +484,7 @@ def _(v):
 
 
 @query("read_version", ["fx_raw"], """
-SELECT seq, payload, 1 AS version FROM fx_raw WHERE schema_version <> 2
+SELECT seq, payload, CAST(1 AS BIGINT) AS version FROM fx_raw WHERE schema_version <> 2
 UNION ALL SELECT seq, payload || ' corrected', 2 FROM fx_raw WHERE schema_version = 2""")
 def _(v):
     raw = v("fx_raw")

@@ -66,7 +66,7 @@ def _(v):
 
 
 @query("breakout", ["fx_snapshot"], f"""
-SELECT instrument, seq, CASE WHEN c = 4 THEN CASE WHEN last > hi THEN 1 WHEN last < lo THEN -1 ELSE 0 END END AS breakout FROM (
+SELECT instrument, seq, CAST(CASE WHEN c = 4 THEN CASE WHEN last > hi THEN 1 WHEN last < lo THEN -1 ELSE 0 END END AS BIGINT) AS breakout FROM (
   SELECT *, max(last) OVER w AS hi, min(last) OVER w AS lo, count(*) OVER w AS c FROM fx_snapshot WINDOW w AS ({_W} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) z""")
 def _(v):
     return plain(features.breakout(v("fx_snapshot"), 4, width="1 day").select("instrument", "seq", "breakout"))

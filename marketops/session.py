@@ -59,10 +59,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the tables ``materialize`` wrote, once their results are stored."""
+def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables ``materialize`` wrote, once their results are stored; the ``keep`` oldest stay."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
+    while len(_SCRATCH) > keep:
         path = hadoop.fs.Path(_SCRATCH.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def scratch_tables() -> int:
+    """How many tables ``materialize`` has written and not yet dropped."""
+    return len(_SCRATCH)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from marketops.operators.quality import SOURCE_KEY, row_digest
 from marketops.schemas import PRICE, RAW_EVENT
+from marketops.session import drop_scratch, materialize, scratch_tables
 
 PARTITIONS = ("venue", "instrument", "event_type", "date")
 
@@ -96,16 +97,24 @@ def dataset_manifest(df: DataFrame, config: Mapping, ts: str = "event_ts", by: S
 def append_audit(df: DataFrame, path: str, key: Sequence[str], day: Column | None = None) -> None:
     """Append rows whose key the log does not hold yet, so a retried batch adds nothing.
 
-    Only keys and log days of the batch are compared: the log is partitioned by ``log_date``, computed
-    from the rows themselves, and other days are pruned while reading.
+    The log is partitioned by ``log_date``, computed from the rows themselves, so a repeated row meets
+    its own day again. The batch is computed once; its days (a handful of dates) select the parts of the
+    log that are read at all.
     """
     spark = df.sparkSession
-    rows = df.withColumn("log_date", F.to_date(day if day is not None else F.col("ts"))).dropDuplicates([*key])
+    before = scratch_tables()
+    unknown = F.lit("1970-01-01").cast("date")
+    dated = df.withColumn("log_date", F.coalesce(F.to_date(day if day is not None else F.col("ts")), unknown))
+    rows = materialize(dated.dropDuplicates([*key]))
+    days = [row.log_date for row in rows.select("log_date").distinct().collect()]
+    if not days:
+        return
     try:
-        log = spark.read.parquet(path).select(*key, "log_date")
+        log = spark.read.parquet(path).where(F.col("log_date").isin(days)).select(*key, "log_date")
     except Exception as missing:  # the first batch finds no log yet
         if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
             raise
         log = None
     fresh = rows if log is None else rows.join(log, [*key, "log_date"], "left_anti")
     fresh.write.mode("append").partitionBy("log_date").parquet(path)
+    drop_scratch(spark, keep=before)

@@ -58,7 +58,12 @@ def test_audit_log_ignores_retries(spark, folder):
     rows = make_events(spark).select("seq", F.col("event_ts").alias("ts"))
     for batch in (rows.where("seq < 100"), rows.where("seq < 200"), rows, rows):
         datasets.append_audit(batch, f"{folder}/log", ["seq"])
+    timeless = rows.where("seq = 1").select((F.col("seq") + 1000).alias("seq"), F.lit(None).cast("timestamp").alias("ts"))
+    for _ in range(2):
+        datasets.append_audit(timeless, f"{folder}/log", ["seq"])
     log = spark.read.parquet(f"{folder}/log")
+    assert log.where("seq = 1001").count() == 1
+    log = log.where("seq < 1000")
     assert log.count() == 300 and log.select("seq").distinct().count() == 300
 
 
