@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketops.llm import byte_bpe, mixing, suffix_dedup, token_files, url_filter
+from marketops.llm import byte_bpe, flac, mixing, suffix_dedup, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
+@register("op7_flac")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    length = F.octet_length("text")
+    padding = F.greatest(F.ceil(length / 64), F.lit(1)) * 64 - length
+    padded = docs.select("doc_id", length.cast("bigint").alias("n_bytes"), F.concat("text", F.unhex(F.repeat(F.lit("00"), padding.cast("int")))).alias("payload"))
+    found = flac.decode_column(flac.encode_column(padded, "payload"))
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("pcm").cast("bigint").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
