@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marketops.session import shared_dir  # noqa: F401  (operators import it from here)
 
 #: Bytes of text one vectorised step works on; its arrays take some thirty times as much.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 

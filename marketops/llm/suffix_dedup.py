@@ -34,6 +34,8 @@ from marketops.llm.suffix_sort import suffix_array
 GRAM = 32
 NO_ID = -(2**63)
 SLICE = 8
+#: Text whose equal surroundings are brought together before they are sent on.
+BATCH_BYTES = 8_000_000
 BLOB = "bucket int, payload binary"
 MARKS = "key bigint, kind int, payload binary"
 ANCHOR = [("gram", "u8"), ("around", "u8"), ("key", "i8"), ("copy", "i4"), ("at", "u4"), ("left", "u1"), ("last", "u1")]
@@ -104,31 +106,34 @@ def find_anchors(length: int, buckets: int):
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             copies = batch.column("copy").to_numpy(zero_copy_only=False).astype(np.int32)
             data, offsets = utf8(batch.column("text"))
-            parts = []
-            for i, j in steps(offsets):
-                local = offsets[i : j + 1] - offsets[i]
-                a = anchors(data[offsets[i] : offsets[j]], local, length)
-                row = a["row"]
-                parts.append({
-                    "gram": a["gram"].astype(np.uint64), "around": a["around"].astype(np.uint64), "key": keys[i + row], "copy": copies[i + row], "at": (a["at"] - local[row]).astype(np.int64),
-                    "left": a["at"] - a["lo"], "last": a["at"] - a["hi"],
-                })
-            if not parts:
-                continue
-            c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-            if not len(c["gram"]):
-                continue
-            order = np.lexsort((c["at"], c["copy"], c["key"], c["around"], c["gram"]))
-            c = {k: v[order] for k, v in c.items()}
-            again = np.r_[False, (c["gram"][1:] == c["gram"][:-1]) & (c["around"][1:] == c["around"][:-1])]
-            out = [(b, p) for b, p in deal({k: v[~again] for k, v in c.items()}, (c["gram"][~again] % np.uint64(buckets)).astype(np.int64), ANCHOR)]
-            for key, blob in spans_by_key({k: v[again] for k, v in c.items()}, length):
-                out.append((-1 - int(mixed(np.array([key], np.int64).view(np.uint64))[0] % np.uint64(buckets)), np.int64(key).tobytes() + blob))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
+            for first, after in steps(offsets, BATCH_BYTES):
+                parts = []
+                for i, j in steps(offsets[first : after + 1]):
+                    i, j = i + first, j + first
+                    local = offsets[i : j + 1] - offsets[i]
+                    a = anchors(data[offsets[i] : offsets[j]], local, length)
+                    row = a["row"]
+                    parts.append({
+                        "gram": a["gram"].astype(np.uint64), "around": a["around"].astype(np.uint64), "key": keys[i + row], "copy": copies[i + row], "at": a["at"] - local[row], "left": a["at"] - a["lo"], "last": a["at"] - a["hi"],
+                    })
+                c = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+                if len(c["gram"]):
+                    yield from sent(c, length, buckets)
 
     return run
 
 
+def sent(c: dict[str, np.ndarray], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The first of equal surroundings by bucket of the anchor; the others as removed ranges."""
+    order = np.lexsort((c["at"], c["copy"], c["key"], c["around"], c["gram"]))
+    c = {k: v[order] for k, v in c.items()}
+    again = np.r_[False, (c["gram"][1:] == c["gram"][:-1]) & (c["around"][1:] == c["around"][:-1])]
+    out = [(b, p) for b, p in deal({k: v[~again] for k, v in c.items()}, (c["gram"][~again] % np.uint64(buckets)).astype(np.int64), ANCHOR)]
+    for key, blob in spans_by_key({k: v[again] for k, v in c.items()}, length):
+        out.append((-1 - int(mixed(np.array([key], np.int64).view(np.uint64))[0] % np.uint64(buckets)), np.int64(key).tobytes() + blob))
+    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "payload"])
+
+
 def spans_by_key(c: dict[str, np.ndarray], length: int) -> Iterator[tuple[int, bytes]]:
     """Removed ranges of each document from whole surroundings (``left``/``last`` count back from the anchor)."""
     start = c["at"].astype(np.int64) - c["left"]
