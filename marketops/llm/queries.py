@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketops.llm import byte_bpe, flac, mixing, suffix_dedup, token_files, url_filter
+from marketops.llm import byte_bpe, flac, licenses, mixing, suffix_dedup, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.octet_length("pcm").cast("bigint").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.substring("pcm", -64, 64)).alias("tail_crc32"),
         F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
     )
+
+
+@register("op2_licenses")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+def held_out():
+    """The fold that learning never sees."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+@register("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(toxicity.labelled_sentences(docs, read(spark, sf_dir, "labels").where(~held_out())))
+    found = toxicity.score(docs, machine)
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
