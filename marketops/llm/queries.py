@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketops.llm import byte_bpe, flac, licenses, mixing, suffix_dedup, token_files, toxicity, url_filter
+from marketops.llm import byte_bpe, flac, licenses, mixing, ngram_join, suffix_dedup, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.fit(toxicity.labelled_sentences(docs, read(spark, sf_dir, "labels").where(~held_out())))
     found = toxicity.score(docs, machine)
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op8_ngram_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(read(spark, sf_dir, "documents"), words=3, percent=90)
