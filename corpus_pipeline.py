@@ -1,18 +1,72 @@
-"""The preparation of the documents as stages, each of which keeps the columns of ``documents``."""
+"""The preparation of the documents as stages, each of which works on all that its predecessor kept.
+
+Every stage but the last returns the columns of its input. Rows without doc_id stay in the near-duplicate stage, and may stand for
+others there. A document whose text is all repeats stays with an empty text. Stages have no SQL; tests compare them
+with brute-force versions.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketops.llm import suffix_dedup
+from marketops.llm import byte_bpe, mixing, ngram_join, suffix_dedup, toxicity
+from marketops.llm.queries import held_out, read
+
+SCORE = "__toxicity"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from the labelled ones outside the held-out fold."""
+    machine = toxicity.fit(toxicity.labelled_sentences(docs, read(spark, sf_dir, "labels").where(~held_out())))
+    return toxicity.score(docs, machine, to=SCORE).where(F.col(SCORE) < 0.5).drop(SCORE)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates."""
+    groups = ngram_join.link_documents(docs, words=5, percent=80)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+
 
-STAGES = []
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur before; ``n_chars`` follows the text."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = suffix_dedup.remove_repeats(docs, carry=rest, characters=True)
+    text = F.col("kept").cast("string")
+    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("bigint")}
+    return found.select(*[new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", "text"))
+    return mixing.emit(taken).select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids)"""
+    coded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", one_of_each_group),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode_tokens),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each written and read again."""
+    from marketops.llm.common import Scratch
+
+    scratch = Scratch(spark)
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

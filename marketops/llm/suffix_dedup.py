@@ -21,14 +21,15 @@ doc_id comes first. Texts shorter than ``length`` stay whole. Other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marketops.llm.common import MIX_A, Rolling, Scratch, documents_of, mixed, parallelism, runs, steps, table_batches, utf8
+from marketops.llm.common import MIX_A, Rolling, Scratch, mixed, parallelism, runs, steps, table_batches, utf8
 from marketops.llm.suffix_sort import suffix_array
 
 GRAM = 32
@@ -352,45 +353,52 @@ def sorted_repeats(c: dict[str, np.ndarray], around: np.ndarray, size: np.ndarra
     return [(k, 0, p) for k, p in by_key(found, SPAN)]
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut(characters: bool, rest: bool):
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        keys, copies = batch.column("key").to_pylist(), batch.column("copy").to_pylist()
-        kept, spans = [], []
-        for i, blobs in enumerate(batch.column("marks").to_pylist()):
-            text = data[offsets[i] : offsets[i + 1]]
-            if not blobs:
-                kept.append(text.tobytes())
-                spans.append([])
-                continue
-            c = unpack(blobs, SPAN)
-            own = c["copy"] == copies[i]
-            starts, ends = runs(c["start"][own].astype(np.int64), c["end"][own].astype(np.int64))
-            keep, at = [], 0
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                keep.append(text[at:s].tobytes())
-                at = e
-            kept.append(b"".join([*keep, text[at:].tobytes()]))
-            spans.append([{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None if k == NO_ID else k for k in keys], pa.int64()), pa.array(copies, pa.int32()), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
-            names=["doc_id", "copy", "n_bytes", "spans", "kept"],
-        )
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            keys, copies = batch.column("key").to_pylist(), batch.column("copy").to_pylist()
+            kept, spans = [], []
+            for i, blobs in enumerate(batch.column("marks").to_pylist()):
+                text = data[offsets[i] : offsets[i + 1]]
+                if not blobs:
+                    kept.append(text.tobytes())
+                    spans.append([])
+                    continue
+                c = unpack(blobs, SPAN)
+                own = c["copy"] == copies[i]
+                starts, ends = runs(c["start"][own].astype(np.int64), c["end"][own].astype(np.int64))
+                keep, at = [], 0
+                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                    keep.append(text[at:s].tobytes())
+                    at = e
+                left = b"".join([*keep, text[at:].tobytes()])
+                kept.append(left.decode("utf-8", "ignore").encode() if characters else left)
+                spans.append([{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None if k == NO_ID else k for k in keys], pa.int64()), pa.array(copies, pa.int32()), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary()), *([batch.column("rest")] if rest else [])],
+                names=["doc_id", "copy", "n_bytes", "spans", "kept", *(["rest"] if rest else [])],
+            )
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, carry: Sequence[str] = (), characters: bool = False) -> DataFrame:
     """(doc_id, copy, n_bytes, spans, kept): each document's removed byte ranges and its remaining bytes.
 
-    ``copy`` numbers rows that share a doc_id, from 0. ``length`` is 64 to 200 bytes.
+    ``copy`` numbers rows that share a doc_id, from 0. ``length`` is 64 to 200 bytes. Columns named in ``carry`` come
+    along in a struct ``rest``. With ``characters`` the bytes of characters that a range cuts in two go too.
     """
     if not 64 <= length <= 200:
         raise ValueError("length must be 64 to 200")
     spark = docs.sparkSession
     parts = parallelism(spark)
     scratch = Scratch(spark)
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    rows = documents_of(docs).select(key.alias("key"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).repartition(parts, "key")
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
+    rows = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *rest).repartition(parts, "key")
     numbered = rows.withColumn("copy", (F.row_number().over(Window.partitionBy("key").orderBy("text")) - 1).cast("int"))
     table = scratch.bucketed(numbered, parts, "key")
 
@@ -400,5 +408,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000) -> DataF
     opened = table.join(undecided, "key").mapInArrow(open_surroundings(length, 16 * parts), BLOB).repartition(parts, "bucket")
     more = scratch.store(opened.mapInArrow(sort_surroundings(length), MARKS))
     spans = marks.where("kind = 0").unionByName(more).groupBy("key").agg(F.collect_list("payload").alias("marks"))
-    schema = "doc_id bigint, copy int, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
-    return table.join(spans, "key", "left").mapInArrow(cut, schema)
+    fields = T._parse_datatype_string("doc_id bigint, copy int, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary").fields
+    schema = T.StructType([*fields, *[f for f in table.schema.fields if f.name == "rest"]])
+    return table.join(spans, "key", "left").mapInArrow(cut(characters, bool(carry)), schema)
