@@ -11,6 +11,8 @@ A NULL text has no tokens and decodes to no bytes. Only the text column is read;
 from __future__ import annotations
 
 import base64
+import math
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketops.llm.common import steps, utf8
-from marketops.llm.pieces import PieceCache
+from marketops.llm.pieces import PieceCache, worker_memory
 
 #: Pairs of tokens whose compatibility is remembered; beyond that the memory is emptied.
 PAIRS = 1_000_000
+#: Matches of the pattern whose ids are remembered.
+WORDS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,27 +42,48 @@ class Encoder:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
+        self.words: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
 
-    def merged(self, raw: bytes) -> list[int]:
-        """The merges one by one, lowest rank first: for single pairs of tokens."""
+    def merged(self, raw: bytes, left: int = 1) -> list[bytes]:
+        """The merges one by one, lowest rank first, until so many parts are left: for single tokens."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
+        while len(parts) > left:
             best = min(range(len(parts) - 1), key=lambda i: (self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i))
             if parts[best] + parts[best + 1] not in self.ranks:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def spine(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        """The parts of a token that touch its left (0) or right (1) end while the merges build it, from the whole down:
+        each with the rank of the merge that ends it."""
+        known = self.spines.get((token, side))
+        if known is None:
+            raw, ends = self.bytes_of[token], math.inf
+            known = [(raw, ends)]
+            while len(raw) > 1:
+                parts = self.merged(raw, 2)
+                ends = self.ranks[raw]
+                raw = parts[-side]
+                known.append((raw, ends))
+            self.spines[token, side] = known
+        return known
 
     def compatible(self, a: int, b: int) -> bool:
+        """Whether the merges of both tokens' joined bytes end in these two: no part of the first is ever joined with
+        a part of the second before one of them goes into its own token. Of equal ranks the left pair goes first."""
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            get = self.ranks.get
+            known = not any(r is not None and r < x_ends and r <= y_ends for x, x_ends in self.spine(a, 1) for y, y_ends in self.spine(b, 0) for r in (get(x + y),))
+            self.pairs[a, b] = known
         return known
 
     def word(self, raw: bytes) -> list[int]:
@@ -66,11 +92,9 @@ class Encoder:
         if whole is not None:
             return [whole]
         n = len(raw)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # by start, shorter first
         for end, found in self.automaton.iter(raw.decode("latin-1")):
             at[end + 1 - found[1]].append(found)
-        for found in at:
-            found.sort(key=lambda f: f[1])
         dead = bytearray(n + 1)
         ids: list[int] = []
         path: list[tuple[int, int]] = []
@@ -94,26 +118,36 @@ class Encoder:
                 k -= 1
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        return [i for match in self.pattern.findall(text) for i in self.word(match.encode())]
+    def packed(self, match: str) -> bytes:
+        """The ids of one match as 32-bit integers, remembered: pieces share words."""
+        known = self.words.get(match)
+        if known is None:
+            if len(self.words) >= WORDS:
+                self.words.clear()
+            known = self.words[match] = array("i", self.word(match.encode())).tobytes()
+        return known
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.packed, self.pattern.findall(text)))
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
-def _free(df: DataFrame, name: str) -> None:
-    if name.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"the input already has a column {name}")
+def _without(df: DataFrame, name: str) -> DataFrame:
+    """The new column replaces one of its name, whatever its case."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids of ``text``, each match of ``pattern`` encoded by itself, without special tokens."""
-    _free(docs, ids)
+    docs = _without(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_ranks(ranks_path), pattern)
-        cache = PieceCache(f"byte_bpe {ranks_path} {pattern}", lambda new: (np.array(encoder.encode(p), np.int32).tobytes() for p in new))
+        name = f"byte_bpe {ranks_path} {pattern}"
+        encoder = worker_memory(f"{name} encoder", lambda: Encoder(load_ranks(ranks_path), pattern))
+        cache = PieceCache(name, lambda new: map(encoder.encode, new))
         for batch in batches:
             _, offsets = utf8(batch.column(text))
             for i, j in steps(offsets):
@@ -127,7 +161,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Add the bytes that the token ids stand for; NULL ids give none, unknown ids are an error."""
-    _free(coded, to)
+    coded = _without(coded, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: token for token, rank in load_ranks(ranks_path).items()}.__getitem__

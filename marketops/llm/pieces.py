@@ -25,6 +25,14 @@ def split(text: str) -> list[str]:
     return found
 
 
+def worker_memory(name: str, make: Callable[[], object]):
+    """What a Python worker keeps from task to task, made when first asked for."""
+    store = sys.modules.setdefault("marketops_worker_memory", types.ModuleType("marketops_worker_memory")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 class PieceCache:
     """Encodings of pieces, kept by a Python worker over its tasks and cut back when they become many.
 
@@ -32,8 +40,7 @@ class PieceCache:
     """
 
     def __init__(self, name: str, encode: Callable[[list[str]], Iterable[bytes]]):
-        store = sys.modules.setdefault("marketops_worker_memory", types.ModuleType("marketops_worker_memory"))
-        self.first, self.later = store.__dict__.setdefault(name, ({}, {}))
+        self.first, self.later = worker_memory(name, lambda: ({}, {}))
         self.encode = encode
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -45,7 +52,7 @@ class PieceCache:
             later.clear()
             new = set().union(*[p[1:] for p in cut])
         if new:
-            todo = sorted(new)
+            todo = sorted(new, key=lambda p: "\n" in p)
             later.update(zip(todo, self.encode([" " + p for p in todo]), strict=True))
         if len(first) > REMEMBERED // 10:
             first.clear()
