@@ -9,9 +9,10 @@ words the whole sequence is one run. Two documents link when ``100 * intersectio
    leader it meets. So similar documents fall into one group, and a class is a query to every group it shares a block with.
 3. Every query is compared with its groups' leaders, exactly. Most links of a large group of near copies are settled here:
    what is linked to one leader is connected, and no pairs within the group are made.
-4. For blocks whose members are still in different components, the token-group matrix (group, token, number of members that
-   have it) bounds the overlap of a query with anything in a group. Only groups where the bound reaches the threshold are
-   opened; the pairs that share a block and lie in different components are compared exactly.
+4. For blocks whose members are still in different components, the token-group matrix is taken relative to the leader: per
+   group the tokens that its members have beyond the leader's, or lack. From the counts of such differences follows how many two
+   members must have in common, if they are to link; groups where no member can have so many are not opened. In the rest, only pairs that
+   share one of the decisive differences are compared, exactly (see ``differences``).
 5. Components of the links, by smallest label with pointer jumping, each round stored.
 
 No step gathers a group in one task or makes all pairs of it; hot blocks and groups are aggregated or joined, and
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketops.llm.common import MIX_A, Rolling, Scratch, documents_of, mixed, steps, utf8
@@ -139,17 +140,48 @@ def token_sets(words: int):
 
 
 def compare(percent: int):
-    """Exact comparison of two sets that stand in one row."""
+    """Exact comparison of the two sets in a row: linked or not, and how many tokens of ``b`` are missing in ``a`` or new there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            linked, missing, new = [], [], []
             a, b = batch.column("tokens_a"), batch.column("tokens_b")
             for i in range(batch.num_rows):
                 x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                union = len(np.unique(np.concatenate([x, y])))
+                linked.append(100 * (len(x) + len(y) - union) >= percent * union)
+                missing.append(union - len(x))
+                new.append(union - len(y))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(missing, pa.int64()), pa.array(new, pa.int64())], names=["a", "b", "linked", "missing", "new"])
+
+    return run
+
+
+def differences(percent: int):
+    """The rows of the token-group matrix that tell a set from its group's leader: new tokens, then missing ones.
+
+    With B missing and A new tokens, a link of two sets of one group needs at least
+    ``f(a) + f(b) - (100 - p) / (100 + p) * |leader|`` common differences, f = (100 B + p A) / (100 + p). A set is linked to the leader
+    if and only if f is at most that last term. So a set must share more than f of its differences with one that is not, and one of
+    the first few differences (``near``), in a fixed order, is common. A set that is not linked itself needs more of them (``far``)
+    to meet one that is.
+    """
+    out = pa.list_(pa.struct([("token", pa.int64()), ("near", pa.bool_())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, linked = batch.column("tokens_a"), batch.column("tokens_b"), batch.column("linked").to_pylist()
+            rows = []
+            for i in range(batch.num_rows):
+                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
+                new, missing = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                all_ = np.r_[new, mixed(missing.view(np.uint64)).view(np.int64)]  # another sign, another token
+                f = 100 * len(missing) + percent * len(new)
+                near = len(all_) - f // (100 + percent)
+                least = max(1, -((percent - 100) * len(y) + f) // -(100 + percent))
+                far = near if linked[i] else len(all_) - least + 1
+                rows.append([{"token": t, "near": j < near} for j, t in enumerate(all_[: max(near, far)].tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(rows, out)], names=["a", "b", "differences"])
 
     return run
 
@@ -198,34 +230,42 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     reps = nodes.select(F.col("rep").alias("doc_id")).distinct()
     tokens = scratch.store(rows.join(reps, "doc_id", "left_semi").mapInArrow(token_sets(words), "key binary, tokens array<bigint>").where("key IS NOT NULL"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame) -> DataFrame:
         left = pairs.join(tokens.select(F.col("key").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-        both = left.join(tokens.select(F.col("key").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-        return both.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare(percent), "a binary, b binary, linked boolean")
+        return left.join(tokens.select(F.col("key").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return with_sets(pairs).select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare(percent), "a binary, b binary, linked boolean, missing bigint, new bigint")
 
-    led = queries.where(F.col("key") != F.col("to.key")).select(F.col("key").alias("a"), F.col("to.key").alias("b"))
-    links = scratch.store(verified(led).where("linked").select("a", "b").distinct())
+    led = queries.where(F.col("key") != F.col("to.key")).select(F.col("key").alias("a"), F.col("to.key").alias("b")).distinct()
+    led = scratch.store(verified(led))
+    links = led.where("linked").select("a", "b")
     labels = scratch.store(components(nodes, links, scratch))
 
-    # Blocks that still hold several components, and the groups of their members.
+    # Blocks that still hold several components; in them, the queries and the groups of what they could link with.
     placed = grouped.join(labels, "key")
-    mixed_blocks = placed.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("sig")
-    open_ = scratch.store(placed.join(mixed_blocks, "sig"))
-    wanted = open_.select("group").distinct()
-    in_group = nodes.select("key", "group").unionByName(nodes.select(F.col("group.key").alias("key"), "group")).distinct().join(wanted, "group", "left_semi")
-    matrix = in_group.join(tokens, "key").select("group", F.explode("tokens").alias("token")).groupBy("group", "token").agg(F.count("*").alias("have"))
-    asked = queries.join(open_.select("key").distinct(), "key", "left_semi").join(wanted, F.col("to") == F.col("group"), "left_semi")
-    asked = asked.join(nodes.select("key", "group", "n"), "key").withColumn("own", ((F.col("group") == F.col("to")) | (F.col("to.key") == F.col("key"))).cast("int"))
-    spread = asked.join(tokens, "key").select("key", "n", "own", F.col("to").alias("group"), F.explode("tokens").alias("token"))
-    bound = spread.join(matrix, ["group", "token"]).groupBy("key", "group", "n").agg(F.sum((F.col("have") > F.col("own")).cast("int")).alias("overlap"))
-    qualifying = scratch.store(bound.where(F.col("overlap") * 100 >= F.col("n") * percent).select("key", "group"))
-
-    side = open_.select("sig", F.col("key").alias("b"), F.col("n").alias("n_b"), "group", F.col("label").alias("label_b"))
-    query = open_.select("sig", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    opened = query.join(qualifying.select(F.col("key").alias("a"), F.col("group").alias("to")), "a")
-    pairs = opened.join(side, (opened["sig"] == side["sig"]) & (opened["to"] == side["group"])).where((F.col("label_a") != F.col("label_b")) & (F.col("a") != F.col("b")))
-    pairs = pairs.where((F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    unsettled = placed.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("sig")
+    open_ = scratch.store(placed.join(unsettled, "sig").select("sig", "key", "n", "label", F.col("group.key").alias("group")))
+    sides = open_.groupBy("sig", F.col("group").alias("b")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    met = open_.join(sides, "sig").where((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")) | (F.col("group") == F.col("b")))
+    asked = met.groupBy(F.col("key").alias("a"), "n", "label", "b").agg(F.max((F.col("group") == F.col("b")).cast("int")).alias("own"))
+    weight = (F.col("missing") * 100 + F.col("new") * percent) / (100 + percent)
+    asked = scratch.store(asked.join(led, ["a", "b"]).withColumns({"f": weight, "d": F.col("missing") + F.col("new"), "slack": (F.col("n") + F.col("missing") - F.col("new")) * (100 - percent) / (100 + percent)}))
+    # The bound: no member of the group shares more differences than it has. A group's two largest rooms, as a set is no partner of its own.
+    room = asked.where("own = 1").select("a", "b", (F.col("d") - F.col("f")).alias("room"))
+    largest = room.withColumn("__n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("room"), "a"))).where(F.col("__n") <= 2)
+    rooms = largest.groupBy("b").agg(F.max("room").alias("most"), F.min_by("a", "__n").alias("whose"), F.max(F.when(F.col("__n") == 2, F.col("room"))).alias("second"))
+    bounded = asked.join(rooms, "b").where(F.col("f") - F.col("slack") <= F.when(F.col("whose") == F.col("a"), F.coalesce("second", F.lit(-1.0))).otherwise(F.col("most")) + 1e-9)
+
+    told = with_sets(bounded.select("a", "b", "linked")).select("a", "b", "linked", "tokens_a", "tokens_b").mapInArrow(differences(percent), "a binary, b binary, differences array<struct<token: bigint, near: boolean>>")
+    matrix = scratch.store(bounded.join(told, ["a", "b"]).select("a", "b", "n", "label", "linked", "own", "f", "d", "slack", F.inline("differences")))
+    one = matrix.select(F.col("b").alias("group"), "token", F.col("a").alias("one"), F.col("n").alias("n_1"), F.col("label").alias("label_1"), F.col("linked").alias("linked_1"), F.col("near").alias("near_1"), F.col("f").alias("f_1"), F.col("d").alias("d_1"), "slack")
+    two = matrix.where("own = 1").select(F.col("b").alias("group"), "token", F.col("a").alias("two"), F.col("n").alias("n_2"), F.col("label").alias("label_2"), F.col("linked").alias("linked_2"), F.col("near").alias("near_2"), F.col("f").alias("f_2"), F.col("d").alias("d_2"))
+    pairs = one.join(two, ["group", "token"]).where(
+        (F.col("label_1") != F.col("label_2")) & (F.col("linked_1") | F.col("linked_2") | (F.col("near_1") & F.col("near_2"))) & (F.col("f_1") + F.col("f_2") - F.col("slack") <= F.least("d_1", "d_2") + 1e-9)
+        & (F.col("n_1") * percent <= F.col("n_2") * 100) & (F.col("n_2") * percent <= F.col("n_1") * 100)
+    )
+    pairs = pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
     more = scratch.store(verified(pairs).where("linked").select("a", "b"))
     labels = components(nodes, links.unionByName(more), scratch)
 
