@@ -37,6 +37,7 @@ ORDER, DECAY = 4, np.float32(0.7)
 LONGEST = 24
 #: Words a worker remembers the decision on.
 REMEMBERED = 500_000
+START = "^"
 EDGE = ".,;:!?\"'()[]{}<>«»„“”…"
 
 
@@ -135,9 +136,11 @@ class Machine:
 
 
 def cut(word: str) -> list[str]:
+    """A word behind a mark of its start, in overlapping parts if it is long."""
     word = word.strip(EDGE)
     if len(word) < ORDER:
         return []
+    word = START + word
     if len(word) <= LONGEST:
         return [word]
     step = LONGEST // 2
@@ -162,29 +165,36 @@ def units(text: str) -> list[str]:
 
 
 def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) -> list[str]:
-    """Strings of 4 to 10 characters that set toxic sentences apart, by sequential covering."""
+    """Strings of 5 to 11 characters (with the mark of a word's start) that set toxic sentences apart, by sequential covering."""
 
     def strings(sentence: set[str]) -> set[str]:
         found = set()
         for word in sentence:
-            word = word.strip(EDGE)
-            if ORDER <= len(word) <= 10:
+            word = START + word.strip(EDGE)
+            if ORDER < len(word) <= 11:
                 found.add(word)
-            for n in (4, 5, 6):
+            for n in (5, 6, 7):
                 found.update(word[i : i + n] for i in range(len(word) - n + 1))
         return found
 
-    in_clean: Counter[str] = Counter()
+    # Counted first, so that only strings with enough support are kept.
+    support: Counter[str] = Counter()
+    for s in toxic:
+        support.update(strings(s))
+    least = max(4, 0.0005 * len(toxic))
+    in_clean = {g: 0 for g, n in support.items() if n >= least}
+    del support
     for s in clean:
-        in_clean.update(strings(s))
-    has = [strings(s) for s in toxic]
-    where: dict[str, list[int]] = defaultdict(list)
-    for i, found in enumerate(has):
-        for g in found:
-            where[g].append(i)
+        for g in strings(s):
+            if g in in_clean:
+                in_clean[g] += 1
+    where: dict[str, list[int]] = {g: [] for g in in_clean}
+    for i, s in enumerate(toxic):
+        for g in strings(s):
+            if g in where:
+                where[g].append(i)
     ratio = len(clean) / max(1, len(toxic))
-    least = max(4, 0.0005 * len(toxic))
-    where = {g: at for g, at in where.items() if len(at) >= least and in_clean[g] <= 0.01 * len(at) * ratio}
+    where = {g: at for g, at in where.items() if in_clean[g] <= 0.01 * len(at) * ratio}
     open_ = [True] * len(toxic)
     chosen: list[str] = []
     counts = {g: len(at) for g, at in where.items()}
@@ -208,7 +218,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
     return chosen
 
 
-def fit(sentences: Iterable[tuple[str, int]], most_landmarks: int = 64, negatives: int = 20_000, caution: float = 40.0, rounds: int = 600) -> Machine:
+def fit(sentences: Iterable[tuple[str, int]], most_landmarks: int = 48, negatives: int = 20_000, caution: float = 40.0, rounds: int = 600) -> Machine:
     """The machine from labelled sentences (text, 0 or 1)."""
     toxic, clean, seen = [], [], set()
     for text, label in sentences:
@@ -231,7 +241,7 @@ def fit(sentences: Iterable[tuple[str, int]], most_landmarks: int = 64, negative
     for z in landmarks:
         for sign in ("-", ".", "*", " "):
             at = int(rng.integers(1, len(z)))
-            gapped += [z[:at] + sign + z[at:], sign.join(z)]
+            gapped += [z[:at] + sign + z[at:], z[:2] + sign.join(z[1:])[1:]]
     ordinary = sorted({p for s in clean for w in s for p in cut(w)})
     row, col, value = base.similarities(ordinary)
     nearest = np.zeros(len(ordinary))
@@ -265,15 +275,25 @@ def fit(sentences: Iterable[tuple[str, int]], most_landmarks: int = 64, negative
     # The border: above all but a few clean sentences, yet below most carriers.
     decision = dict(zip(ordinary, machine.decide(ordinary).tolist(), strict=True))
     tops = [max((decision[p] for w in s for p in cut(w)), default=machine.bias) for s in clean]
-    low = float(np.quantile(tops, 0.9999)) + 0.05
-    high = float(np.quantile(machine.decide(carriers), 0.05)) if carriers else low
-    machine.bias -= min(low, max(0.0, (low + high) / 2))
+    machine.bias -= border(np.array(tops), machine.decide(carriers))
     return machine
 
 
-def labelled_sentences(docs: DataFrame, labels: DataFrame, documents: int = 3000, sentences: int = 60_000) -> list[tuple[str, int]]:
+def border(clean: np.ndarray, carriers: np.ndarray, sentences: int = 40) -> float:
+    """Where the missed share of carriers, and that of clean documents of so many sentences that get over it, are least
+    together; a tenth of the way up, if that is a whole range."""
+    at = np.unique(np.r_[clean, carriers])
+    missed = np.searchsorted(np.sort(carriers), at, side="right") / max(1, len(carriers))
+    over = 1 - np.searchsorted(np.sort(clean), at, side="right") / max(1, len(clean))
+    cost = missed + sentences * over
+    best = int(np.argmin(cost))
+    above = at[best + 1] if best + 1 < len(at) else at[best] + 1.0
+    return float(at[best] + 0.1 * (above - at[best]))
+
+
+def labelled_sentences(docs: DataFrame, labels: DataFrame, documents: int = 3000, sentences: int = 30_000, longest: int = 2000) -> list[tuple[str, int]]:
     """Sentences of at most ``documents`` labelled documents per class (those with the smallest hashes), at most
-    ``sentences`` per class; a sentence has its document's label. Rows without doc_id, label or text do not count."""
+    ``sentences`` per class, of at most ``longest`` characters each; a sentence has its document's label. Rows without doc_id, label or text do not count."""
     ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -283,7 +303,7 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame, documents: int = 3000
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # The chosen ids are bounded by the parameter, so the texts need not move.
     rows = text.join(F.broadcast(chosen), "doc_id")
-    parts = rows.select("toxic", F.explode(F.split("text", r"[.!?\n]+")).alias("sentence")).where("length(trim(sentence)) > 0")
+    parts = rows.select("toxic", F.explode(F.split("text", r"[.!?\n]+")).alias("sentence")).where(F.length(F.trim("sentence")).between(1, longest))
     # A sentence that clean documents have too is clean.
     parts = parts.groupBy(F.trim("sentence").alias("sentence")).agg(F.min("toxic").alias("toxic"))
     out: list[tuple[str, int]] = []
