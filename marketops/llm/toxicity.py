@@ -218,7 +218,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int) ->
     return chosen
 
 
-def fit(sentences: Iterable[tuple[str, int]], most_landmarks: int = 48, negatives: int = 20_000, caution: float = 40.0, rounds: int = 600) -> Machine:
+def fit(sentences: Iterable[tuple[str, int]], most_landmarks: int = 48, negatives: int = 20_000, caution: float = 40.0, rounds: int = 4000) -> Machine:
     """The machine from labelled sentences (text, 0 or 1)."""
     toxic, clean, seen = [], [], set()
     for text, label in sentences:
@@ -261,7 +261,7 @@ def fit(sentences: Iterable[tuple[str, int]], most_landmarks: int = 48, negative
     root = axes @ np.diag(np.where(size > 1e-3, size, np.inf) ** -0.5) @ axes.T
     x = k @ root
     w, b, total, bias = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
-    penalty = 1e-4
+    penalty = 1e-5
     for t in range(1, rounds + 1):
         wrong = label * (x @ w + b) < 1
         pull = weight * label * wrong
