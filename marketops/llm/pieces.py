@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces a worker remembers; the memory it takes is some 200 bytes a piece.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def split(text: str) -> list[str]:
@@ -47,18 +47,23 @@ class PieceCache:
         """Each text's encoding: those of its pieces, joined."""
         cut = [split(t) for t in texts]
         first, later = self.first, self.later
-        new = set().union(*[p[1:] for p in cut]) - later.keys()
+        get = later.get
+        found = [list(map(get, p)) for p in cut]
+        gaps = [[j for j, value in enumerate(f) if value is None and j] for f in found]
+        new = {p[j] for p, gap in zip(cut, gaps, strict=True) for j in gap}
         if len(later) + len(new) > REMEMBERED:
             later.clear()
-            new = set().union(*[p[1:] for p in cut])
         if new:
-            todo = sorted(new, key=lambda p: "\n" in p)
+            todo = list(new)
             later.update(zip(todo, self.encode([" " + p for p in todo]), strict=True))
         if len(first) > REMEMBERED // 10:
             first.clear()
         heads = {p[0] for p in cut} - first.keys()
         if heads:
-            todo = sorted(heads)
+            todo = list(heads)
             first.update(zip(todo, self.encode(todo), strict=True))
-        get = later.__getitem__
-        return [first[p[0]] + b"".join(map(get, p[1:])) for p in cut]
+        for p, f, gap in zip(cut, found, gaps, strict=True):
+            f[0] = first[p[0]]
+            for j in gap:
+                f[j] = later[p[j]]
+        return [b"".join(f) for f in found]

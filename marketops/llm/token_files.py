@@ -12,22 +12,42 @@ doc_id come first. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketops.llm.common import Scratch, documents_of, parallelism, shared_dir, steps, utf8
-from marketops.llm.pieces import PieceCache
+from marketops.llm.pieces import PieceCache, worker_memory
 
 NO_ID = -(2**63)
+#: Words whose ids a worker remembers.
+WORDS = 100_000
+#: The split of byte-level tokenizers (fixed value) and the texts on which all engines for patterns agree about it.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+COMMON = regex.compile(r"[\x21-\x7e \n\xa1-\u024f]*")
+#: The alphabet of byte-level models: printable bytes stand for themselves, the others follow from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 MANIFEST = "part string, n_docs bigint, n_tokens bigint, low bigint, width int"
 
 
+def splits_like(tokenizer, pattern: str):
+    """The compiled pattern, if the tokenizer is a byte-level model without other steps, else None."""
+    state = json.loads(tokenizer.to_str())
+    before = state.get("pre_tokenizer") or {}
+    if state.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and state["model"]["type"] == "BPE":
+        return regex.compile(pattern)
+    return None
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None, parts: int | None = None) -> DataFrame:
     """Write the files below ``folder`` (default: a new one in the shared folder); the stored manifest, with ``base``."""
     spark = docs.sparkSession
@@ -43,24 +63,30 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
         tokenizer.encode_special_tokens = True
         kind = np.dtype("<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
 
-        # Between two lines' break and a space there is always a border, so many pieces go through one call.
-        border = tokenizer.encode("\n\n", add_special_tokens=False).ids
+        words = worker_memory(f"tokens {tokenizer_path} words", dict)
+        # A byte-level model takes words in its own alphabet; where its split is this pattern, common scripts are split here.
+        plain_pattern = splits_like(tokenizer, PATTERN)
+
+        def word(text: str) -> bytes:
+            known = words.get(text)
+            if known is None:
+                if len(words) >= WORDS:
+                    words.clear()
+                coded = text.encode().decode("latin-1").translate(ALPHABET)
+                known = words[text] = array("H" if kind.itemsize == 2 else "I", [t.id for t in tokenizer.model.tokenize(coded)]).tobytes()
+            return known
 
         def alone(new: list[str]) -> list[bytes]:
             return [np.array(found.ids, kind).tobytes() for found in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-        def encode(new: list[str]) -> Iterator[bytes]:
-            for i in range(0, len(new), 500):
-                some = new[i : i + 500]
-                if len(border) == 1 and not any("\n" in p or p[-1:].isspace() or p[:1] != " " or p[1:2].isspace() for p in some):
-                    ids = np.array(tokenizer.encode_batch_fast(["\n\n".join(some)], add_special_tokens=False)[0].ids, kind)
-                    cuts = np.flatnonzero(ids == border[0])
-                    if len(cuts) == len(some) - 1:
-                        raw, size = ids.tobytes(), kind.itemsize
-                        for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                            yield raw[a * size : b * size]
-                        continue
-                yield from alone(some)
+        def encode(new: list[str]) -> list[bytes]:
+            if not plain_pattern:
+                return alone(new)
+            out = [b"".join(map(word, plain_pattern.findall(p))) if COMMON.fullmatch(p) else None for p in new]
+            rest = [i for i, o in enumerate(out) if o is None]
+            for i, o in zip(rest, alone([new[i] for i in rest]), strict=True):
+                out[i] = o
+            return out
 
         cache = PieceCache(f"tokens {tokenizer_path}", encode)
         end = np.array([end_id], kind).tobytes()
