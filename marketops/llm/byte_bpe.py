@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketops.llm.common import steps, utf8
+from marketops.llm.common import bounded_batches, steps, utf8
 from marketops.llm.pieces import PieceCache, worker_memory
 
 #: Pairs of tokens whose compatibility is remembered; beyond that the memory is emptied.
@@ -142,6 +142,7 @@ def _without(df: DataFrame, name: str) -> DataFrame:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add the token ids of ``text``, each match of ``pattern`` encoded by itself, without special tokens."""
+    bounded_batches(docs.sparkSession)
     docs = _without(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,12 +89,20 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch: texts are long, and batches lie outside the heap, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Tables of one call in the shared folder; ``drop`` deletes all but the kept one."""
 
     def __init__(self, spark: SparkSession):
         import uuid
 
+        bounded_batches(spark)
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/marketops-llm-{uuid.uuid4().hex}", 0
         self.tables: list[str] = []
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from marketops.llm.common import steps, utf8
+from marketops.llm.common import bounded_batches, steps, utf8
 
 RATE = 8000
 BLOCK = 4096
@@ -464,6 +464,7 @@ def pcm(x: np.ndarray, depth: int) -> bytes:
 def encode_column(df: DataFrame, column: str, to: str = "media") -> DataFrame:
     """Replace a binary column by its FLAC stream."""
 
+    bounded_batches(df.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(column))

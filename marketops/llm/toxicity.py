@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketops.llm.common import steps, utf8
+from marketops.llm.common import bounded_batches, steps, utf8
 
 ORDER, DECAY = 4, np.float32(0.7)
 LONGEST = 24
 #: Words a worker remembers the decision on.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 START = "^"
 EDGE = ".,;:!?\"'()[]{}<>«»„“”…"
 
@@ -315,6 +315,7 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame, documents: int = 3000
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "score") -> DataFrame:
     """Add the score, 0 to 1; an input column of that name is replaced."""
+    bounded_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name.lower() != to.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
