@@ -135,14 +135,12 @@ def check_domains(df: DataFrame, domains: Mapping[str, Sequence[str]]) -> DataFr
 def strictest_leverage_limit(df: DataFrame, limits: DataFrame, scopes: Mapping[str, str], leverage: str = "leverage") -> DataFrame:
     """Smallest of the limits set for the row's scopes and the system ceiling.
 
-    ``limits(scope, key, value)`` has one row per scope and key; ``scopes`` maps a scope to the column
+    ``limits(scope, key, value)`` may repeat a key: the smallest value counts; ``scopes`` maps a scope to the column
     of ``df`` holding its key. A scope without a limit is skipped: the ceiling always applies.
     """
     out, found = df, []
     for i, (scope, column) in enumerate(scopes.items()):
-        side = limits.where(F.col("scope") == scope).select(
-            F.col("key").alias(f"__k{i}"), F.col("value").cast(S.PRICE).alias(f"__v{i}")
-        )
+        side = limits.where(F.col("scope") == scope).groupBy(F.col("key").alias(f"__k{i}")).agg(F.min(F.col("value").cast(S.PRICE)).alias(f"__v{i}"))
         out = out.join(side, F.col(column) == F.col(f"__k{i}"), "left")
         found.append(f"__v{i}")
     limit = F.least(F.lit(S.LEVERAGE_CEILING).cast(S.PRICE), *[F.col(v) for v in found])

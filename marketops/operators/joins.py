@@ -33,7 +33,7 @@ def asof_join(
 
     The right row arrives as the struct ``name``, NULL where none lies within ``tolerance``. Among
     right rows of one instant the highest ``tie`` counts backward, the lowest forward. ``strict``
-    leaves out right rows of the same instant. One union and one segmented window, so a hot key is
+    leaves out right rows of the same instant. As in SQL, a NULL key or time matches nothing. One union and one segmented window, so a hot key is
     spread over its time buckets of ``width``; no pairs of rows are ever formed.
     """
     right_on = right_on or on
@@ -43,11 +43,14 @@ def asof_join(
     lcols = F.struct(*left.columns)
     rcols = F.struct(*right.columns)
     tie_type = right.select(F.struct(*tie).alias("t")).schema["t"].dataType
+    dated = F.col(right_on).isNotNull()
+    for c in by:
+        dated = dated & F.col(c).isNotNull()
     rows = left.select(
         *by, F.col(on).cast("timestamp").alias("__ts"), F.lit(1 if right_first else 0).alias("__side"),
         F.lit(None).cast(tie_type).alias("__tie"), lcols.alias("__left"),
     ).unionByName(
-        right.select(
+        right.where(dated).select(
             *by, F.col(right_on).cast("timestamp").alias("__ts"), F.lit(0 if right_first else 1).alias("__side"),
             F.struct(*tie).alias("__tie"), rcols.alias("__right"),
         ),
@@ -56,7 +59,10 @@ def asof_join(
     found = running(
         rows, by, ["__ts", "__side", "__tie"], bucket("__ts", width), {name: ("last", "__right")}, reverse=not back
     ).where(F.col("__left").isNotNull())
-    match = F.col(name)
+    known = F.col("__ts").isNotNull()
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    match = F.when(known, F.col(name))
     if tolerance is not None:
         gap = us(match[right_on]) - us("__ts")
         match = F.when((-gap if back else gap) <= micros(tolerance), match)
@@ -151,11 +157,14 @@ def covered_by(
     """Flag rows that lie in any interval [start, end) of the same key; an open end is NULL.
 
     A row is inside some interval exactly when the latest end among the intervals already begun lies
-    after it, so even overlapping intervals need no range join.
+    after it, so even overlapping intervals need no range join. A NULL key, time or start lies in none.
     """
     forever = F.lit("9999-12-31").cast("timestamp")
     rows = df.select(*by, F.col(on).cast("timestamp").alias("__ts"), F.lit(1).alias("__side"), F.struct(*df.columns).alias("__left"))
-    begun = spans.select(
+    dated = F.col(start).isNotNull()
+    for c in by:
+        dated = dated & F.col(c).isNotNull()
+    begun = spans.where(dated).select(
         *by, F.col(start).cast("timestamp").alias("__ts"), F.lit(0).alias("__side"),
         F.coalesce(F.col(end).cast("timestamp"), forever).alias("__to"),
     )

@@ -36,9 +36,9 @@ def order_state(events: DataFrame, order: Sequence[str] = ("event_seq",)) -> Dat
 
 def transition_audit(events: DataFrame, allowed: Mapping[str, Sequence[str]] = ALLOWED_TRANSITIONS, order: Sequence[str] = ("event_seq",),
                      segment: Column | None = None) -> DataFrame:
-    """Transitions the table does not allow. Unknown states allow nothing."""
+    """Transitions the table does not allow. Unknown states allow nothing; an event delivered again is a no-op."""
     segment = segment if segment is not None else F.floor(F.col(order[0]) / 1_000_000).cast("bigint")
-    seen = previous(events, ["client_order_id"], order, segment, {"from_state": "state"})
+    seen = previous(events.dropDuplicates(["client_order_id", *order, "state"]), ["client_order_id"], order, segment, {"from_state": "state"})
     legal = F.lit(False)
     for state, nexts in allowed.items():
         if nexts:

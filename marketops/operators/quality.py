@@ -144,16 +144,24 @@ def sticky_quality(
 
 
 def feed_silence(df: DataFrame, limit: str | int | None = None, feed: Sequence[str] = FEED, ts: str = "event_ts",
-                 tie: Sequence[str] = ("seq",), limit_column: str | None = None, width: str | int = "1 hour") -> DataFrame:
+                 tie: Sequence[str] = ("seq",), limit_column: str | None = None, width: str | int = "1 hour", as_of: str | None = None) -> DataFrame:
     """Intervals between neighbouring events longer than the policy: the feed was disconnected.
 
+    With ``as_of`` a feed whose last event lies further back than the policy allows is reported too, up to ``as_of``.
+
     The limit is a duration, or a column of microseconds attached by ``policy_join`` (NULL: any
     silence counts)."""
     keep = [limit_column] if limit_column else []
     seen = previous(df.select(*feed, ts, *tie, *keep), feed, [ts, *tie], bucket(ts, width), {"__p": ts})
     allowed = F.col(limit_column) if limit_column else F.lit(micros(limit))
     silent = F.coalesce(us(ts) - us("__p") > allowed, F.col("__p").isNotNull())
-    return seen.where(silent).select(*feed, F.col("__p").alias("from_ts"), F.col(ts).alias("to_ts"))
+    gaps = seen.where(silent).select(*feed, F.col("__p").alias("from_ts"), F.col(ts).alias("to_ts"))
+    if as_of is None:
+        return gaps
+    last = df.groupBy(*feed).agg(F.max(ts).alias("from_ts"), *([F.max_by(limit_column, F.struct(ts, *tie)).alias("__limit")] if limit_column else []))
+    now = F.lit(as_of).cast("timestamp")
+    dead = F.coalesce(us(now) - us("from_ts") > (F.col("__limit") if limit_column else F.lit(micros(limit))), F.col("from_ts") < now)
+    return gaps.unionByName(last.where(dead).select(*feed, "from_ts", now.alias("to_ts")))
 
 
 def ingest_latency(df: DataFrame, late_after: str | int, width: str = "1 day", feed: Sequence[str] = ("venue", "channel"), exact: bool = False) -> DataFrame:

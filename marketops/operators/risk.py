@@ -138,7 +138,8 @@ def return_correlation(returns: DataFrame, min_bars: int = 2, blocks: int = 8, s
     sums = tidy.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")]).where(F.col("n") >= min_bars)
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    spreadable = (vx > 1e-18) & (vy > 1e-18)
+    # Beyond rounding, whatever the size of the returns.
+    spreadable = (vx > F.col("sxx") * 1e-12) & (vy > F.col("syy") * 1e-12)
     return sums.select("a", "b", F.when(spreadable, cov / F.sqrt(vx * vy)).alias("corr"), F.col("n").cast("bigint").alias("n"))
 
 

@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
@@ -61,11 +61,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
     """Delete the tables ``materialize`` wrote, once their results are stored; the ``keep`` oldest stay."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while len(_SCRATCH) > keep:
-        path = hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete_folder(spark, _SCRATCH.pop())
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_tables() -> int:

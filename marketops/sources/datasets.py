@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from marketops.operators.quality import SOURCE_KEY, row_digest
 from marketops.schemas import PRICE, RAW_EVENT
-from marketops.session import drop_scratch, materialize, scratch_tables
+from marketops.session import delete_folder, shared_dir
 
 PARTITIONS = ("venue", "instrument", "event_type", "date")
 
@@ -20,7 +21,7 @@ def scan_dataset(spark: SparkSession, path: str, schema: T.StructType = RAW_EVEN
                  event_type: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Historical events with their declared schema. Filters name partition columns, so files outside
     them are never opened. ``version`` tells which dataset version a row belongs to."""
-    declared = T.StructType(schema.fields)
+    declared = T.StructType(list(schema.fields))  # a copy: the given schema stays as it is
     for name, kind in (("date", T.DateType()), ("version", T.IntegerType())):
         if name not in declared.names:
             declared.add(name, kind)
@@ -50,7 +51,7 @@ def write_dataset(df: DataFrame, path: str, version: int, ts: str = "event_ts",
 
 def read_version(df: DataFrame, as_of_version: int, key: Sequence[str] = SOURCE_KEY, version: str = "version") -> DataFrame:
     """Per source key the newest correction not above the requested version; history stays on disk."""
-    w = Window.partitionBy(*key).orderBy(F.desc(version))
+    w = Window.partitionBy(*key).orderBy(F.desc(version), F.xxhash64(*df.columns))
     known = df.where(F.col(version) <= as_of_version)
     return known.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
@@ -94,27 +95,40 @@ def dataset_manifest(df: DataFrame, config: Mapping, ts: str = "event_ts", by: S
     )
 
 
-def append_audit(df: DataFrame, path: str, key: Sequence[str], day: Column | None = None) -> None:
-    """Append rows whose key the log does not hold yet, so a retried batch adds nothing.
+def append_audit(df: DataFrame, path: str, key: Sequence[str], day: Column | None = None, key_parts: int = 64) -> None:
+    """Append rows whose key the log does not hold yet, whatever day they come on: every key counts once for ever.
 
-    The log is partitioned by ``log_date``, computed from the rows themselves, so a repeated row meets
-    its own day again. The batch is computed once; its days (a handful of dates) select the parts of the
-    log that are read at all.
+    The log is partitioned by a hash of the key, so a batch reads the key columns of the parts its own keys fall into and
+    no others. ``log_date`` is data. ``key_parts`` must stay the same for one log. Of rows of a batch with one key the earliest day
+    stays, then the smallest row hash; NULL key values are equal to each other.
     """
     spark = df.sparkSession
-    before = scratch_tables()
     unknown = F.lit("1970-01-01").cast("date")
-    dated = df.withColumn("log_date", F.coalesce(F.to_date(day if day is not None else F.col("ts")), unknown))
-    rows = materialize(dated.dropDuplicates([*key]))
-    days = [row.log_date for row in rows.select("log_date").distinct().collect()]
-    if not days:
-        return
+    dated = df.withColumns({
+        "log_date": F.coalesce(F.to_date(day if day is not None else F.col("ts")), unknown),
+        "key_part": F.pmod(F.xxhash64(*key), F.lit(key_parts)).cast("int"),
+    })
+    first = Window.partitionBy(*key).orderBy("log_date", F.xxhash64(*df.columns))
+    batch = f"{shared_dir(spark)}/marketops-batch-{uuid.uuid4().hex}"
     try:
-        log = spark.read.parquet(path).where(F.col("log_date").isin(days)).select(*key, "log_date")
-    except Exception as missing:  # the first batch finds no log yet
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-        log = None
-    fresh = rows if log is None else rows.join(log, [*key, "log_date"], "left_anti")
-    fresh.write.mode("append").partitionBy("log_date").parquet(path)
-    drop_scratch(spark, keep=before)
+        dated.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").write.parquet(batch)
+        rows = spark.read.parquet(batch)
+        parts = [row.key_part for row in rows.select("key_part").distinct().collect()]  # at most key_parts
+        if not parts:
+            return
+        try:
+            log = spark.read.parquet(path).where(F.col("key_part").isin(parts)).select("key_part", *key)
+        except Exception as missing:  # the first batch finds no log yet
+            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+                raise
+            log = None
+        fresh = rows
+        if log is not None:
+            known = log.toDF("__part", *[f"__k{i}" for i in range(len(key))])
+            same = F.col("key_part") == F.col("__part")
+            for i, name in enumerate(key):
+                same = same & F.col(name).eqNullSafe(F.col(f"__k{i}"))
+            fresh = rows.join(known, same, "left_anti")
+        fresh.write.mode("append").partitionBy("key_part").parquet(path)
+    finally:
+        delete_folder(spark, batch)

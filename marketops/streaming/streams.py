@@ -52,7 +52,7 @@ def missing_decisions_stream(signals: DataFrame, decisions: DataFrame, timeout:
     """Signals for which no decision arrives in time: a left outer stream join, empty side kept."""
     s = signals.withWatermark("ts", delay)
     d = decisions.select(F.col("signal_id").alias("d_signal"), "decision_id", F.col("ts").alias("d_ts")).withWatermark("d_ts", delay)
-    limit = F.expr(f"INTERVAL {micros(timeout) // 1_000_000} SECOND")
+    limit = F.expr(f"INTERVAL {micros(timeout)} MICROSECOND")
     on = (F.col("signal_id") == F.col("d_signal")) & F.col("d_ts").between(F.col("ts"), F.col("ts") + limit)
     return s.join(d, on, "left_outer").where(F.col("decision_id").isNull()).drop("d_signal", "decision_id", "d_ts")
 

@@ -91,7 +91,7 @@ def test_asof_join_against_brute_force(spark, ticks, width, direction, strict, t
         near = None
         for r in rights:
             gap = row.ts - r.ts if direction == "backward" else r.ts - row.ts
-            if r.k != row.k or gap < timedelta(0) or (strict and not gap) or gap > limit:
+            if row.k is None or r.k != row.k or gap < timedelta(0) or (strict and not gap) or gap > limit:
                 continue
             rank = (r.ts, r.seq)
             if near is None or (rank > near if direction == "backward" else rank < near):
