@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketops.llm.common import bounded_batches, steps, utf8
-from marketops.llm.pieces import PieceCache, worker_memory
+from marketops.llm.pieces import Memory, PieceCache, worker_memory
 
 #: Pairs of tokens whose compatibility is remembered; beyond that the memory is emptied.
 PAIRS = 1_000_000
 #: Matches of the pattern whose ids are remembered.
-WORDS = 200_000
+WORDS = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,7 +43,7 @@ class Encoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(WORDS)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
@@ -122,9 +122,8 @@ class Encoder:
         """The ids of one match as 32-bit integers, remembered: pieces share words."""
         known = self.words.get(match)
         if known is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            known = self.words[match] = array("i", self.word(match.encode())).tobytes()
+            known = array("i", self.word(match.encode())).tobytes()
+            self.words.put(match, known)
         return known
 
     def encode(self, text: str) -> bytes:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 
 BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces a worker remembers; the memory it takes is some 200 bytes a piece.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 def split(text: str) -> list[str]:
@@ -33,29 +33,55 @@ def worker_memory(name: str, make: Callable[[], object]):
     return store[name]
 
 
+class Memory:
+    """A bounded memory of two generations: what was not asked for since the last turn is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key: str):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.limit:
+            self.turn()
+        self.young[key] = value
+
+    def turn(self) -> None:
+        self.young, self.old = {}, self.young
+
+
 class PieceCache:
-    """Encodings of pieces, kept by a Python worker over its tasks and cut back when they become many.
+    """Encodings of pieces, kept by a Python worker over its tasks; those not met for long are forgotten.
 
     ``encode`` gets a list of strings and returns their encodings as bytes.
     """
 
     def __init__(self, name: str, encode: Callable[[list[str]], Iterable[bytes]]):
-        self.first, self.later = worker_memory(name, lambda: ({}, {}))
+        self.first, self.later = worker_memory(name, lambda: ({}, Memory(REMEMBERED)))
         self.encode = encode
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's encoding: those of its pieces, joined."""
         cut = [split(t) for t in texts]
-        first, later = self.first, self.later
-        get = later.get
+        first, memory = self.first, self.later
+        get = memory.young.get
         found = [list(map(get, p)) for p in cut]
         gaps = [[j for j, value in enumerate(f) if value is None and j] for f in found]
         new = {p[j] for p, gap in zip(cut, gaps, strict=True) for j in gap}
-        if len(later) + len(new) > REMEMBERED:
-            later.clear()
-        if new:
-            todo = list(new)
+        if len(memory.young) + len(new) > memory.limit:
+            memory.turn()
+        old = memory.old.get
+        later = {p: old(p) for p in new}
+        todo = [p for p, value in later.items() if value is None]
+        if todo:
             later.update(zip(todo, self.encode([" " + p for p in todo]), strict=True))
+        memory.young.update(later)
         if len(first) > REMEMBERED // 10:
             first.clear()
         heads = {p[0] for p in cut} - first.keys()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketops.llm.common import Scratch, documents_of, parallelism, shared_dir, steps, utf8
-from marketops.llm.pieces import PieceCache, worker_memory
+from marketops.llm.pieces import Memory, PieceCache, worker_memory
 
 NO_ID = -(2**63)
 #: Words whose ids a worker remembers.
@@ -63,17 +63,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
         tokenizer.encode_special_tokens = True
         kind = np.dtype("<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
 
-        words = worker_memory(f"tokens {tokenizer_path} words", dict)
+        words = worker_memory(f"tokens {tokenizer_path} words", lambda: Memory(WORDS))
         # A byte-level model takes words in its own alphabet; where its split is this pattern, common scripts are split here.
         plain_pattern = splits_like(tokenizer, PATTERN)
 
+        model = tokenizer.model
+
         def word(text: str) -> bytes:
             known = words.get(text)
             if known is None:
-                if len(words) >= WORDS:
-                    words.clear()
                 coded = text.encode().decode("latin-1").translate(ALPHABET)
-                known = words[text] = array("H" if kind.itemsize == 2 else "I", [t.id for t in tokenizer.model.tokenize(coded)]).tobytes()
+                known = array("H" if kind.itemsize == 2 else "I", [t.id for t in model.tokenize(coded)]).tobytes()
+                words.put(text, known)
             return known
 
         def alone(new: list[str]) -> list[bytes]:
@@ -82,7 +83,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
         def encode(new: list[str]) -> list[bytes]:
             if not plain_pattern:
                 return alone(new)
-            out = [b"".join(map(word, plain_pattern.findall(p))) if COMMON.fullmatch(p) else None for p in new]
+            out = []
+            for p in new:
+                body = p[1:]
+                if body.isalpha() and body.isascii() and (p[0] == " " or p.isalpha()):
+                    out.append(word(p))  # one match of the pattern
+                else:
+                    out.append(b"".join(map(word, plain_pattern.findall(p))) if COMMON.fullmatch(p) else None)
             rest = [i for i, o in enumerate(out) if o is None]
             for i, o in zip(rest, alone([new[i] for i in rest]), strict=True):
                 out[i] = o
