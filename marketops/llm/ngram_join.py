@@ -251,8 +251,9 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     asked = met.groupBy(F.col("key").alias("a"), "n", "label", "b").agg(F.max((F.col("group") == F.col("b")).cast("int")).alias("own"))
     weight = (F.col("missing") * 100 + F.col("new") * percent) / (100 + percent)
     asked = scratch.store(asked.join(led, ["a", "b"]).withColumns({"f": weight, "d": F.col("missing") + F.col("new"), "slack": (F.col("n") + F.col("missing") - F.col("new")) * (100 - percent) / (100 + percent)}))
-    # The bound: no member of the group shares more differences than it has. A group's two largest rooms, as a set is no partner of its own.
-    room = asked.where("own = 1").select("a", "b", (F.col("d") - F.col("f")).alias("room"))
+    # The bound: no set shares more differences than it has. A group's two largest rooms, as a set is no partner of its own; queries from
+    # other groups count, for they may be all that a member links with.
+    room = asked.select("a", "b", (F.col("d") - F.col("f")).alias("room"))
     largest = room.withColumn("__n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("room"), "a"))).where(F.col("__n") <= 2)
     rooms = largest.groupBy("b").agg(F.max("room").alias("most"), F.min_by("a", "__n").alias("whose"), F.max(F.when(F.col("__n") == 2, F.col("room"))).alias("second"))
     bounded = asked.join(rooms, "b").where(F.col("f") - F.col("slack") <= F.when(F.col("whose") == F.col("a"), F.coalesce("second", F.lit(-1.0))).otherwise(F.col("most")) + 1e-9)
