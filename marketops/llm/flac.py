@@ -378,8 +378,12 @@ def _open(stream: bytes) -> tuple[dict, int]:
         raise ValueError("not a FLAC stream")
     at, info, seek = 4, None, []
     while True:
+        if at + 4 > len(stream):
+            raise ValueError("the stream ends within its header")
         last, kind, size = stream[at] >> 7, stream[at] & 0x7F, int.from_bytes(stream[at + 1 : at + 4], "big")
         block = stream[at + 4 : at + 4 + size]
+        if len(block) < size or (kind == 0 and size < 34):
+            raise ValueError("the stream ends within its header")
         if kind == 0:
             packed = int.from_bytes(block[10:18], "big")
             info = {"block": int.from_bytes(block[:2], "big"), "channels": (packed >> 41 & 7) + 1, "depth": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": block[18:34]}

@@ -61,7 +61,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     row = np.searchsorted(offsets, start, side="right") - 1
     count = np.bincount(row, minlength=n)
     total = np.zeros(len(hashed), np.uint64)
-    for w in range(words):
+    for w in range(min(words, len(hashed))):
         total[: len(hashed) - w] += mixed(hashed[w:] + TAGS[w])
     within = np.arange(len(row)) - (np.cumsum(count) - count)[row]
     full = within <= (count - words)[row]
