@@ -1,11 +1,12 @@
 """License notices by conditional compression.
 
 A block is the text around a cue word. It is compressed alone and with each template as a raw dictionary; what the
-dictionary saves, over what it saves on the template itself, ranks the templates. From the best down, a template is aligned with
+dictionary saves, over what it saves on the template itself, ranks the templates. Each template is aligned with
 the block word by word, and the words that differ decide: few enough, and none that carries a digit or is one of the
-template's names.
+template's names. All stretches near enough are taken, the nearest first, and what they leave over is aligned anew until
+no template is near any of it. Only then are rewordings beyond the tolerance listed, by what the words left over gain.
 
-Blocks reach as far on both sides of a cue as the longest template has words; blocks that touch are one, and
+Blocks reach as far on both sides of a cue as the longest stretch within the tolerance has words; blocks that touch are one, and
 long ones are cut with that much overlap, so every notice lies whole in a block. Texts without a cue give no rows,
 as do NULL and empty texts. Repeated rows give repeated rows. Extra columns are ignored.
 """
@@ -13,6 +14,7 @@ as do NULL and empty texts. Repeated rows give repeated rows. Extra columns are
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -48,18 +50,24 @@ def plain(word: str) -> str:
     return word.strip(".,;:()[]\"'*/#").lower()
 
 
-def align(block: list[str], template: list[str]) -> tuple[int, int, int, list[str]]:
-    """Fewest word edits that turn some stretch of the block into the template: (edits, start, end, wording)."""
+def costs(block: list[str], template: list[str]) -> np.ndarray:
+    """Row i, column j: fewest word edits that turn some stretch of the block, ending before word j, into the template's first i words."""
     n, m = len(block), len(template)
+    codes: dict[str, int] = {}
+    coded = np.array([codes.setdefault(w, len(codes)) for w in block], np.int64)
     cost = np.zeros((m + 1, n + 1), np.int64)
     cost[:, 0] = np.arange(m + 1)
     for i in range(1, m + 1):
-        same = np.array([w == template[i - 1] for w in block], bool)
+        same = coded == codes.get(template[i - 1], -1)
         step = np.minimum(cost[i - 1, :-1] + ~same, cost[i - 1, 1:] + 1)
         row = np.r_[i, step]
         cost[i] = np.minimum.accumulate(row - np.arange(n + 1)) + np.arange(n + 1)  # words only the block has
-    j = end = int(cost[m].argmin())
-    i, wording = m, []
+    return cost
+
+
+def trace(cost: np.ndarray, block: list[str], template: list[str], end: int) -> tuple[int, list[str]]:
+    """(start, wording) of the stretch that ends there."""
+    i, j, wording = len(template), end, []
     while i > 0:
         if j and cost[i, j] == cost[i - 1, j - 1] + (block[j - 1] != template[i - 1]):
             if block[j - 1] != template[i - 1]:
@@ -71,7 +79,29 @@ def align(block: list[str], template: list[str]) -> tuple[int, int, int, list[st
         else:
             wording.append(f"+{block[j - 1]}")
             j -= 1
-    return int(cost[m, end]), j, end, wording[::-1]
+    return j, wording[::-1]
+
+
+def align(block: list[str], template: list[str]) -> tuple[int, int, int, list[str]]:
+    """Fewest word edits that turn some stretch of the block into the template: (edits, start, end, wording)."""
+    cost = costs(block, template)
+    end = int(cost[-1].argmin())
+    start, wording = trace(cost, block, template, end)
+    return int(cost[-1, end]), start, end, wording
+
+
+def align_all(block: list[str], template: list[str], most: float) -> Iterator[tuple[int, int, int, list[str]]]:
+    """Every stretch with so many edits at most, as ``align`` gives one; the nearest first, none over another."""
+    cost = costs(block, template)
+    used = np.zeros(len(block), bool)
+    for end in map(int, np.argsort(cost[-1], kind="stable")):
+        if cost[-1, end] > most:
+            break
+        if end and not used[end - 1]:
+            start, wording = trace(cost, block, template, end)
+            if start < end and not used[start:end].any():
+                used[start:end] = True
+                yield int(cost[-1, end]), start, end, wording
 
 
 class Scanner:
@@ -79,7 +109,8 @@ class Scanner:
         self.least_gain, self.tolerance = least_gain, tolerance
         self.alone = zstandard.ZstdCompressor(level=9)
         self.words = {name: [plain(w) for w in WORD.findall(text)] for name, text in templates.items()}
-        self.reach = max(map(len, self.words.values()))
+        self.counts = {name: Counter(template) for name, template in self.words.items()}
+        self.reach = max(len(template) + int(tolerance * len(template)) for template in self.words.values())
         self.with_, self.own = {}, {}
         for name, text in sorted(templates.items()):
             raw = text.encode()
@@ -87,7 +118,8 @@ class Scanner:
             self.with_[name] = zstandard.ZstdCompressor(level=9, dict_data=dictionary)
             self.own[name] = max(1, len(self.alone.compress(raw)) - len(self.with_[name].compress(raw)))
 
-    def blocks(self, words: list[str]) -> Iterator[tuple[int, int]]:
+    def spans(self, words: list[str]) -> list[list[int]]:
+        """The surroundings of all cues; those that touch are one."""
         cue = re.compile(CUE)
         spans: list[list[int]] = []
         for i, w in enumerate(words):
@@ -97,33 +129,63 @@ class Scanner:
                     spans[-1][1] = b
                 else:
                     spans.append([a, b])
-        for a, b in spans:
-            step = 6 * self.reach
-            for s in range(a, max(a + 1, b - 2 * self.reach), step):
-                yield s, min(b, s + step + 2 * self.reach)
+        return spans
+
+    def blocks(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        step = 6 * self.reach
+        for s in range(a, max(a + 1, b - 2 * self.reach), step):
+            yield s, min(b, s + step + 2 * self.reach)
 
     def scan(self, text: str) -> Iterator[tuple[int, int, str, float, int, str, bool]]:
         words = WORD.findall(text)
-        seen: set[tuple[int, int]] = set()
-        for a, b in self.blocks(words):
-            raw = " ".join(words[a:b]).encode()
-            size = len(self.alone.compress(raw))
-            gains = {name: (size - len(c.compress(raw))) / self.own[name] for name, c in self.with_.items()}
-            block = [plain(w) for w in words[a:b]]
-            taken: list[tuple[int, int]] = []
-            found = []
-            for name in sorted(gains, key=lambda n: (-gains[n], n)):
-                if gains[name] < self.least_gain:
-                    break
-                edits, start, end, wording = align(block, self.words[name])
-                critical = any(c.isdigit() or c.isupper() for w in wording for c in self._exact(w, name))
-                found.append((edits / len(self.words[name]), -gains[name], name, edits, start, end, wording, not critical and edits <= self.tolerance * len(self.words[name])))
-            for _, gain, name, edits, start, end, wording, good in sorted(found):
-                if any(start < e and s < end for s, e in taken) or (a + start, a + end) in seen:
-                    continue  # a nearer template has these words
-                taken.append((start, end))
-                seen.add((a + start, a + end))
-                yield a + start, end - start, name, round(-gain, 6), edits, " ".join(wording), good
+        plains = [plain(w) for w in words]
+        free, rows = self.spans(words), []
+        for find in (self._near, self._reworded):
+            rest = []
+            while free:
+                a, b = free.pop()
+                used = np.zeros(b - a, bool)
+                for _, _, _, name, start, end, gain, edits, wording, good in sorted(c for s, e in self.blocks(a, b) for c in find(words, plains, s, e)):
+                    if not used[start - a : end - a].any():  # else a nearer template has these words
+                        used[start - a : end - a] = True
+                        rows.append((start, end - start, name, round(gain, 6), edits, " ".join(wording), good))
+                edges = np.flatnonzero(np.diff(np.r_[True, used, True])) + a
+                (free if used.any() else rest).extend(edges.reshape(-1, 2).tolist())
+            free = rest
+        yield from sorted(rows)
+
+    def _gains(self, words: list[str]) -> dict[str, float]:
+        raw = " ".join(words).encode()
+        size = len(self.alone.compress(raw))
+        return {name: (size - len(c.compress(raw))) / self.own[name] for name, c in self.with_.items()}
+
+    def _near(self, words: list[str], plains: list[str], a: int, b: int) -> Iterator[tuple]:
+        """Candidates within the tolerance, in a form that sorts the nearest first, then the longest template and the greatest gain."""
+        block = plains[a:b]
+        count = Counter(block)
+        # A template word is an edit unless the block has it, so what lacks too many needs no alignment.
+        most = {name: self.tolerance * len(template) for name, template in self.words.items()}
+        likely = [name for name, c in self.counts.items() if len(self.words[name]) - sum(min(n, count[w]) for w, n in c.items()) <= most[name]]
+        found = [(name, *f) for name in likely for f in align_all(block, self.words[name], most[name])]
+        gains = self._gains(words[a:b]) if found else {}
+        for name, edits, start, end, wording in found:
+            if gains[name] < self.least_gain:
+                continue
+            critical = any(c.isdigit() or c.isupper() for w in wording for c in self._exact(w, name))
+            yield self._candidate(gains, name, edits, a + start, a + end, wording, not critical)
+
+    def _reworded(self, words: list[str], plains: list[str], a: int, b: int) -> Iterator[tuple]:
+        """Candidates beyond the tolerance: the nearest stretch of each template with the least gain."""
+        gains = self._gains(words[a:b])
+        for name, gain in gains.items():
+            if gain >= self.least_gain:
+                edits, start, end, wording = align(plains[a:b], self.words[name])
+                if start < end:
+                    yield self._candidate(gains, name, edits, a + start, a + end, wording, False)
+
+    def _candidate(self, gains: Mapping[str, float], name: str, edits: int, start: int, end: int, wording: list[str], good: bool) -> tuple:
+        size = len(self.words[name])
+        return edits / size, -size, -gains[name], name, start, end, gains[name], edits, wording, good
 
     def _exact(self, edit: str, name: str) -> str:
         """What of an edit must not differ: digits, and the parts of the template's name, given in capitals."""
@@ -133,8 +195,8 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least_gain: float = 0.5, tolerance: float = 0.2) -> DataFrame:
-    """One row per notice: where it stands (in words), the nearest template, its gain, the words that differ, and whether
-    they leave it confirmed. Ties of gain go to the first name."""
+    """One row per notice: where it stands (in words), the nearest template, its gain in the block, the words that differ, and whether
+    they leave it confirmed. Of templates equally near the longest counts, then the gain; ties of gain go to the first name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, least_gain, tolerance)

@@ -97,6 +97,26 @@ def test_licenses_by_wording(spark, awkward, nothing):
     assert licenses.scan_licenses(awkward).collect() == [] == licenses.scan_licenses(nothing).collect()
 
 
+def found_licenses(spark, texts, **options):
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), **options).collect()
+    return [sorted((r.first_word, r.n_words, r.license, r.differences, r.confirmed) for r in rows if r.doc_id == i) for i in range(len(texts))]
+
+
+def test_every_notice_of_a_block_is_a_row(spark):
+    gpl = licenses.TEMPLATES["GPL-2.0"]
+    texts = [
+        "Released under the MIT License. Part two: Released under the MIT License. Part three: released beneath the MIT License.",
+        f"{gpl} And {gpl.replace('2.', '3.').replace('work', 'file')}",  # the nearest stretch of version 3 is the notice of version 2
+        " ".join(f"{i} Licensed under CC BY 4.0." for i in range(300)),  # a block cut into many
+        "Everyone may use the BSD 2-Clause License here. " * 3,
+    ]
+    got = found_licenses(spark, texts, least_gain=0.3)
+    assert got[0] == [(0, 5, "MIT", 0, True), (7, 5, "MIT", 0, True), (14, 5, "MIT", 1, True)]
+    assert got[1] == [(0, 12, "GPL-2.0", 0, True), (13, 12, "GPL-3.0", 1, True)]
+    assert got[2] == [(6 * i + 1, 5, "CC-BY-4.0", 0, True) for i in range(300)]
+    assert [r[2:] for r in got[3]] == [("BSD-2-Clause", 2, False)] * 3
+
+
 def test_alignment_is_the_smallest_edit_of_any_stretch():
     edits, start, end, wording = licenses.align("x under the very MIT y".split(), "under the MIT License".split())
     assert edits == 2 and start == 1
