@@ -1,7 +1,8 @@
 """License notices by conditional compression.
 
 A block is the text around a cue word. It is compressed alone and with each template as a raw dictionary; what the
-dictionary saves, over what it saves on the template itself, ranks the templates. Each template is aligned with
+dictionary saves, over what it saves on the template itself, ranks the templates; it leaves none out, as a block that holds a
+similar notice compresses the next one well by itself and gains little. Each template is aligned with
 the block word by word, and the words that differ decide: few enough, and none that carries a digit or is one of the
 template's names. All stretches near enough are taken, the nearest first, and what they leave over is aligned anew until
 no template is near any of it. Only then are rewordings beyond the tolerance listed, by what the words left over gain.
@@ -169,8 +170,6 @@ class Scanner:
         found = [(name, *f) for name in likely for f in align_all(block, self.words[name], most[name])]
         gains = self._gains(words[a:b]) if found else {}
         for name, edits, start, end, wording in found:
-            if gains[name] < self.least_gain:
-                continue
             critical = any(c.isdigit() or c.isupper() for w in wording for c in self._exact(w, name))
             yield self._candidate(gains, name, edits, a + start, a + end, wording, not critical)
 
@@ -196,7 +195,7 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least_gain: float = 0.5, tolerance: float = 0.2) -> DataFrame:
     """One row per notice: where it stands (in words), the nearest template, its gain in the block, the words that differ, and whether
-    they leave it confirmed. Of templates equally near the longest counts, then the gain; ties of gain go to the first name."""
+    they leave it confirmed. ``least_gain`` is asked of rewordings beyond the tolerance only, which are never confirmed. Of templates equally near the longest counts, then the gain; ties of gain go to the first name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, least_gain, tolerance)

@@ -117,6 +117,15 @@ def test_every_notice_of_a_block_is_a_row(spark):
     assert [r[2:] for r in got[3]] == [("BSD-2-Clause", 2, False)] * 3
 
 
+def test_verbatim_notices_count_whatever_they_gain(spark):
+    names = ("CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "BSD-2-Clause", "BSD-3-Clause")
+    rng = np.random.default_rng(3)
+    prose = lambda: " ".join("".join(rng.choice(list("tehanriosdl"), rng.integers(2, 9))) for _ in range(20))
+    texts = [" ".join(f"{prose()} {licenses.TEMPLATES[n]}" for n in names) for _ in range(60)]
+    for rows in found_licenses(spark, texts):
+        assert [r[2:] for r in rows] == [(n, 0, True) for n in names]
+
+
 def test_alignment_is_the_smallest_edit_of_any_stretch():
     edits, start, end, wording = licenses.align("x under the very MIT y".split(), "under the MIT License".split())
     assert edits == 2 and start == 1
