@@ -100,7 +100,8 @@ def assign_folds(df: DataFrame, plan: Mapping[str, int | str], ts: str = "ts") -
 
 def parameter_sweep(evaluated: DataFrame, grid: Sequence[Mapping[str, float | int | str]], plan: Mapping[str, int | str],
                     rule: Callable[[Column], Column], seed: int, value: str = "net") -> DataFrame:
-    """One row of metrics per parameter set, fold and role; the grid and the seed are part of the row.
+    """One row of metrics per parameter set, fold and role; the grid and the seed are part of the row. Sets that trade
+    nothing in a fold have ``n`` = 0 and NULL metrics.
 
     ``rule`` maps the ``params`` struct to the rows a set would trade. Rows fan out inside one stage
     and are summed there, so the shuffle carries one row per task, set and fold.
@@ -108,13 +109,17 @@ def parameter_sweep(evaluated: DataFrame, grid: Sequence[Mapping[str, float | in
     tried = param_grid(assign_folds(evaluated.where(F.col(value).isNotNull()), plan), grid)
     kept = tried.where(F.coalesce(rule(F.col("params")), F.lit(False)))
     v = F.col(value)
-    return (
-        kept.groupBy("params", "fold", "role")
+    every = param_grid(fold_table(evaluated, plan).select("fold", "role"), grid).select(F.col("params.param_id").alias("param_id"), "params", "fold", "role")
+    traded = (
+        kept.groupBy(F.col("params.param_id").alias("param_id"), "fold", "role")
         .agg(
             F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("vol"), F.avg((v > 0).cast("double")).alias("hit_rate"),
             F.sum(v).alias("total"),
         )
-        .select("params.*", "fold", "role", "n", "mean", "vol", (F.col("mean") / F.nullif(F.col("vol"), F.lit(0.0))).alias("sharpe"), "hit_rate", "total",
+    )
+    return (
+        every.join(traded, ["param_id", "fold", "role"], "left")
+        .select("params.*", "fold", "role", F.coalesce("n", F.lit(0)).alias("n"), "mean", "vol", (F.col("mean") / F.nullif(F.col("vol"), F.lit(0.0))).alias("sharpe"), "hit_rate", "total",
                 F.lit(seed).alias("seed"))
     )
 

@@ -16,13 +16,18 @@ def select_universe(liquidity: DataFrame, k_min: int, k_max: int) -> DataFrame:
 
     ``liquidity(date, instrument, liquidity)`` is pre-aggregated here per date and instrument; the
     rank keeps at most ``k_max`` rows per date and task before the shuffle. Dates with fewer than
-    ``k_min`` members are flagged ``undersized``.
+    ``k_min`` members are flagged ``undersized``; a date without any, between the first and the last, has
+    one row without instrument.
     """
     daily = liquidity.groupBy(F.date_add("date", 1).alias("date"), "instrument").agg(F.sum("liquidity").alias("liquidity"))
     w = Window.partitionBy("date").orderBy(F.desc("liquidity"), F.asc("instrument"))
     top = daily.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k_max)
     sizes = F.count("*").over(Window.partitionBy("date"))
-    return top.select("date", "instrument", "rank", "liquidity", (sizes < k_min).alias("undersized"))
+    members = top.select("date", "instrument", "rank", "liquidity", (sizes < k_min).alias("undersized"))
+    known = liquidity.select(F.date_add("date", 1).alias("date")).distinct()
+    days = known.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
+    empty = days.join(known, "date", "left_anti").withColumn("undersized", F.lit(k_min > 0))
+    return members.unionByName(empty, allowMissingColumns=True)
 
 
 def membership_intervals(listings: DataFrame, width: str | int = "30 days") -> DataFrame:

@@ -208,7 +208,7 @@ def invariant_report(v: Inputs):
         "stale_inputs": fresh.where(~F.coalesce(F.col("asof.quality").isin("live", "delayed"), F.lit(False))).select(F.col("signal_id").alias("id")),
         "nothing_lost_on_restart": lost.select(pair),
         "failure_blocks_exposure": outside_ready(v).select(F.col("request_id").alias("id")),
-        "replay_identical": research.replay_parity(first, second).where("side = 'run_a'").select(F.col("signal_id").alias("id")),
+        "replay_identical": research.replay_parity(first, second).select(F.col("signal_id").alias("id")).distinct(),
     }))
 
 
@@ -412,7 +412,7 @@ SELECT DISTINCT instrument FROM fx_snapshot WHERE quality IN ('stale', 'invalid'
 def _(v):
     s = streamed(v, "fx_snapshot").select("instrument", "ts", "quality")
     out = streams.alert_stream(s, F.col("quality").isin("stale", "invalid"), ["instrument"], "ts", "40 days")
-    return plain(drained(v, out).select("instrument"))
+    return plain(drained(v, out).select("instrument").distinct())
 
 
 @query("stream_risk_gate", ["fx_signal", "fx_snapshot", "fx_policy"], GATE_SQL)

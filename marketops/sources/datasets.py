@@ -62,16 +62,18 @@ _PAYLOAD = T.StructType([T.StructField(n, T.StringType()) for n in ("bid", "ask"
 def normalize_raw(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Payload text to snapshot columns, and the malformed rows with the reason.
 
-    ``malformed_json`` is not JSON at all; ``bad_number`` lacks a finite number that fits.
+    ``malformed_json`` is not JSON at all; ``bad_number`` lacks a finite number that fits. ``scale_loss`` tells that a number
+    of a good row had digits beyond the eighth, which are rounded.
     """
     parsed = raw.withColumn("__p", F.from_json("payload", _PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}))
     names = ("bid", "ask", "last", "volume")
     numbers = parsed.withColumns({n: F.col(f"__p.{n}").try_cast(PRICE) for n in names})
-    missing = F.lit(False)
+    missing = loss = F.lit(False)
     for n in names:
         missing = missing | F.col(n).isNull()
+        loss = loss | F.coalesce(F.col(n) != F.col(f"__p.{n}").try_cast("decimal(38,28)"), F.lit(False))  # as many whole digits as a price
     corrupt = F.col("__p").isNull() | F.col("__p.__corrupt").isNotNull()
-    graded = numbers.withColumn("malformed", F.when(corrupt, "malformed_json").when(missing, "bad_number")).drop("__p")
+    graded = numbers.withColumn("malformed", F.when(corrupt, "malformed_json").when(missing, "bad_number")).withColumn("scale_loss", loss).drop("__p")
     good = graded.where(F.col("malformed").isNull()).drop("malformed", "payload")
     return good, graded.where(F.col("malformed").isNotNull()).select(*raw.columns, "malformed")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from marketops.functions.timing import micros
+from marketops.functions.timing import micros, us
 from marketops.operators.quality import SOURCE_KEY
 from marketops.schemas import RAW_EVENT
 
@@ -58,8 +58,37 @@ def missing_decisions_stream(signals: DataFrame, decisions: DataFrame, timeout:
 
 
 def alert_stream(metrics: DataFrame, breach: Column, key: Sequence[str], ts: str, quiet: str) -> DataFrame:
-    """Breaches, at most one per key within the quiet time."""
-    return metrics.where(breach).withWatermark(ts, quiet).dropDuplicatesWithinWatermark(list(key))
+    """The first breach of each episode. An episode of a key ends with a row that does not breach, or with the quiet time
+    without a breach. Rows of a micro-batch are taken in order of ts; a row older than its key's state never changes
+    it, and alerts unless the key is in breach. Breaches without a time all alert."""
+    rows = metrics.withColumns({"__breach": F.coalesce(breach, F.lit(False)), "__at": us(ts)})
+    state = T.StructType([T.StructField("breach", T.BooleanType()), T.StructField("at", T.LongType()), T.StructField("last", T.LongType())])
+    columns, limit = metrics.columns, micros(quiet)
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        df = pd.concat(list(batches), ignore_index=True)
+        hit = df["__breach"].astype(bool)
+        # Times are NULL or whole microseconds; at one time a breach comes first.
+        df = df.assign(__calm=~hit).sort_values(["__at", "__calm"], kind="mergesort")
+        timed = df["__at"].notna()
+        untimed, df = df[~timed & ~df["__calm"]], df[timed]
+        was, at, last = held.get if held.exists else (False, None, None)
+        late = df["__at"] < at if at is not None else pd.Series(False, index=df.index)
+        out = [untimed]
+        old, new = df[late], df[~late]
+        if len(old) and not was:
+            out.append(old[~old["__calm"] & old["__calm"].shift(fill_value=True)])
+        if len(new):
+            bad = ~new["__calm"]
+            before = bad.shift(fill_value=bool(was))
+            seen = new["__at"].where(bad).ffill().shift()
+            seen = seen.fillna(last) if last is not None else seen
+            out.append(new[bad & (~before | (new["__at"] - seen > limit))])
+            times = new["__at"][bad]
+            held.update((bool(bad.iloc[-1]), int(new["__at"].iloc[-1]), int(times.iloc[-1]) if len(times) else last))
+        yield pd.concat(out)[columns]
+
+    return rows.groupBy(*key).applyInPandasWithState(step, metrics.schema, state, "append", "NoTimeout")
 
 
 _RANK = {"live": 0, "delayed": 1, "stale": 2, "invalid": 3}

@@ -10,10 +10,13 @@ from marketops.operators.contracts import strictest_leverage_limit
 from marketops.operators.joins import asof_join, covered_by
 from marketops.operators.orders import transition_audit
 from marketops.operators.quality import feed_silence
+from marketops.operators.research import parameter_sweep, walk_forward_folds
 from marketops.operators.risk import return_correlation
+from marketops.operators.universe import select_universe
 from marketops.schemas import RAW_EVENT
 from marketops.session import shared_dir
 from marketops.sources import datasets
+from marketops.streaming import streams
 
 T0 = datetime(2026, 1, 1)
 
@@ -75,3 +78,47 @@ def test_rows_of_one_version_have_a_fixed_winner(spark):
     df = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 1, "y")], "venue string, seq int, version int, v string")
     picks = {datasets.read_version(df.orderBy(F.rand(s)), 1, ["venue", "seq"]).first().v for s in range(4)}
     assert len(picks) == 1
+
+
+def test_alerts_once_per_episode(spark):
+    def at(minute):
+        return T0 + timedelta(minutes=minute)
+
+    batches = [
+        [("a", at(0), 1), ("a", at(1), 20), ("a", at(2), 20), ("a", at(3), 1), ("a", at(4), 20), ("b", at(0), 20), ("c", at(0), 1)],
+        [("a", at(5), 20), ("b", at(1), 20), ("a", at(6), 1), ("c", at(1), None), ("b", None, 20)],
+        [("a", at(7), 1), ("a", at(5), 20), ("a", at(8), 20), ("b", at(2000), 20), ("b", at(2001), 20), ("c", at(9), 20)],
+    ]
+    folder, schema = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}", "k string, ts timestamp, value int"
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema)
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = streams.stream_events(spark, f"{folder}/in", df.schema, files_per_batch=1)
+    streams.run_to_table(streams.alert_stream(stream, F.col("value") > 10, ["k"], "ts", "1 day"), f"{folder}/out")
+    got = [(r.k, r.ts) for r in spark.read.parquet(f"{folder}/out/data").collect()]
+    # The late row of a at minute 5 comes when a is calm again; b falls silent for more than a day.
+    assert sorted(got, key=str) == sorted([("a", at(1)), ("a", at(4)), ("a", at(5)), ("a", at(8)), ("b", at(0)), ("b", None), ("b", at(2000)), ("c", at(9))], key=str)
+
+
+def test_sets_without_trades_stay_in_the_sweep(spark):
+    plan = walk_forward_folds("2026-01-01 00:00:00", "2 days", "1 day", 0, 2)
+    rows = spark.createDataFrame([(T0, 0.5, 1.0), (T0 + timedelta(days=2), 0.1, 2.0)], "ts timestamp, confidence double, net double")
+    out = parameter_sweep(rows, [{"least": 0.0}, {"least": 0.4}, {"least": 9.0}], plan, lambda p: F.col("confidence") >= p["least"], seed=1).collect()
+    assert len(out) == 3 * 2 * 2
+    traded = {(r.param_id, r.fold, r.role): (r.n, r.total) for r in out if r.n}
+    assert traded == {(0, 0, "train"): (1, 1.0), (0, 0, "test"): (1, 2.0), (0, 1, "train"): (1, 2.0), (1, 0, "train"): (1, 1.0)}
+    assert all(r.total is None and r.least == [0.0, 0.4, 9.0][r.param_id] for r in out if not r.n)
+
+
+def test_dates_without_members_are_undersized(spark):
+    rows = spark.createDataFrame([(T0.date(), "x", 1.0), (T0.date() + timedelta(days=3), "y", 2.0), (None, "z", 1.0)], "date date, instrument string, liquidity double")
+    got = {(r.date and r.date.day, r.instrument, r["rank"], r.undersized) for r in select_universe(rows, 1, 5).collect()}
+    assert got == {(2, "x", 1, False), (3, None, None, True), (4, None, None, True), (5, "y", 1, False), (None, "z", 1, False)}
+    assert select_universe(rows.limit(0), 1, 5).collect() == []
+
+
+def test_rounded_digits_are_told(spark):
+    texts = ['{"bid":"1.123456789","ask":"2","last":"1","volume":"3"}', '{"bid":"1.12345678","ask":"2.000000000","last":"1","volume":"3"}', '{"bid":"1","ask":"2","last":"9999999999.0000000000000000001","volume":"3"}']
+    good, bad = datasets.normalize_raw(spark.createDataFrame(list(enumerate(texts)), "seq int, payload string"))
+    assert {r.seq: r.scale_loss for r in good.collect()} == {0: True, 1: False, 2: True}
+    assert bad.columns == ["seq", "payload", "malformed"]
