@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CUE = r"(?i)licen[cs]|copyright|copyleft|permission|warrant|redistribut|spdx|public domain"
+#: The same before words are joined by one space; between them may be what Python takes for white space.
+RAW_CUE = CUE.replace("(?i)", "(?iU)").replace(" ", r"[\s\x1c-\x1f]+")
 WORD = re.compile(r"\S+")
 
 #: Short notices by SPDX name.
@@ -207,5 +209,5 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, lea
                 rows += [(batch.column("doc_id")[i].as_py(), *r) for r in scanner.scan(batch.column("text")[i].as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    candidates = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(CUE))
+    candidates = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(RAW_CUE))
     return candidates.mapInArrow(run, SCHEMA)

@@ -126,6 +126,12 @@ def test_verbatim_notices_count_whatever_they_gain(spark):
         assert [r[2:] for r in rows] == [(n, 0, True) for n in names]
 
 
+def test_cues_may_break_across_lines(spark):
+    notice = licenses.TEMPLATES["CC0-1.0"]
+    texts = [notice.replace("public domain", f"public{gap}domain") for gap in (" ", "\n", "  ", "\r\n\t", "\u00a0", "\u2003", "\x1c", "\x85")]
+    assert found_licenses(spark, texts) == [[(0, 9, "CC0-1.0", 0, True)]] * len(texts)
+
+
 def test_alignment_is_the_smallest_edit_of_any_stretch():
     edits, start, end, wording = licenses.align("x under the very MIT y".split(), "under the MIT License".split())
     assert edits == 2 and start == 1
