@@ -29,7 +29,9 @@ CUE = r"(?i)licen[cs]|copyright|copyleft|permission|warrant|redistribut|spdx|pub
 RAW_CUE = CUE.replace("(?i)", "(?iU)").replace(" ", r"[\s\x1c-\x1f]+")
 WORD = re.compile(r"\S+")
 
-#: Short notices by SPDX name.
+_EITHER = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+
+#: Notices by SPDX name; "-text" marks conditions or a sentence of the full text, "-header" the usual file header.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
@@ -44,8 +46,23 @@ TEMPLATES = {
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-3-Clause-text": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "GPL-2.0-or-later": _EITHER.format("program", ";", "", ";", "2"),
+    "GPL-3.0-or-later": _EITHER.format("program", ":", "", ",", "3"),
+    "LGPL-2.1-or-later": _EITHER.format("library", ";", "Lesser ", ";", "2.1"),
+    "LGPL-3.0-or-later": _EITHER.format("library", ":", "Lesser ", ",", "3"),
+    "AGPL-3.0-or-later": _EITHER.format("program", ":", "Affero ", ",", "3"),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Identifier lines; two words, so they must be exact.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0+",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0+", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+TEMPLATES |= {f"{name}-spdx": f"SPDX-License-Identifier: {name}" for name in SPDX}
 SCHEMA = "doc_id bigint, first_word bigint, n_words int, license string, gain double, differences int, wording string, confirmed boolean"
 
 

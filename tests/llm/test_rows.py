@@ -132,6 +132,28 @@ def test_cues_may_break_across_lines(spark):
     assert found_licenses(spark, texts) == [[(0, 9, "CC0-1.0", 0, True)]] * len(texts)
 
 
+def test_usual_headers_conditions_and_identifiers(spark):
+    texts = [
+        "/* SPDX-License-Identifier: GPL-2.0-only */ int x; // SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: Apache-2.0\n",
+        """Copyright (c) 2020, A. Person. All rights reserved.
+ * Redistribution and use in source and binary forms, with or without
+   modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice.
+ 3. Neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software
+    without specific prior written permission.""",
+        """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted,
+ provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS".""",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+ the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by
+ the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    ]
+    got = [[r[2] for r in rows if r[4]] for rows in found_licenses(spark, texts)]
+    assert got == [
+        ["GPL-2.0-only-spdx", "MIT-spdx", "Apache-2.0-spdx"], ["BSD-text", "BSD-3-Clause-text"], ["ISC-text"], ["GPL-3.0-or-later"], ["LGPL-2.1-or-later"], ["Apache-2.0-header"],
+    ]
+
+
 def test_alignment_is_the_smallest_edit_of_any_stretch():
     edits, start, end, wording = licenses.align("x under the very MIT y".split(), "under the MIT License".split())
     assert edits == 2 and start == 1
