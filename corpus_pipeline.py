@@ -1,7 +1,7 @@
 """The preparation of the documents as stages, each of which works on all that its predecessor kept.
 
-Every stage but the last returns the columns of its input. Rows without doc_id stay in the near-duplicate stage, and may stand for
-others there. A document whose text is all repeats stays with an empty text. Stages have no SQL; tests compare them
+Every stage but the last returns the columns of its input. The near-duplicate stage takes every row as a document of its own, also
+those that share a doc_id or have none. A document whose text is all repeats stays with an empty text. Stages have no SQL; tests compare them
 with brute-force versions.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketops.llm import byte_bpe, mixing, ngram_join, suffix_dedup, toxicity
+from marketops.llm.common import Scratch, parallelism
 from marketops.llm.queries import held_out, read
 
 SCORE = "__toxicity"
@@ -24,10 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    groups = ngram_join.link_documents(docs, words=5, percent=80)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of each group of near duplicates: the first by doc_id, NULL before all others, then by a hash of the text."""
+    scratch = Scratch(spark)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    # Row keys in that order, frozen by the written table.
+    ranged = docs.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
+    keyed = scratch.store(ranged.withColumn("__row", F.monotonically_increasing_id()))
+    groups = ngram_join.link_documents(keyed.select(F.col("__row").alias("doc_id"), "text"), words=5, percent=80)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    from marketops.llm.common import Scratch
-
     scratch = Scratch(spark)
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:

@@ -51,3 +51,11 @@ def test_awkward_rows_pass_all_stages(spark, sf, awkward, nothing):
 def test_run(spark, sf):
     out = pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_one_row_of_each_group_whatever_its_doc_id(spark, sf):
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(4, a), (4, a), (None, b), (None, b), (None, f"{b} more"), (4, f"{a} more"), (9, a), (2, "other words of a text of its own"), (9, "two of the same id that are alike in nothing")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = dict(pipeline.STAGES)["ngram_join"](spark, docs, sf).collect()
+    assert len(got) == 4 and {(r.doc_id, r.text.split()[0]) for r in got} == {(4, "a0"), (None, "b0"), (2, "other"), (9, "two")}
