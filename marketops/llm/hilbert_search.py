@@ -153,7 +153,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = 16,
 
     def meet(queries: pd.DataFrame, block_: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(block_):
-            return pd.DataFrame({"query": [], "first": [], "ids": [], "score": []})
+            return pd.DataFrame({"query": [], "first": [], "ids": pd.Series([], dtype=object), "score": []})
         q, p = np.stack(queries["q_vec"].to_numpy()).astype(np.float64), np.stack(block_["vec"].to_numpy()).astype(np.float64)
         r, c, d = nearest(q, p, k + 1)
         return pd.DataFrame({"query": queries["query"].to_numpy()[r], "first": block_["first"].to_numpy()[c], "ids": block_["ids"].to_numpy()[c], "score": d})

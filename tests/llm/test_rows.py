@@ -240,3 +240,13 @@ def test_search_recall(spark, sf):
     scores = [d for near in want.values() for _, d in near]
     assert sum(h is not None for h in hits) >= 0.9 * len(hits)
     assert all(h is None or h == d for h, d in zip(hits, scores, strict=True))
+
+
+def test_search_recall_where_the_windows_decide(spark, sf):
+    vectors = read(spark, sf.replace("sf0.001", "sf0.1"), "embeddings")
+    want = nearest([(r.vec_id, r.embedding) for r in vectors.collect()])
+    found = hilbert_search.search(vectors, F.pmod("vec_id", F.lit(100)) == 0, block=64)
+    got = {(r.query_id, r.vec_id) for r in found.collect()}
+    hits = [(q, v) in got for q, near in want.items() for v, _ in near]
+    print(f"recall {sum(hits) / len(hits)} of {len(hits)} neighbours among {vectors.count()} vectors")
+    assert sum(hits) >= 0.9 * len(hits)
