@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketops.llm import byte_bpe, flac, hilbert_search, licenses, mixing, ngram_join, suffix_dedup, token_files, toxicity, url_filter
+from marketops.llm import byte_bpe, flac, hilbert_search, licenses, mixing, ngram_join, phrases, suffix_dedup, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_hilbert_search")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.search(read(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
+
+
+@register("op12_phrases", phrases.PHRASE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
