@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketops.llm import byte_bpe, flac, hilbert_search, licenses, mixing, ngram_join, phrases, suffix_dedup, token_files, toxicity, url_filter
+from marketops.llm import byte_bpe, flac, hilbert_search, licenses, mixing, ngram_join, phrases, suffix_dedup, token_files, toxicity, turn_repair, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_phrases", phrases.PHRASE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with planted faults, fixed by each row's key."""
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hit = F.pmod(F.crc32(F.concat(word("conv_id"), F.lit(":"), word("turn"))), F.lit(20))
+    text = F.when(hit == 1, F.lit("")).when(hit == 2, F.regexp_replace(word("text"), "[.!?]", "")).otherwise(word("text"))
+    role = F.when(hit == 4, F.lit("user")).otherwise(word("role"))
+    return rows.where(hit != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.when(hit == 3, 2).otherwise(1).alias("copies"))
+
+
+@register("op13_turn_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    every = rows.select("conv_id", turn_repair.conversation_key().alias("conv")).distinct()
+    bad = damaged(rows)
+    found = turn_repair.counts(bad).join(turn_repair.digests(turn_repair.repair(bad)), "conv")
+    zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "conv", "left").select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
