@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketops.llm import byte_bpe, flac, hilbert_search, licenses, mixing, ngram_join, phrases, suffix_dedup, token_files, toxicity, turn_repair, url_filter
+from marketops.llm import byte_bpe, flac, hilbert_search, language_id, licenses, mixing, ngram_join, phrases, suffix_dedup, token_files, toxicity, turn_repair, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,16 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = turn_repair.counts(bad).join(turn_repair.digests(turn_repair.repair(bad)), "conv")
     zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return every.join(found, "conv", "left").select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def language_fold():
+    """The fold whose languages are never learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+
+
+@register("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_fold()), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(language_fold(), F.lit(False)).alias("held_out"), "lang_pred", "score")
