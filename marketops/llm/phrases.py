@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from marketops.llm.common import MIX_A, MIX_B, Rolling, Scratch, bounded_batches, mixed, parallelism, utf8
 
 #: Words counted in one step, and bytes of text cut into words at once.
-STEP_WORDS, SLICE_BYTES = 2_000_000, 4_000_000
+STEP_WORDS, SLICE_BYTES = 500_000, 2_000_000
 BITMAP_BITS = 1 << 28
 
 LOWER = np.arange(256, dtype=np.uint8)
