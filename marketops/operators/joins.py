@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketops.functions.reasons import not_ok
 from marketops.functions.timing import bucket, micros, us
-from marketops.functions.windows import running
+from marketops.functions.windows import running, scan
 from marketops.schemas import PRICE
 
 
@@ -56,9 +56,9 @@ def asof_join(
         ),
         allowMissingColumns=True,
     )
-    found = running(
-        rows, by, ["__ts", "__side", "__tie"], bucket("__ts", width), {name: ("last", "__right")}, reverse=not back
-    ).where(F.col("__left").isNotNull())
+    found = scan(
+        rows, by, ["__ts", "__side", "__tie"], bucket("__ts", width), {name: ("last", "__right")}, reverse=not back, wanted=F.col("__left").isNotNull()
+    )
     known = F.col("__ts").isNotNull()
     for c in by:
         known = known & F.col(c).isNotNull()

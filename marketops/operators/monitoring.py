@@ -44,8 +44,11 @@ def exposure_outside_ready(requests: DataFrame, states: DataFrame, path: DataFra
     In DEGRADED and HALTED a reduce-only request against a known opposite position of at least its size
     is tolerated. An unknown state or position is a violation. ``path`` is the position path.
     """
-    at = asof_join(requests, states.select("from_ts", "seq", "state"), [], right_on="from_ts", width=width, name="__state")
-    held = asof_join(at, path.select(*by, "ts", "position", F.col("fill_id").alias("seq")), list(by), width=path_width, name="__held")
+    # Each walk reads its sides twice, so the path and the first walk's result are written once, narrow.
+    path = materialize(path.select(*by, "ts", "position", F.col("fill_id").alias("seq")))
+    stated = asof_join(requests, states.select("from_ts", "seq", "state"), [], right_on="from_ts", width=width, name="__state")
+    at = materialize(stated.select(*requests.columns, F.struct(F.col("__state.state").alias("state")).alias("__state")))
+    held = asof_join(at, path, list(by), width=path_width, name="__held")
     state, pos = F.col("__state.state"), F.col("__held.position")
     opposite = F.when(F.col("side") == "buy", pos < 0).when(F.col("side") == "sell", pos > 0)
     reduces = F.col("reduce_only") & opposite & (F.col("quantity") <= F.abs(pos))

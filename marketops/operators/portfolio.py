@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketops.functions.timing import bucket
-from marketops.functions.windows import previous, running
+from marketops.functions.windows import running, scan
 from marketops.schemas import MONEY
 from marketops.session import materialize
 
@@ -51,12 +51,12 @@ def pnl_mark_to_market(fills: DataFrame, marks: DataFrame, by: Sequence[str] = B
     return marked.select(*by, "qty", "cash", "fees", (F.col("cash") - F.col("fees") + open_value).cast(MONEY).alias("pnl"))
 
 
-def pnl_fifo_realized(fills: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: str | int = "1 day", span: int = 10_000) -> DataFrame:
+def pnl_fifo_realized(fills: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: str | int = "1 day", span: int | None = 10_000) -> DataFrame:
     """Realized PnL with lots closed first-in first-out, before fees.
 
     Unit number k of the buys always pairs with unit number k of the sells. Both sides are laid out on
     one axis of cumulative quantity; between neighbouring break points one buy price meets one sell
-    price. ``span`` units of that axis form one parallel segment.
+    price. ``span`` units of that axis form one parallel segment; without it segments hold equal numbers of rows.
     """
     lots = fills.where((F.col("qty") > 0) & F.col("side").isin("buy", "sell")).select(*by, *order, "side", "qty", "price")
     axis = running(lots, [*by, "side"], order, bucket(order[0], width), {"__x": ("sum", "qty")})
@@ -64,10 +64,10 @@ def pnl_fifo_realized(fills: DataFrame, by: Sequence[str] = BY, order: Sequence[
         *by, "__x", "side",
         F.when(F.col("side") == "buy", F.col("price")).alias("__b"), F.when(F.col("side") == "sell", F.col("price")).alias("__s"),
     )
-    step = F.floor(F.col("__x") / span).cast("bigint")
+    step = None if span is None else F.floor(F.col("__x") / span).cast("bigint")
     marked = materialize(marked)
-    covered = running(marked, by, ["__x", "side"], step, {"__buy": ("last", "__b"), "__sell": ("last", "__s")}, reverse=True)
-    pieces = previous(covered, by, ["__x", "side"], step, {"__from": "__x"})
+    # Ends of equal x differ by no quantity, so their order does not matter.
+    pieces = scan(marked, by, ["__x"], step, {"__buy": ("next", "__b"), "__sell": ("next", "__s"), "__from": ("lag", "__x")})
     length = (F.col("__x") - F.coalesce(F.col("__from"), F.lit(Decimal(0)))).cast("decimal(18,8)")
     both = F.col("__buy").isNotNull() & F.col("__sell").isNotNull()
     gain = F.when(both, (F.col("__sell") - F.col("__buy")) * length)

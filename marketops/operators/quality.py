@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketops.functions.timing import bucket, micros, us
-from marketops.functions.windows import previous, running
+from marketops.functions.windows import previous, running, scan
+from marketops.session import materialize
 
 SOURCE_KEY = ("venue", "channel", "instrument", "seq")
 FEED = ("venue", "channel", "instrument")
@@ -87,8 +88,9 @@ def gap_repair_state(
         "__heal": F.when(snapshot, F.col(seq)),
         "__heal_ts": F.when(snapshot, F.col(ts)),
     })
-    back = running(marks, feed, [seq], cut, {"__last_gap": ("max", "__gap"), "__last_heal": ("max", "__heal")})
-    ahead = running(back, feed, [seq], cut, {"__next_heal": ("last", "__heal_ts")}, reverse=True)
+    # Gaps are seen from the row before, so they are marked first and written once.
+    marks = materialize(marks.drop("__p"))
+    ahead = scan(marks, feed, [seq], cut, {"__last_gap": ("max", "__gap"), "__last_heal": ("max", "__heal"), "__next_heal": ("next", "__heal_ts")})
     open_gap = F.col("__last_gap").isNotNull() & ~F.coalesce(F.col("__last_heal") >= F.col("__last_gap"), F.lit(False))
     return ahead.select(*df.columns, open_gap.alias("in_gap"), F.when(open_gap, F.col("__next_heal")).alias("repaired_at"))
 

@@ -23,9 +23,10 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
 
-    def ledger(self) -> DataFrame:
-        """Fills counted once, stored as the table every position and PnL is built from."""
-        return materialize(dedup_fills(self("fx_fill"), order=("ts", "recv_seq", "price")))
+    def ledger(self, *columns: str) -> DataFrame:
+        """Fills counted once, stored as the table every position and PnL is built from; only the named columns, if any are."""
+        once = dedup_fills(self("fx_fill"), order=("ts", "recv_seq", "price"))
+        return materialize(once.select(*columns) if columns else once)
 
     def fresh_folder(self) -> str:
         return f"{shared_dir(self.spark)}/marketops-{uuid.uuid4().hex}"

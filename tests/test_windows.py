@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketops.functions.timing import bucket
-from marketops.functions.windows import numbered, previous, rolling, running
+from marketops.functions.windows import numbered, previous, rolling, running, scan
 from marketops.operators.joins import asof_join
 
 
@@ -105,3 +105,35 @@ def test_hot_key_is_spread_over_tasks(ticks):
     seg = ticks.withColumn("s", bucket("ts", "1 hour")).where("k = 'hot'")
     sizes = [r["count"] for r in seg.repartition(8, "k", "s").groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 4
+
+
+@pytest.mark.parametrize("width", WIDTHS)
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("reverse", [True, False])
+@pytest.mark.parametrize("order", [["ts", "seq"], ["seq"]])
+def test_scan_looks_both_ways(ticks, width, inclusive, reverse, order):
+    aggs = {"s": ("sum", "v"), "near": ("last", "v"), "coming": ("next", "v"), "p": ("lag", "v"), "q": ("lead", "v"), "at": ("next", F.struct("v", "seq"))}
+    if order == ["seq"]:
+        del aggs["at"]  # all of fixed width: totals are hash aggregates
+    segment = bucket("ts", width) if order == ["ts", "seq"] else F.floor(F.col("seq") / 100).cast("long")
+    got = scan(ticks, ["k"], order, segment, aggs, inclusive, reverse)
+    along, against = ([F.desc(c) for c in order], [F.asc(c) for c in order]) if reverse else ([F.asc(c) for c in order], [F.desc(c) for c in order])
+    here = 0 if inclusive else -1
+    w, b = (Window.partitionBy("k").orderBy(*o) for o in (along, against))
+    up, down = (x.rowsBetween(Window.unboundedPreceding, here) for x in (w, b))
+    want = ticks.select("*", F.sum("v").over(up).alias("s"), F.last("v", True).over(up).alias("near"), F.last("v", True).over(down).alias("coming"), F.lag("v").over(w).alias("p"),
+                        F.lead("v").over(w).alias("q"), F.last(F.struct("v", "seq"), True).over(down).alias("at"))
+    same(got, want.drop(*({"at"} - aggs.keys())))
+
+
+def test_scan_returns_wanted_rows_only(ticks):
+    got = scan(ticks, ["k"], ["ts", "seq"], bucket("ts", "1 hour"), {"near": ("last", "v")}, wanted=F.col("v").isNull())
+    w = Window.partitionBy("k").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    same(got, ticks.select("*", F.last("v", True).over(w).alias("near")).where("v IS NULL"))
+
+
+def test_no_sort_aggregates(ticks):
+    right = ticks.where("v IS NOT NULL").select("k", "ts", "seq", F.concat(F.lit("text "), "v").alias("payload"))
+    plans = [asof_join(ticks, right, ["k"]), scan(ticks, ["k"], ["seq"], F.floor(F.col("seq") / 100).cast("long"), {"a": ("next", "v"), "b": ("lag", "v"), "c": ("max", "v")})]
+    for df in plans:
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
