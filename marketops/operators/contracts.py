@@ -159,13 +159,22 @@ def signals_in_zone(signals: DataFrame, snapshots: DataFrame, tolerance: str | i
 GATE_INPUTS = (
     "quality", "age_us", "max_age_us", "account_known", "risk_available", "reconciled", "spread_bps", "max_spread_bps",
     "slippage_bps", "max_slippage_bps", "daily_pnl", "max_daily_loss", "drawdown", "max_drawdown", "kill_switch", "state",
+    "exposure_after", "max_exposure", "leverage", "limit", "stop_price",
 )
+#: Limits on the size of a trade; the risk gate checks them once the size is known.
+SIZE_CHECKS = ("exposure_limit", "leverage_limit", "stop_missing")
 
 
-def new_exposure_gate(df: DataFrame) -> DataFrame:
+def size_checks(exposure_after: Column, max_exposure: Column, leverage: Column, limit: Column, stop_price: Column) -> dict[str, Column]:
+    """What must hold of a sized trade: gross exposure after it, its leverage, and a protective stop that can be represented."""
+    return {"exposure_limit": exposure_after <= max_exposure, "leverage_limit": (leverage <= limit) & (leverage <= 20), "stop_missing": stop_price > 0}
+
+
+def new_exposure_gate(df: DataFrame, sized: bool = True) -> DataFrame:
     """Fail-closed gate for exposure-raising rows; a missing column or a NULL input is a rejection.
 
-    Limits are positive magnitudes: ``daily_pnl >= -max_daily_loss`` and ``drawdown >= -max_drawdown`` pass.
+    Limits are positive magnitudes: ``daily_pnl >= -max_daily_loss`` and ``drawdown >= -max_drawdown`` pass. Without ``sized`` the
+    checks of ``SIZE_CHECKS`` are left to a later step.
     """
     present = set(df.columns)
 
@@ -185,6 +194,8 @@ def new_exposure_gate(df: DataFrame) -> DataFrame:
         "kill_switch": ~c("kill_switch").cast("boolean"),
         "state_not_ready": c("state") == "READY",
     }
+    if sized:
+        ok |= size_checks(c("exposure_after"), c("max_exposure"), c("leverage"), c("limit"), c("stop_price"))
     return df.withColumn("reasons", not_ok(ok)).withColumn("allow", F.size("reasons") == 0)
 
 

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketops.functions.reasons import failed
+from marketops.functions.reasons import failed, not_ok
 from marketops.functions.timing import bucket, us
 from marketops.functions.windows import running
-from marketops.operators.contracts import new_exposure_gate, strictest_leverage_limit
+from marketops.operators.contracts import new_exposure_gate, size_checks, strictest_leverage_limit
 from marketops.operators.features import mid_spread
 from marketops.operators.joins import asof_join
 from marketops.schemas import MONEY, PRICE
@@ -225,26 +225,43 @@ def remaining_budget(admitted: DataFrame, budgets: DataFrame, scope: str = "acco
     return joined.withColumn("remaining", F.coalesce("budget", F.lit(0)) - F.col("__used")).drop("__used", "budget")
 
 
+def quotes(snapshots: DataFrame) -> DataFrame:
+    """What the gate reads of a snapshot."""
+    return mid_spread(snapshots).select("instrument", "ts", "seq", "mid", "spread_bps", "quality", "liquidity")
+
+
+def priced(found: DataFrame) -> DataFrame:
+    """The gate's inputs from signals whose ``quotes`` row arrives in columns ``asof_...``."""
+    price = {"asof_mid": "entry", "asof_spread_bps": "spread_bps", "asof_quality": "quality", "asof_liquidity": "liquidity", "asof_seq": "snapshot_seq", "asof_ts": "snapshot_ts"}
+    rest = [c for c in found.columns if not c.startswith("asof_")]
+    return found.select(*rest, *[F.col(c).alias(name) for c, name in price.items()], (us("ts") - us("asof_ts")).alias("age_us"), F.col("invalidation_level").alias("stop"))
+
+
 def risk_gate(signals: DataFrame, snapshots: DataFrame, accounts: DataFrame, limits: DataFrame, scopes: Mapping[str, str] | None = None,
               tolerance: str | int | None = None, width: str = "1 day") -> DataFrame:
-    """Signals to risk decisions: as-of snapshot, fail-closed gate, strictest leverage limit, size.
+    """Signals to risk decisions: as-of snapshot, fail-closed gate, strictest leverage limit, size; see ``gate_priced``."""
+    known = quotes(snapshots)
+    found = asof_join(signals, known, ["instrument"], tolerance=tolerance, width=width)
+    return gate_priced(priced(found.select(*signals.columns, *[F.col(f"asof.{c}").alias(f"asof_{c}") for c in known.columns if c != "instrument"])), accounts, limits, scopes)
+
+
+def gate_priced(signals: DataFrame, accounts: DataFrame, limits: DataFrame, scopes: Mapping[str, str] | None = None) -> DataFrame:
+    """Decisions on signals that carry the price they knew.
 
     ``accounts`` holds per account the gate's and the sizing's inputs (state flags, losses, limits,
-    equity, budget). Unknown account, price or limit rejects; a rejection carries zero quantity.
+    equity, budget, open_exposure, max_exposure). Unknown account, price or limit rejects; a rejection carries zero quantity. ``metadata`` names the snapshot a decision
+    rests on and the digest of the limits and account facts it was made with.
     """
     scopes = scopes or {"account": "account", "instrument": "instrument", "strategy": "strategy_id"}
-    quotes = mid_spread(snapshots).select("instrument", "ts", "seq", "mid", "spread_bps", "quality", "liquidity")
-    priced = asof_join(signals, quotes, ["instrument"], tolerance=tolerance, width=width)
     state = [c for c in accounts.columns if c not in signals.columns]
-    joined = priced.select(
-        *signals.columns, F.col("asof.mid").alias("entry"), F.col("asof.spread_bps").alias("spread_bps"), F.col("asof.quality").alias("quality"),
-        F.col("asof.liquidity").alias("liquidity"), (us("ts") - us("asof.ts")).alias("age_us"), F.col("invalidation_level").alias("stop"),
-    ).join(accounts.select("account", *state), "account", "left")
-    gated = new_exposure_gate(joined)
+    joined = signals.join(accounts.select("account", *state), "account", "left")
+    gated = new_exposure_gate(joined, sized=False)
     limited = strictest_leverage_limit(gated.withColumn("__none", F.lit(0)), limits, scopes, leverage="__none")
     sized = size_positions(limited)
-    breach = failed({"size_zero": F.col("quantity") <= 0, "leverage_above_limit": F.col("leverage") > F.col("limit")})
-    codes = F.concat("reasons", breach)
+    # A stop protects from its own side of the entry; one that is not there, or lies beyond it, cannot be placed.
+    placed = F.when(F.col("direction") == "long", F.col("stop") < F.col("entry")).when(F.col("direction") == "short", F.col("stop") > F.col("entry"))
+    limits_ok = size_checks(F.col("open_exposure") + F.col("notional"), F.col("max_exposure"), F.col("leverage"), F.col("limit"), F.when(placed, F.col("stop")))
+    codes = F.concat("reasons", failed({"size_zero": F.col("quantity") <= 0}), not_ok(limits_ok))
     approved = F.size(codes) == 0
     zero = F.lit(0)
     return sized.select(
@@ -254,6 +271,10 @@ def risk_gate(signals: DataFrame, snapshots: DataFrame, accounts: DataFrame, lim
         F.when(approved, F.col("notional")).otherwise(zero).cast(MONEY).alias("notional"),
         F.when(approved, F.col("leverage")).otherwise(zero).cast(PRICE).alias("leverage"),
         F.col("limit").alias("max_leverage"), F.col("risk_budget").cast(PRICE).alias("risk_budget"), F.col("stop").cast(PRICE).alias("stop_price"),
+        F.create_map(
+            F.lit("snapshot_seq"), F.col("snapshot_seq").cast("string"), F.lit("snapshot_ts"), F.col("snapshot_ts").cast("string"),
+            F.lit("config_digest"), F.sha2(F.to_json(F.struct("limit", *state), {"ignoreNullFields": "false"}), 256),
+        ).alias("metadata"),
     )
 
 

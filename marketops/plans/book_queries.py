@@ -10,6 +10,8 @@ from marketops.plans.gate_queries import FIRST_INVALIDATION_SQL
 from marketops.plans.registry import Inputs, d, n, plain, query, unmet
 
 W = "30 days"
+#: What position paths read.
+LEDGER = ("account", "instrument", "ts", "recv_seq", "fill_id", "side", "qty")
 _SIGNED = "CASE WHEN side = 'buy' THEN CAST(qty AS DECIMAL(38,8)) ELSE -CAST(qty AS DECIMAL(38,8)) END"
 _CASH = "CASE WHEN side = 'buy' THEN -CAST(qty AS DECIMAL(38,8)) * price ELSE CAST(qty AS DECIMAL(38,8)) * price END"
 _MID = "CAST(ask + bid AS DOUBLE) / 2"
@@ -194,7 +196,7 @@ def _(v):
 @query("position_path", ["fx_fill_once"], f"""
 SELECT fill_id, {d(f"sum({_SIGNED}) OVER (PARTITION BY account, instrument ORDER BY ts, recv_seq, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", 'position')} FROM fx_fill_once""")
 def _(v):
-    return plain(portfolio.position_path(v.ledger(), order=("ts", "recv_seq", "fill_id"), width=W).select("fill_id", "position"))
+    return plain(portfolio.position_path(v.ledger(*LEDGER), order=("ts", "recv_seq", "fill_id"), width=W).select("fill_id", "position"))
 
 
 @query("positions", ["fx_fill_once"], f"SELECT account, instrument, {d(f'sum({_SIGNED})', 'qty')} FROM fx_fill_once WHERE ts <= TIMESTAMP '1998-06-30' GROUP BY 1, 2")
@@ -220,7 +222,7 @@ FROM (SELECT DISTINCT account, instrument FROM lots) k LEFT JOIN (
   FROM lots b JOIN lots s ON b.side = 'buy' AND s.side = 'sell' AND b.account = s.account AND b.instrument = s.instrument
    AND least(b.upto, s.upto) > greatest(b.upto - b.qty, s.upto - s.qty)) m ON m.account = k.account AND m.instrument = k.instrument GROUP BY 1, 2""")
 def _(v):
-    out = portfolio.pnl_fifo_realized(v.ledger(), order=("ts", "recv_seq", "fill_id"), width=W, span=500)
+    out = portfolio.pnl_fifo_realized(v.ledger(*LEDGER, "price"), order=("ts", "recv_seq", "fill_id"), width="180 days", span=5000)
     return plain(out, realized=2)
 
 
@@ -399,13 +401,13 @@ def gate_accounts(v: Inputs):
         F.lit(150.0).alias("max_spread_bps"), nat.alias("slippage_bps"), F.lit(20).alias("max_slippage_bps"), F.lit(0).alias("daily_pnl"), F.lit(100).alias("max_daily_loss"),
         F.lit(-0.05).alias("drawdown"), F.lit(0.2).alias("max_drawdown"), (nat == 6).alias("kill_switch"), F.lit("READY").alias("state"), F.lit(86_400_000_000 * 3).alias("max_age_us"),
         (nat * 1000).cast("decimal(18,8)").alias("equity"), F.lit(200).cast("decimal(18,8)").alias("risk_budget"), F.lit(4000).cast("decimal(18,8)").alias("max_notional"),
-        F.lit(0.5).cast("decimal(18,8)").alias("liquidity_fraction"),
+        F.lit(0.5).cast("decimal(18,8)").alias("liquidity_fraction"), (nat * 250).cast("decimal(18,8)").alias("open_exposure"), F.when(nat != 7, F.lit(6000).cast("decimal(18,8)")).alias("max_exposure"),
     )
 
 
 _GATE = f"""
 , facts AS (
-  SELECT g.signal_id, g.strategy_id, 'acct-' || CAST(g.user_id AS VARCHAR) AS account, g.instrument, g.invalidation_level AS stop, {_MID} AS mid,
+  SELECT g.signal_id, g.strategy_id, g.direction, 'acct-' || CAST(g.user_id AS VARCHAR) AS account, g.instrument, g.invalidation_level AS stop, {_MID} AS mid,
          CAST(s.ask - s.bid AS DOUBLE) / ({_MID}) * 10000 AS spread, s.quality, s.liquidity, epoch_us(g.ts) - epoch_us(s.ts) AS age
   FROM fx_signal g ASOF LEFT JOIN fx_snapshot s ON g.instrument = s.instrument AND g.ts >= s.ts),
 checked AS (
@@ -420,7 +422,9 @@ checked AS (
 sized AS (
   SELECT *, CASE WHEN mid > 0 AND equity > 0 AND liquidity > 0 AND abs(mid - CAST(stop AS DOUBLE)) > 0
                  THEN {_FLOOR8.format('least(200 / abs(mid - CAST(stop AS DOUBLE)), 4000 / mid, 0.5 * CAST(liquidity AS DOUBLE) / mid, CAST(lim AS DOUBLE) * equity / mid)')} ELSE 0 END AS q FROM checked),
-decided AS (SELECT *, concat_ws(',', nullif(r0, ''), CASE WHEN q <= 0 THEN 'size_zero' END) AS reasons FROM sized)"""
+decided AS (SELECT *, concat_ws(',', nullif(r0, ''), CASE WHEN q <= 0 THEN 'size_zero' END, nullif({unmet({
+    'exposure_limit': 'CASE WHEN nat <> 7 THEN nat * 250 + coalesce(q * mid, 0) <= 6000 END', 'leverage_limit': 'lim IS NOT NULL',
+    'stop_missing': "CASE WHEN direction = 'long' THEN CAST(stop AS DOUBLE) < mid ELSE CAST(stop AS DOUBLE) > mid END"})}, '')) AS reasons FROM sized)"""
 
 
 def decisions(v: Inputs):

@@ -49,7 +49,7 @@ FROM (SELECT *, {unmet({
     "data_quality": "quality IN ('live', 'delayed')", "data_stale": "age_us <= max_age_us", "account_unknown": "k < 97",
     "risk_unavailable": "k <> 50", "not_reconciled": "k <> 51", "spread": "spread_bps <= 120", "slippage": "k / 10.0 <= 8",
     "daily_loss": "-value >= -200", "drawdown": "CASE WHEN k <> 52 THEN -k / 100.0 END >= -0.9", "kill_switch": "k <> 53",
-    "state_not_ready": "k <> 54"})} AS reasons FROM aged) z""")
+    "state_not_ready": "k <> 54", "exposure_limit": "k * 100 + 500 <= 9000", "leverage_limit": "1 + k % 23 <= 20", "stop_missing": "k % 10 <> 7"})} AS reasons FROM aged) z""")
 def gated_signals(v: Inputs):
     """For each signal the latest valid snapshot, its age, and whether new exposure is allowed."""
     valid, _ = contracts.validate_snapshots(v("fx_snapshot"))
@@ -66,6 +66,7 @@ def gated_signals(v: Inputs):
         "account_known": k < 97, "risk_available": k != 50, "reconciled": k != 51, "max_spread_bps": F.lit(120.0), "slippage_bps": k / 10,
         "max_slippage_bps": F.lit(8), "daily_pnl": -F.col("value"), "max_daily_loss": F.lit(200), "drawdown": F.when(k != 52, -k / 100),
         "max_drawdown": F.lit(0.9), "kill_switch": k == 53, "state": F.when(k == 54, "HALTED").otherwise("READY"),
+        "exposure_after": k * 100 + 500, "max_exposure": F.lit(9000), "leverage": 1 + k % 23, "limit": F.lit(50), "stop_price": F.when(k % 10 != 7, 95),
     })
     gated = contracts.new_exposure_gate(facts)
     return plain(gated.select("signal_id", "instrument", "snapshot_seq", "last", "age_us", "reasons", "allow"))
@@ -150,7 +151,7 @@ def _(v):
 SELECT event_id, reasons, reasons = '' AS allow FROM (SELECT event_id, {unmet({
     "data_quality": "k < 70", "data_stale": "k * 2 <= value", "account_unknown": "event_type <> 'error'", "risk_unavailable": "k <> 7",
     "not_reconciled": "CASE WHEN k > 5 THEN TRUE END", "spread": "k <= 90", "slippage": "value <= 300", "daily_loss": "-value >= -250",
-    "drawdown": "-k / 100.0 >= -0.8", "kill_switch": "k <> 9", "state_not_ready": "event_type <> 'signup'"})} AS reasons FROM fx_base) z""")
+    "drawdown": "-k / 100.0 >= -0.8", "kill_switch": "k <> 9", "state_not_ready": "event_type <> 'signup'", "exposure_limit": "k * 10 <= value * 4", "leverage_limit": "k % 25 <= 15", "stop_missing": "k % 8 > 1"})} AS reasons FROM fx_base) z""")
 def _(v):
     k, value = F.col("k"), F.col("value")
     df = v("fx_base").withColumns({
@@ -158,6 +159,7 @@ def _(v):
         "account_known": F.col("event_type") != "error", "risk_available": k != 7, "reconciled": F.when(k > 5, True), "spread_bps": k,
         "max_spread_bps": F.lit(90), "slippage_bps": value, "max_slippage_bps": F.lit(300), "daily_pnl": -value, "max_daily_loss": F.lit(250),
         "drawdown": -k / 100, "max_drawdown": F.lit(0.8), "kill_switch": k == 9, "state": F.when(F.col("event_type") == "signup", "DEGRADED").otherwise("READY"),
+        "exposure_after": k * 10, "max_exposure": value * 4, "leverage": k % 25, "limit": F.lit(15), "stop_price": F.when(k % 8 > 1, k % 8 - 1).when(k % 8 == 1, 0),
     })
     return plain(contracts.new_exposure_gate(df).select("event_id", "reasons", "allow"))
 

@@ -10,7 +10,7 @@ from marketops.plans.book_queries import GATE_SQL, W, valued_positions
 from marketops.plans.gate_queries import STICKY_SQL
 from marketops.plans.registry import Inputs, d, n, plain, query
 from marketops.sources.fixtures import VIEWS, table
-from marketops.streaming import streams
+from marketops.streaming import streams, timed
 
 _MID = "CAST(ask + bid AS DOUBLE) / 2"
 _PX = "CAST(last AS DOUBLE)"
@@ -368,10 +368,35 @@ def _(v):
     return plain(drained(v, streams.dedup_stream(keep, "1 hour")))
 
 
+def recorded(v: Inputs, df, ts: str, clock: str, files: int = 3):
+    """A table recorded as files in order of time, and last a row that holds nothing but the time ``clock``: read as a stream, file by file."""
+    folder, at = v.fresh_folder(), us(ts)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    step = ((high or 0) - (low or 0)) // files + 1
+    for i in range(files):
+        inside = (at >= (low or 0) + i * step) & (at < (low or 0) + (i + 1) * step)
+        df.where(inside).coalesce(1).write.mode("append").parquet(folder)
+    tick = v.spark.range(1).select(*[(F.lit(clock) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    tick.write.mode("append").parquet(folder)
+    return streams.stream_events(v.spark, folder, df.schema, files_per_batch=1)
+
+
+_CLOCK = "2024-03-01 00:00:00"
+
+
 @query("stream_sticky_quality", ["fx_snapshot"], STICKY_SQL)
 def _(v):
-    s = streamed(v, "fx_snapshot").select("instrument", "ts", "seq", "quality", (F.col("source") == "feed-view").alias("is_snapshot"))
-    return plain(drained(v, streams.sticky_quality_stream(s)).select("instrument", "seq", "effective_quality"))
+    rows = v("fx_snapshot").select("instrument", "ts", "seq", "quality", (F.col("source") == "feed-view").alias("is_snapshot"))
+    return plain(drained(v, timed.sticky_quality(recorded(v, rows, "ts", _CLOCK), "1 hour")).select("instrument", "seq", "effective_quality"))
+
+
+@query("stream_feed_silence", ["fx_raw"], """
+, near AS (SELECT instrument, event_ts, lag(event_ts) OVER w AS p, lead(event_ts) OVER w AS nxt FROM fx_raw WINDOW w AS (PARTITION BY venue, instrument ORDER BY event_ts, seq))
+SELECT instrument, p AS from_ts, event_ts AS to_ts FROM near WHERE epoch_us(event_ts) - epoch_us(p) > 43200000000
+UNION ALL SELECT instrument, event_ts, NULL FROM near WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(event_ts) > 43200000000""")
+def _(v):
+    rows = v("fx_raw").select("venue", "instrument", "event_ts")
+    return plain(drained(v, timed.silences(recorded(v, rows, "event_ts", _CLOCK), "12 hours", "1 hour", ["venue", "instrument"])).drop("venue"))
 
 
 @query("stream_feed_health", ["fx_raw"], _HEALTH + """
@@ -400,11 +425,12 @@ def _(v):
 
 
 @query("stream_missing_decisions", ["fx_signal", "fx_risk"], """
-SELECT s.signal_id FROM fx_signal s WHERE NOT EXISTS (SELECT 1 FROM fx_risk d WHERE d.signal_id = s.signal_id AND d.ts BETWEEN s.ts AND s.ts + INTERVAL '75' SECOND)
-AND s.ts + INTERVAL '75' SECOND < (SELECT least(max(s2.ts), (SELECT max(ts) FROM fx_risk)) - INTERVAL '1' HOUR FROM fx_signal s2)""")
+, open AS (SELECT s.signal_id, s.ts FROM fx_signal s WHERE NOT EXISTS (SELECT 1 FROM fx_risk d WHERE d.signal_id = s.signal_id AND d.ts BETWEEN s.ts AND s.ts + INTERVAL '75' SECOND))
+SELECT signal_id, 'missing' AS cause FROM open
+UNION ALL SELECT signal_id, 'late' FROM open s WHERE EXISTS (SELECT 1 FROM fx_risk d WHERE d.signal_id = s.signal_id AND d.ts > s.ts)""")
 def _(v):
-    s = streamed(v, "fx_signal").select("signal_id", "instrument", "ts")
-    return plain(drained(v, streams.missing_decisions_stream(s, streamed(v, "fx_risk"), "75 seconds", "1 hour")).select("signal_id"))
+    asked, decided = (recorded(v, v(name).select("signal_id", "ts"), "ts", _CLOCK) for name in ("fx_signal", "fx_risk"))
+    return plain(drained(v, timed.undecided(asked, decided, "75 seconds", "1 hour")).select("signal_id", "cause"))
 
 
 @query("stream_alerts", ["fx_snapshot"], """
@@ -417,18 +443,20 @@ def _(v):
 
 @query("stream_risk_gate", ["fx_signal", "fx_snapshot", "fx_policy"], GATE_SQL)
 def stream_risk_gate(v: Inputs):
-    """The batch gate on every micro-batch of signals, its decisions appended once to the audit log."""
+    """Signals meet the snapshot they knew in the stream's state; the gate then runs on each micro-batch of them, and its decisions are
+    appended once to the audit log."""
     from marketops.plans.book_queries import gate_accounts
     from marketops.sources.datasets import append_audit
 
     folder = v.fresh_folder()
-    sig = streamed(v, "fx_signal").withColumn("account", F.concat(F.lit("acct-"), F.col("user_id").cast("string")))
-    snaps, accounts, limits = v("fx_snapshot"), gate_accounts(v), v("fx_policy").where("name = 'max_leverage'")
+    sig = recorded(v, v("fx_signal").withColumn("account", F.concat(F.lit("acct-"), F.col("user_id").cast("string"))), "ts", _CLOCK)
+    quotes = risk.quotes(recorded(v, v("fx_snapshot"), "ts", _CLOCK))
+    accounts, limits = gate_accounts(v), v("fx_policy").where("name = 'max_leverage'")
 
     def step(batch, _):
-        append_audit(risk.risk_gate(batch, snaps, accounts, limits), f"{folder}/log", ["decision_id"])
+        append_audit(risk.gate_priced(batch, accounts, limits), f"{folder}/log", ["decision_id"])
 
-    streams.run_each_batch(sig, folder, step)
+    streams.run_each_batch(risk.priced(timed.asof(sig, quotes, ["instrument"], "1 hour")), folder, step)
     log = v.spark.read.parquet(f"{folder}/log")
     return plain(log.select("signal_id", "approved", "reason_codes", "quantity", "notional", "max_leverage"), quantity=4, notional=2)
 

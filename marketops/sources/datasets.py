@@ -110,7 +110,7 @@ def append_audit(df: DataFrame, path: str, key: Sequence[str], day: Column | Non
         "log_date": F.coalesce(F.to_date(day if day is not None else F.col("ts")), unknown),
         "key_part": F.pmod(F.xxhash64(*key), F.lit(key_parts)).cast("int"),
     })
-    first = Window.partitionBy(*key).orderBy("log_date", F.xxhash64(*df.columns))
+    first = Window.partitionBy(*key).orderBy("log_date", row_digest(df.columns, df))
     batch = f"{shared_dir(spark)}/marketops-batch-{uuid.uuid4().hex}"
     try:
         dated.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n").write.parquet(batch)

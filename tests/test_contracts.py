@@ -113,7 +113,8 @@ def test_parse_numbers(spark):
 
 def test_gate_rejects_every_unknown(spark):
     ready = {"quality": "live", "age_us": 1, "max_age_us": 2, "account_known": True, "risk_available": True, "reconciled": True, "spread_bps": 1.0, "max_spread_bps": 2.0,
-             "slippage_bps": 1.0, "max_slippage_bps": 2.0, "daily_pnl": 0.0, "max_daily_loss": 1.0, "drawdown": 0.0, "max_drawdown": 0.1, "kill_switch": False, "state": "READY"}
+             "slippage_bps": 1.0, "max_slippage_bps": 2.0, "daily_pnl": 0.0, "max_daily_loss": 1.0, "drawdown": 0.0, "max_drawdown": 0.1, "kill_switch": False, "state": "READY",
+             "exposure_after": 10.0, "max_exposure": 10.0, "leverage": 2.0, "limit": 3.0, "stop_price": 1.0}
     kinds = {str: "string", bool: "boolean", int: "bigint", float: "double"}
     schema = ", ".join(f"{k} {kinds[type(v)]}" for k, v in ready.items())
     rows = [ready] + [{**ready, k: None} for k in ready]
@@ -121,7 +122,10 @@ def test_gate_rejects_every_unknown(spark):
     assert out[0].allow and out[0].reasons == []
     assert all(not r.allow and len(r.reasons) == 1 for r in out[1:])
     missing = contracts.new_exposure_gate(spark.range(1)).collect()[0]
-    assert not missing.allow and len(missing.reasons) == 11
+    assert not missing.allow and len(missing.reasons) == 14
+    bad = {"exposure_limit": {"exposure_after": 10.5}, "leverage_limit": {"leverage": 20.5, "limit": 30.0}, "stop_missing": {"stop_price": 0.0}}
+    for reason, change in bad.items():
+        assert contracts.new_exposure_gate(spark.createDataFrame([{**ready, **change}], schema)).collect()[0].reasons == [reason]
 
 
 def test_strictest_limit_never_exceeds_the_ceiling(spark):
