@@ -14,20 +14,23 @@ from marketops.session import materialize
 
 RUNTIME_STATES = ("STARTING", "RECONCILING", "READY", "DEGRADED", "HALTED")
 MUST_RECONCILE_AFTER = ("STARTING",)
+#: States that mean a lost connection or a stop; being READY again takes a reconciliation in between.
+INTERRUPTED = ("DEGRADED", "HALTED")
 
 
 def state_timeline(states: DataFrame, order: Sequence[str] = ("from_ts", "seq"), width: str | int = "1 day", scope: Sequence[str] = ()) -> DataFrame:
     """Intervals of each runtime state with their length, and what is wrong with the step that follows.
 
-    ``restart_not_reconciled``: a restart that is not followed by RECONCILING. ``unknown_state``: not a
-    state at all. The last interval is open: NULL ``to_ts``.
+    ``restart_not_reconciled``: a restart that is not followed by RECONCILING. ``reconnect_not_reconciled``: READY straight after an
+    interruption. ``unknown_state``: not a state at all. The last interval is open: NULL ``to_ts``.
     """
     seen = previous(states, scope, order, bucket(order[0], width), {"to_ts": "from_ts", "next_state": "state"}, reverse=True)
     restart = F.col("state").isin(*MUST_RECONCILE_AFTER) & F.col("next_state").isNotNull() & (F.col("next_state") != "RECONCILING")
+    reconnect = F.col("state").isin(*INTERRUPTED) & (F.col("next_state") == "READY")
     known = F.coalesce(F.col("state").isin(*RUNTIME_STATES), F.lit(False))
     return seen.select(
         *scope, "state", *order, "to_ts", (us("to_ts") - us("from_ts")).alias("duration_us"),
-        F.when(~known, "unknown_state").when(restart, "restart_not_reconciled").alias("violation"),
+        F.when(~known, "unknown_state").when(restart, "restart_not_reconciled").when(reconnect, "reconnect_not_reconciled").alias("violation"),
     )
 
 
@@ -96,18 +99,20 @@ def feed_health(events: DataFrame, width: str, late_after: str | int, feed: Sequ
     """Events, missing sequence numbers, late events and stale share per feed and tumbling window.
 
     Runs on a batch or, with a watermark, on a stream; lateness is receipt minus event time, so it is
-    counted before any watermark drops a row. ``missing`` holds for deduplicated events.
+    counted before any watermark drops a row. ``missing`` holds for deduplicated events; a hole between two windows counts in the later one. A stream
+    closes windows one by one and counts holes inside them only.
     """
     late = us("receipt_ts") - us(ts) > micros(late_after)
     stale = F.when(F.col("quality").isin("live", "delayed"), 0.0).otherwise(1.0) if "quality" in events.columns else F.lit(None).cast("double")
-    return (
-        events.groupBy(*feed, F.window(ts, width).alias("w"))
-        .agg(
-            F.count("*").alias("n"), (F.max("seq") - F.min("seq") + 1 - F.count("*")).alias("missing"), F.count(F.when(late, 1)).alias("late"),
-            F.avg(stale).alias("stale_share"),
-        )
-        .select(*feed, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "missing", "late", "stale_share")
-    )
+    inside = (F.max("seq") - F.min("seq") + 1 - F.count("*")).alias("missing")
+    per = events.groupBy(*feed, F.window(ts, width).alias("w")).agg(
+        F.count("*").alias("n"), inside, F.count(F.when(late, 1)).alias("late"), F.avg(stale).alias("stale_share"), F.min("seq").alias("__lo"), F.max("seq").alias("__hi"),
+    ).select(*feed, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "missing", "late", "stale_share", "__lo", "__hi")
+    if not events.isStreaming:
+        # One row per feed and window; a year of windows forms a segment.
+        per = previous(per, feed, ["window_start"], bucket("window_start", "365 days"), {"__p": "__hi"})
+        per = per.withColumn("missing", F.col("missing") + F.coalesce(F.col("__lo") - 1 - F.col("__p"), F.lit(0)))
+    return per.select(*feed, "window_start", "window_end", "n", "missing", "late", "stale_share")
 
 
 def alerts(metrics: DataFrame, thresholds: Mapping[str, float], scope: Sequence[str], ts: str = "window_start", width: str | int = "1 day") -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketops.functions.quantiles import exact_quantiles, join_groups
 from marketops.functions.reasons import not_ok
 from marketops.functions.timing import bucket, micros, us
 from marketops.functions.windows import previous
@@ -74,13 +75,13 @@ def overfills(orders: DataFrame, fills: DataFrame, decisions: DataFrame) -> Data
     return out.withColumn("reasons", not_ok(ok)).where(F.size("reasons") > 0)
 
 
-def slippage(fills: DataFrame, snapshots: DataFrame, max_slippage_bps: float, limit: str = "limit_price", width: str = "1 day") -> DataFrame:
+def slippage(fills: DataFrame, snapshots: DataFrame, max_slippage_bps: float, arrival: str, tolerance: str | int, limit: str = "limit_price", width: str = "1 day") -> DataFrame:
     """Signed cost in basis points against the arrival mid and against the limit; positive is worse.
 
-    No arrival price counts as a breach.
+    The arrival mid is the one known at ``arrival``, the time the order was sent, and no older than ``tolerance``; without it the fill is a breach.
     """
     quotes = mid_spread(snapshots).select("instrument", "ts", "seq", "mid")
-    joined = asof_join(fills, quotes, ["instrument"], width=width)
+    joined = asof_join(fills, quotes, ["instrument"], on=arrival, right_on="ts", tolerance=tolerance, width=width)
     sign = F.when(F.col("side") == "buy", 1).when(F.col("side") == "sell", -1)
     mid, px = F.col("asof.mid").cast("double"), F.col("price").cast("double")
     bound = F.col(limit).cast("double")
@@ -93,24 +94,26 @@ def slippage(fills: DataFrame, snapshots: DataFrame, max_slippage_bps: float, li
     )
 
 
-def slippage_summary(graded: DataFrame, by: Sequence[str] = ("strategy_id",), exact: bool = False) -> DataFrame:
-    def pct(q: float) -> Column:
-        return F.percentile("slippage_bps", q) if exact else F.percentile_approx("slippage_bps", q, 10_000)
-
-    return graded.groupBy(*by).agg(F.count("*").alias("n"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), F.count(F.when(F.col("breach"), 1)).alias("breaches"))
+def slippage_summary(graded: DataFrame, by: Sequence[str] = ("strategy_id",)) -> DataFrame:
+    """Fills, exact percentiles of their cost, and breaches per group."""
+    counts = graded.groupBy(*by).agg(F.count("*").alias("n"), F.count(F.when(F.col("breach"), 1)).alias("breaches"))
+    found = exact_quantiles(graded, by, "slippage_bps", {"p50": 0.5, "p95": 0.95})
+    return join_groups(counts, found, by).select(*by, "n", "p50", "p95", "breaches")
 
 
 def spread_and_band_guard(requests: DataFrame, snapshots: DataFrame, max_spread_bps: Column | float, band_bps: Column | float,
-                          reference: str, width: str = "1 day") -> DataFrame:
+                          reference: str, tolerance: str | int, width: str = "1 day") -> DataFrame:
     """Market orders with the reasons why spread limit or price band would stop them.
 
-    The band is measured from ``reference`` (the price the order was decided on) to the current mid.
+    The band is measured from ``reference`` (the price the order was decided on) to the current mid. A quote older than ``tolerance`` is
+    no price; one that is not live or delayed is a reason of its own.
     """
-    quotes = mid_spread(snapshots).select("instrument", "ts", "seq", "mid", "spread_bps")
-    joined = asof_join(requests.where(F.col("order_type") == "market"), quotes, ["instrument"], width=width)
+    quotes = mid_spread(snapshots).select("instrument", "ts", "seq", "mid", "spread_bps", "quality")
+    joined = asof_join(requests.where(F.col("order_type") == "market"), quotes, ["instrument"], tolerance=tolerance, width=width)
     mid, ref = F.col("asof.mid").cast("double"), F.col(reference).cast("double")
     ok = {
         "no_price": F.col("asof").isNotNull(),
+        "quote_quality": F.col("asof.quality").isin("live", "delayed"),
         "spread": F.col("asof.spread_bps") <= max_spread_bps,
         "price_band": F.abs(mid - ref) / F.nullif(ref, F.lit(0.0)) * 10_000 <= band_bps,
     }
@@ -126,8 +129,8 @@ def reduce_only_audit(fills: DataFrame, by: Sequence[str] = BY, order: Sequence[
     return path.where(F.coalesce(F.col("reduce_only"), F.lit(False)) & F.coalesce(grew, F.lit(True)))
 
 
-def stage_latency(lineage: DataFrame, exact: bool = False) -> DataFrame:
-    """Percentiles of the time from signal to decision to request to first fill, in microseconds."""
+def stage_latency(lineage: DataFrame) -> DataFrame:
+    """Exact percentiles of the time from signal to decision to request to first fill, in microseconds."""
     stages = {
         "signal_to_decision": us("decision_ts") - us("signal_ts"),
         "decision_to_request": us("request_ts") - us("decision_ts"),
@@ -136,11 +139,8 @@ def stage_latency(lineage: DataFrame, exact: bool = False) -> DataFrame:
     }
     pairs = F.array(*[F.struct(F.lit(n).alias("stage"), lag.alias("lag")) for n, lag in stages.items()])
     rows = lineage.select(F.inline(pairs)).where(F.col("lag").isNotNull())
-
-    def pct(q: float) -> Column:
-        return F.percentile("lag", q) if exact else F.percentile_approx("lag", q, 10_000).cast("double")
-
-    return rows.groupBy("stage").agg(F.count("*").alias("n"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99"))
+    found = exact_quantiles(rows, ["stage"], "lag", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return rows.groupBy("stage").agg(F.count("*").alias("n")).join(found, "stage").select("stage", "n", "p50", "p95", "p99")
 
 
 def stale_orders(orders: DataFrame, signals: DataFrame, as_of: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketops.functions.quantiles import exact_quantiles, join_groups
 from marketops.functions.timing import bucket, micros, us
 from marketops.functions.windows import previous, running, scan
 from marketops.session import materialize
@@ -166,25 +167,14 @@ def feed_silence(df: DataFrame, limit: str | int | None = None, feed: Sequence[s
     return gaps.unionByName(last.where(dead).select(*feed, "from_ts", now.alias("to_ts")))
 
 
-def ingest_latency(df: DataFrame, late_after: str | int, width: str = "1 day", feed: Sequence[str] = ("venue", "channel"), exact: bool = False) -> DataFrame:
-    """Percentiles of event-to-receipt lag (µs) and late events per feed and tumbling window.
-
-    ``percentile_approx`` keeps a bounded sketch per group; ``exact`` is for small audits only.
-    """
+def ingest_latency(df: DataFrame, late_after: str | int, width: str = "1 day", feed: Sequence[str] = ("venue", "channel")) -> DataFrame:
+    """Exact percentiles of event-to-receipt lag (µs) and late events per feed and tumbling window."""
     lag, persist = us("receipt_ts") - us("event_ts"), us("persisted_ts") - us("receipt_ts")
-
-    def pct(value: Column, q: float) -> Column:
-        return F.percentile(value, q) if exact else F.percentile_approx(value, q, 10_000).cast("double")
-
-    return (
-        df.groupBy(*feed, F.window("event_ts", width).alias("w"))
-        .agg(
-            pct(lag, 0.5).alias("p50"), pct(lag, 0.95).alias("p95"), pct(lag, 0.99).alias("p99"),
-            F.max(persist).alias("max_persist"), F.count("*").alias("n"),
-            F.count(F.when(lag > micros(late_after), 1)).alias("late"),
-        )
-        .select(*feed, F.col("w.start").alias("window_start"), "p50", "p95", "p99", "max_persist", "n", "late")
-    )
+    rows = df.select(*feed, F.window("event_ts", width)["start"].alias("window_start"), lag.alias("lag"), persist.alias("persist"))
+    keys = [*feed, "window_start"]
+    counts = rows.groupBy(*keys).agg(F.max("persist").alias("max_persist"), F.count("*").alias("n"), F.count(F.when(F.col("lag") > micros(late_after), 1)).alias("late"))
+    found = exact_quantiles(rows, keys, "lag", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return join_groups(counts, found, keys).select(*keys, "p50", "p95", "p99", "max_persist", "n", "late")
 
 
 def interval_volume(df: DataFrame, semantics: str, by: Sequence[str] = ("instrument",), order: Sequence[str] = ("ts", "seq"), width: str | int = "1 hour") -> DataFrame:

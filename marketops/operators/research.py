@@ -34,32 +34,41 @@ def simulated_receive_order(events: DataFrame, latency: str | int = 0, tie: Sequ
     return out.orderBy("available_at", *tie)
 
 
-def evaluate_signals(signals: DataFrame, snapshots: DataFrame, fee_bps: float, slippage_bps: float, funding_bps_per_day: float = 0.0,
+def evaluate_signals(signals: DataFrame, snapshots: DataFrame, fee_bps: float, slippage_bps: float, tolerance: str | int, funding: DataFrame | None = None,
                      latency: str | int = 0, participation: float = 1.0, width: str = "1 day") -> DataFrame:
     """Return of each signal net of fees, half-spread, slippage and funding.
 
     Entry is the quote known ``latency`` after the signal, exit the one known at the horizon's end plus
-    ``latency``. The filled share is capped by ``participation`` of the volume quoted at entry when the
-    signals carry ``quantity``. Signals without a price at either end have NULL results.
+    ``latency``, neither older than ``tolerance``. A signal with an entry but no such exit is ``censored``. Funding is the sum of the rates of
+    ``funding(instrument, ts, rate)`` after entry and up to exit; longs pay positive ones. The filled share is capped by ``participation`` of the volume quoted at entry when the
+    signals carry ``quantity``. Where a price, or that volume, is unknown, so are the results.
     """
     delay = micros(latency)
     quotes = mid_spread(snapshots).select("instrument", "ts", "seq", "mid", "spread_bps", "volume")
     timed = signals.withColumns({"__in_at": shift("ts", delay), "__out_at": shift("ts", F.col("horizon_us") + delay)})
-    entered = asof_join(timed, quotes, ["instrument"], on="__in_at", right_on="ts", width=width, name="__in")
-    left = asof_join(entered, quotes, ["instrument"], on="__out_at", right_on="ts", width=width, name="__out")
+    entered = asof_join(timed, quotes, ["instrument"], on="__in_at", right_on="ts", tolerance=tolerance, width=width, name="__in")
+    left = asof_join(entered, quotes, ["instrument"], on="__out_at", right_on="ts", tolerance=tolerance, width=width, name="__out")
+    due = F.lit(0.0)
+    if funding is not None:
+        summed = running(funding, ["instrument"], ["ts"], bucket("ts", width), {"paid": ("sum", F.col("rate"))}).select("instrument", "ts", "paid")
+        rates = materialize(summed)
+        for at in ("__in", "__out"):
+            left = asof_join(left, rates, ["instrument"], on=f"{at}_at", right_on="ts", tie=("ts",), width=width, name=f"{at}_rate")
+        due = F.coalesce("__out_rate.paid", F.lit(0)).cast("double") - F.coalesce("__in_rate.paid", F.lit(0)).cast("double")
     sign = F.when(F.col("direction") == "long", 1).when(F.col("direction") == "short", -1)
     start, end = F.col("__in.mid").cast("double"), F.col("__out.mid").cast("double")
-    days = F.col("horizon_us") / micros("1 day")
     half_spreads = (F.greatest(F.col("__in.spread_bps"), F.lit(0.0)) + F.greatest(F.col("__out.spread_bps"), F.lit(0.0))) / 2
-    cost_bps = F.lit(2 * (fee_bps + slippage_bps)) + half_spreads + days * funding_bps_per_day
-    out = left.withColumn("gross", sign * (end - start) / F.nullif(start, F.lit(0.0))).withColumn("cost", cost_bps / 10_000)
+    # A spread that cannot be told has no cost, so the row has none; ``greatest`` would skip it.
+    cost_bps = F.when(start.isNotNull() & end.isNotNull(), F.lit(2 * (fee_bps + slippage_bps)) + half_spreads)
+    out = left.withColumn("gross", sign * (end - start) / F.nullif(start, F.lit(0.0))).withColumn("cost", cost_bps / 10_000 + sign * due)
+    out = out.withColumn("censored", start.isNotNull() & end.isNull())
     if "quantity" in signals.columns:
         share = F.col("__in.volume").cast("double") * participation / F.nullif(F.col("quantity").cast("double"), F.lit(0.0))
-        ratio = F.least(F.lit(1.0), share)
+        ratio = F.when(share.isNotNull(), F.least(F.lit(1.0), share))
     else:
         ratio = F.lit(1.0)
     out = out.withColumn("fill_ratio", ratio).withColumn("net", (F.col("gross") - F.col("cost")) * F.col("fill_ratio"))
-    return out.drop("__in", "__out", "__in_at", "__out_at")
+    return out.drop("__in", "__out", "__in_at", "__out_at", "__in_rate", "__out_rate")
 
 
 def walk_forward_folds(start: str, train: str | int, test: str | int, embargo: str | int, folds: int) -> dict[str, int | str]:
@@ -124,18 +133,28 @@ def parameter_sweep(evaluated: DataFrame, grid: Sequence[Mapping[str, float | in
     )
 
 
-def robust_selection(sweep: DataFrame) -> DataFrame:
+def robust_selection(sweep: DataFrame, params: Sequence[str]) -> DataFrame:
     """Rank parameter sets by out-of-sample evidence: mean test Sharpe, less its spread over folds, less
     the decay from training, less the distance to the neighbouring sets. The best in-sample result
-    alone never wins. The sweep holds one row per set, fold and role, so these windows stay small."""
+    alone never wins. The sweep holds one row per set, fold and role, so these windows stay small.
+
+    ``params`` are the grid's columns. Neighbours of a set differ from it by one step of one parameter along the values that occur; a set names
+    the coordinates of its neighbours, and an equi join on them finds those that were tried.
+    """
     train, test = F.col("role") == "train", F.col("role") == "test"
     per = sweep.groupBy("param_id").agg(
         F.avg(F.when(test, F.col("sharpe"))).alias("oos"), F.coalesce(F.stddev_samp(F.when(test, F.col("sharpe"))), F.lit(0.0)).alias("spread"),
         F.min(F.when(test, F.col("sharpe"))).alias("worst"), F.avg(F.when(train, F.col("sharpe"))).alias("ins"),
     )
     per = materialize(per)
-    side = per.select((F.col("param_id") + 1).alias("param_id"), F.col("oos").alias("v")).unionByName(per.select((F.col("param_id") - 1).alias("param_id"), F.col("oos").alias("v")))
-    near = side.groupBy("param_id").agg(F.avg("v").alias("neighbours"))
+    placed = sweep.select("param_id", *params).distinct()
+    for name in params:
+        axis = placed.select(name).distinct().withColumn(f"__at_{name}", F.row_number().over(Window.orderBy(name)))
+        placed = placed.join(axis, name)
+    placed = materialize(placed.select("param_id", *[f"__at_{name}" for name in params]).join(per.select("param_id", F.col("oos").alias("v")), "param_id"))
+    steps = [F.struct(*[(F.col(f"__at_{n}") + (step if n == name else 0)).alias(f"__at_{n}") for n in params]) for name in params for step in (1, -1)]
+    told = placed.select("v", F.explode(F.array(*steps)).alias("__at")).select("v", "__at.*")
+    near = placed.drop("v").join(told, [f"__at_{name}" for name in params]).groupBy("param_id").agg(F.avg("v").alias("neighbours"))
     joined = per.join(near, "param_id", "left")
     instability = F.coalesce(F.abs(F.col("oos") - F.col("neighbours")), F.lit(0.0))
     decay = F.greatest(F.coalesce(F.col("ins") - F.col("oos"), F.lit(0.0)), F.lit(0.0))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketops.functions.timing import shift, us
+from marketops.functions.timing import micros, shift, us
+from marketops.functions.windows import running
 from marketops.operators.joins import asof_join
+from marketops.session import materialize
 
 
 def signal_deadline(signals: DataFrame, max_age: str = "max_age_us", policy_expiry: str = "policy_expiry", invalidated_at: str = "invalidated_at") -> DataFrame:
@@ -32,16 +36,42 @@ def active_signals(signals: DataFrame, as_of: str) -> DataFrame:
     return signals.where((F.col("ts") <= now) & (now < F.col("deadline")))
 
 
-def signal_outcomes(signals: DataFrame, snapshots: DataFrame, price: str = "last", width: str = "1 day") -> DataFrame:
-    """Realized move from signal time to horizon end, signed by direction, and whether it reached the
-    expected move. NULL where no price is known at either end."""
+def signal_outcomes(signals: DataFrame, snapshots: DataFrame, tolerance: str | int, price: str = "last", width: str = "1 day") -> DataFrame:
+    """Realized move from signal time to horizon end, signed by direction, and whether it reached the expected move.
+
+    Prices older than ``tolerance`` do not count. Without one at the horizon's end (delisted, end of the data) a signal is ``censored``: its outcome
+    is NULL, and ``followed_us`` is how long it could be followed, up to its instrument's last price; of others it is the
+    horizon. Without a price at the signal there is no outcome at all, and ``followed_us`` is NULL.
+    """
     ticks = snapshots.select("instrument", "ts", "seq", F.col(price).alias("px"))
-    entry = asof_join(signals.withColumn("__end", shift("ts", F.col("horizon_us"))), ticks, ["instrument"], width=width, name="__in")
+    entry = asof_join(signals.withColumn("__end", shift("ts", F.col("horizon_us"))), ticks, ["instrument"], tolerance=tolerance, width=width, name="__in")
     both = asof_join(entry, ticks, ["instrument"], on="__end", right_on="ts", width=width, name="__out")
     sign = F.when(F.col("direction") == "long", 1).when(F.col("direction") == "short", -1)
     start, end = F.col("__in.px").cast("double"), F.col("__out.px").cast("double")
-    out = both.withColumn("realized", sign * (end - start) / F.nullif(start, F.lit(0.0)))
-    return out.withColumn("hit", F.col("realized") >= F.col("expected_move").cast("double")).drop("__end", "__in", "__out")
+    fresh = F.coalesce(us("__end") - us("__out.ts") <= micros(tolerance), F.lit(False))
+    out = both.withColumn("realized", F.when(fresh, sign * (end - start) / F.nullif(start, F.lit(0.0))))
+    out = out.withColumns({
+        "hit": F.col("realized") >= F.col("expected_move").cast("double"), "censored": start.isNotNull() & ~fresh,
+        "followed_us": F.when(start.isNotNull(), F.when(fresh, F.col("horizon_us")).otherwise(F.greatest(us("__out.ts") - us("ts"), F.lit(0)))),
+    })
+    return out.drop("__end", "__in", "__out")
+
+
+def hit_curve(outcomes: DataFrame, by: Sequence[str], width: int = 86_400_000_000) -> DataFrame:
+    """Product-limit estimate of the share of signals that have not reached their expected move after ``followed_us``, per group.
+
+    A hit counts at its horizon; a miss leaves the risk set there, a censored signal where it was lost from sight, so neither is taken for
+    the other. Equal durations are counted first; one scan backward gives how many were still at risk, one forward the product. ``width`` µs
+    of duration form one parallel segment.
+    """
+    t = F.col("followed_us")
+    per = outcomes.where(t.isNotNull()).groupBy(*by, "followed_us").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count("*").alias("__n"))
+    segment = F.floor(t / width).cast("bigint")
+    risk = running(per, by, ["followed_us"], segment, {"at_risk": ("sum", F.col("__n"))}, reverse=True)
+    left = F.col("at_risk") - F.col("hits")
+    step = {"__log": ("sum", F.when(left > 0, F.log(left / F.col("at_risk"))).otherwise(0.0)), "__ends": ("sum", F.when(left == 0, 1).otherwise(0))}
+    found = running(materialize(risk), by, ["followed_us"], segment, step)
+    return found.select(*by, "followed_us", "at_risk", "hits", F.when(F.col("__ends") > 0, 0.0).otherwise(F.exp("__log")).alias("waiting"))
 
 
 def confidence_calibration(outcomes: DataFrame, buckets: int = 10) -> DataFrame:

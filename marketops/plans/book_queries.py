@@ -51,15 +51,26 @@ def _(v):
 
 _OUTCOMES = """
 , ended AS (SELECT *, ts + to_microseconds(horizon_us) AS end_at FROM fx_signal),
-opened AS (SELECT g.*, CAST(s.last AS DOUBLE) AS p0 FROM ended g ASOF LEFT JOIN fx_snapshot s ON g.instrument = s.instrument AND g.ts >= s.ts),
-closed AS (SELECT g.*, CAST(s.last AS DOUBLE) AS p1 FROM opened g ASOF LEFT JOIN fx_snapshot s ON g.instrument = s.instrument AND g.end_at >= s.ts),
-outcomes AS (SELECT *, CASE WHEN direction = 'long' THEN 1 ELSE -1 END * (p1 - p0) / p0 AS realized FROM closed),
+opened AS (SELECT g.*, CASE WHEN s.ts >= g.ts - INTERVAL '2' DAY THEN CAST(s.last AS DOUBLE) END AS p0 FROM ended g ASOF LEFT JOIN fx_snapshot s ON g.instrument = s.instrument AND g.ts >= s.ts),
+closed AS (SELECT g.*, coalesce(s.ts >= g.end_at - INTERVAL '2' DAY, FALSE) AS fresh, s.ts AS last_ts, CAST(s.last AS DOUBLE) AS p1 FROM opened g ASOF LEFT JOIN fx_snapshot s ON g.instrument = s.instrument AND g.end_at >= s.ts),
+outcomes AS (SELECT *, CASE WHEN fresh THEN CASE WHEN direction = 'long' THEN 1 ELSE -1 END * (p1 - p0) / p0 END AS realized, p0 IS NOT NULL AND NOT fresh AS censored,
+  CASE WHEN p0 IS NOT NULL THEN CASE WHEN fresh THEN horizon_us ELSE greatest(epoch_us(last_ts) - epoch_us(ts), 0) END END AS followed_us FROM closed),
 judged AS (SELECT *, realized >= CAST(expected_move AS DOUBLE) AS hit FROM outcomes)"""
 
 
-@query("signal_outcomes", ["fx_signal", "fx_snapshot"], _OUTCOMES + f" SELECT signal_id, {d('realized', 'realized')}, hit FROM judged")
+@query("signal_outcomes", ["fx_signal", "fx_snapshot"], _OUTCOMES + f" SELECT signal_id, {d('realized', 'realized')}, hit, censored, followed_us FROM judged")
 def _(v):
-    return plain(signals.signal_outcomes(v("fx_signal"), v("fx_snapshot")).select("signal_id", "realized", "hit"))
+    return plain(signals.signal_outcomes(v("fx_signal"), v("fx_snapshot"), "2 days").select("signal_id", "realized", "hit", "censored", "followed_us"))
+
+
+@query("hit_curve", ["fx_signal", "fx_snapshot"], _OUTCOMES + f"""
+, per AS (SELECT strategy_id, followed_us, count(*) FILTER (hit) AS hits, count(*) AS n FROM judged WHERE followed_us IS NOT NULL GROUP BY 1, 2),
+risk AS (SELECT *, sum(n) OVER (PARTITION BY strategy_id ORDER BY followed_us DESC) AS at_risk FROM per)
+SELECT strategy_id, followed_us, {n('at_risk', 'at_risk')}, hits,
+       {d('CASE WHEN bool_or(hits = at_risk) OVER w THEN 0.0 ELSE exp(sum(CASE WHEN hits < at_risk THEN ln(1.0 - CAST(hits AS DOUBLE) / CAST(at_risk AS DOUBLE)) ELSE 0.0 END) OVER w) END', 'waiting')}
+FROM risk WINDOW w AS (PARTITION BY strategy_id ORDER BY followed_us)""")
+def _(v):
+    return plain(signals.hit_curve(signals.signal_outcomes(v("fx_signal"), v("fx_snapshot"), "2 days"), ["strategy_id"]))
 
 
 @query("confidence_calibration", ["fx_signal", "fx_snapshot"], _OUTCOMES + f"""
@@ -67,7 +78,7 @@ SELECT {n('least(floor(CAST(confidence * 100000000 AS BIGINT) * 10 / 100000000),
        {d('avg(CAST(confidence AS DOUBLE))', 'mean_confidence')}, {d('avg(power(CAST(confidence AS DOUBLE) - CAST(hit AS INT), 2))', 'brier')}
 FROM judged WHERE hit IS NOT NULL GROUP BY 1""")
 def _(v):
-    return plain(signals.confidence_calibration(signals.signal_outcomes(v("fx_signal"), v("fx_snapshot"))))
+    return plain(signals.confidence_calibration(signals.signal_outcomes(v("fx_signal"), v("fx_snapshot"), "2 days")))
 
 
 @query("strategy_immutability", ["fx_signal"], """
@@ -117,29 +128,37 @@ def _(v):
 
 
 _SLIP = f"""
-, arrived AS (SELECT t.*, {_MID} AS mid FROM fx_trade t ASOF LEFT JOIN fx_snapshot s ON t.instrument = s.instrument AND t.ts >= s.ts),
+, sent AS (SELECT *, ts - k * INTERVAL '1' SECOND AS arrival_ts FROM fx_trade),
+arrived AS (SELECT t.*, CASE WHEN s.ts >= t.arrival_ts - INTERVAL '2' DAY THEN {_MID} END AS mid FROM sent t ASOF LEFT JOIN fx_snapshot s ON t.instrument = s.instrument AND t.arrival_ts >= s.ts),
 slipped AS (SELECT *, CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (CAST(price AS DOUBLE) - mid) / mid * 10000 AS slip,
                    CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (CAST(price AS DOUBLE) - CAST(limit_price AS DOUBLE)) / CAST(limit_price AS DOUBLE) * 10000 AS lim FROM arrived),
 graded AS (SELECT *, NOT coalesce(slip <= 500, FALSE) OR coalesce(lim > 0, FALSE) AS breach FROM slipped)"""
 
 
+def slipped(v: Inputs):
+    """Trades against the mid known when their request was sent, ``k`` seconds before the fill."""
+    trades = v("fx_trade").withColumn("arrival_ts", F.timestamp_micros(F.unix_micros("ts") - F.col("k").cast("bigint") * 1_000_000))
+    return orders.slippage(trades, v("fx_snapshot"), 500, "arrival_ts", "2 days")
+
+
 @query("slippage", ["fx_trade", "fx_snapshot"], _SLIP + f" SELECT fill_id, {d('slip', 'slippage_bps', 4)}, {d('lim', 'limit_bps', 4)}, breach FROM graded")
 def _(v):
-    return plain(orders.slippage(v("fx_trade"), v("fx_snapshot"), 500).select("fill_id", "slippage_bps", "limit_bps", "breach"), 4)
+    return plain(slipped(v).select("fill_id", "slippage_bps", "limit_bps", "breach"), 4)
 
 
 @query("slippage_summary", ["fx_trade", "fx_snapshot"], _SLIP + f"""
 SELECT strategy_id, count(*) AS n, {d('quantile_cont(slip, 0.5)', 'p50', 4)}, {d('quantile_cont(slip, 0.95)', 'p95', 4)}, count(*) FILTER (breach) AS breaches FROM graded GROUP BY 1""")
 def _(v):
-    return plain(orders.slippage_summary(orders.slippage(v("fx_trade"), v("fx_snapshot"), 500), exact=True), 4)
+    return plain(orders.slippage_summary(slipped(v)), 4)
 
 
 @query("spread_and_band_guard", ["fx_request", "fx_snapshot"], f"""
-SELECT request_id, {unmet({'no_price': 'mid IS NOT NULL', 'spread': 'spread <= 100', 'price_band': 'abs(mid - CAST(px AS DOUBLE)) / CAST(px AS DOUBLE) * 10000 <= 3000'})} AS reasons
-FROM (SELECT r.request_id, r.px, {_MID} AS mid, CAST(s.ask - s.bid AS DOUBLE) / ({_MID}) * 10000 AS spread
-      FROM (SELECT * FROM fx_request WHERE order_type = 'market') r ASOF LEFT JOIN fx_snapshot s ON r.instrument = s.instrument AND r.ts >= s.ts) z""")
+SELECT request_id, {unmet({'no_price': 'mid IS NOT NULL', 'quote_quality': "quality IN ('live', 'delayed')", 'spread': 'spread <= 100', 'price_band': 'abs(mid - CAST(px AS DOUBLE)) / CAST(px AS DOUBLE) * 10000 <= 3000'})} AS reasons
+FROM (SELECT request_id, px, CASE WHEN fresh THEN mid END AS mid, CASE WHEN fresh THEN quality END AS quality, CASE WHEN fresh THEN spread END AS spread
+      FROM (SELECT r.request_id, r.px, s.quality, {_MID} AS mid, CAST(s.ask - s.bid AS DOUBLE) / ({_MID}) * 10000 AS spread, s.ts >= r.ts - INTERVAL '1' DAY AS fresh
+            FROM (SELECT * FROM fx_request WHERE order_type = 'market') r ASOF LEFT JOIN fx_snapshot s ON r.instrument = s.instrument AND r.ts >= s.ts) y) z""")
 def _(v):
-    return plain(orders.spread_and_band_guard(v("fx_request"), v("fx_snapshot"), 100, 3000, "px").select("request_id", "reasons"))
+    return plain(orders.spread_and_band_guard(v("fx_request"), v("fx_snapshot"), 100, 3000, "px", "1 day").select("request_id", "reasons"))
 
 
 @query("reduce_only_audit", ["fx_fill_once"], f"""
@@ -161,7 +180,7 @@ lags AS (SELECT 'signal_to_decision' AS stage, epoch_us(t1) - epoch_us(t0) AS la
 SELECT stage, count(*) AS n, {d('quantile_cont(lag, 0.5)', 'p50')}, {d('quantile_cont(lag, 0.95)', 'p95')}, {d('quantile_cont(lag, 0.99)', 'p99')}
 FROM lags WHERE lag IS NOT NULL GROUP BY 1""")
 def _(v):
-    return plain(orders.stage_latency(joins.signal_lineage(v("fx_signal"), v("fx_risk"), v("fx_request"), v("fx_trade")), exact=True))
+    return plain(orders.stage_latency(joins.signal_lineage(v("fx_signal"), v("fx_risk"), v("fx_request"), v("fx_trade"))))
 
 
 @query("stale_orders", ["fx_signal", "fx_snapshot", "fx_policy", "fx_request"], _DEADLINES + """

@@ -290,7 +290,7 @@ SELECT venue, channel, time_bucket(INTERVAL '1 day', event_ts) AS window_start,
        {n('max(epoch_us(persisted_ts) - epoch_us(receipt_ts))', 'max_persist')}, count(*) AS n, count(*) FILTER (lag > 60000000) AS late
 FROM (SELECT *, epoch_us(receipt_ts) - epoch_us(event_ts) AS lag FROM fx_raw) z GROUP BY ALL""")
 def _(v):
-    return plain(quality.ingest_latency(v("fx_raw"), "60 seconds", exact=True))
+    return plain(quality.ingest_latency(v("fx_raw"), "60 seconds"))
 
 
 @query("interval_volume", ["fx_snapshot"], f"""

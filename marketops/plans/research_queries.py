@@ -129,7 +129,8 @@ def _(v):
 
 _TIMELINE = """
 , line AS (SELECT state, from_ts, seq, lead(from_ts) OVER (ORDER BY from_ts, seq) AS to_ts, lead(state) OVER (ORDER BY from_ts, seq) AS nxt FROM fx_state),
-timeline AS (SELECT *, epoch_us(to_ts) - epoch_us(from_ts) AS duration_us, CASE WHEN state = 'STARTING' AND nxt <> 'RECONCILING' THEN 'restart_not_reconciled' END AS violation FROM line)"""
+timeline AS (SELECT *, epoch_us(to_ts) - epoch_us(from_ts) AS duration_us, CASE WHEN state = 'STARTING' AND nxt <> 'RECONCILING' THEN 'restart_not_reconciled'
+  WHEN state IN ('DEGRADED', 'HALTED') AND nxt = 'READY' THEN 'reconnect_not_reconciled' END AS violation FROM line)"""
 
 
 @query("state_timeline", ["fx_state"], _TIMELINE + " SELECT state, seq, from_ts, to_ts, duration_us, violation FROM timeline")
@@ -213,21 +214,23 @@ def invariant_report(v: Inputs):
 
 
 _HEALTH = f"""
-, health AS (SELECT venue, channel, time_bucket(INTERVAL '6 hours', event_ts) AS window_start, count(*) AS n, max(seq) - min(seq) + 1 - count(*) AS missing,
-  count(*) FILTER (epoch_us(receipt_ts) - epoch_us(event_ts) > 60000000) AS late FROM fx_raw GROUP BY 1, 2, 3)"""
+, health AS (SELECT venue, channel, time_bucket(INTERVAL '6 hours', event_ts) AS window_start, count(*) AS n, max(seq) - min(seq) + 1 - count(*) AS missing, max(seq) AS hi, min(seq) AS lo,
+  count(*) FILTER (epoch_us(receipt_ts) - epoch_us(event_ts) > 60000000) AS late FROM fx_raw GROUP BY 1, 2, 3),
+edged AS (SELECT * EXCLUDE (missing), missing + coalesce(lo - 1 - lag(hi) OVER (PARTITION BY venue, channel ORDER BY window_start), 0) AS missing FROM health)"""
 
 
 @query("feed_health", ["fx_snapshot"], f"""
-SELECT source, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, max(seq) - min(seq) + 1 - count(*) AS missing,
+SELECT * EXCLUDE (lo, hi, missing), missing + coalesce(lo - 1 - lag(hi) OVER (PARTITION BY source ORDER BY window_start), 0) AS missing FROM (
+SELECT source, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, max(seq) - min(seq) + 1 - count(*) AS missing, max(seq) AS hi, min(seq) AS lo,
   count(*) FILTER (epoch_us(receipt_ts) - epoch_us(ts) > 60000000) AS late, {d("avg(CASE WHEN quality IN ('live', 'delayed') THEN 0.0 ELSE 1.0 END)", 'stale_share')}
-FROM fx_snapshot GROUP BY 1, 2""")
+FROM fx_snapshot GROUP BY 1, 2) z""")
 def _(v):
     return plain(monitoring.feed_health(v("fx_snapshot"), "1 day", "60 seconds", feed=["source"], ts="ts").drop("window_end"))
 
 
 @query("alerts", ["fx_raw"], _HEALTH + f"""
-, long AS (SELECT venue, channel, window_start, 'late' AS metric, CAST(late AS DOUBLE) AS value, 16.0 AS threshold FROM health
-           UNION ALL SELECT venue, channel, window_start, 'missing', CAST(missing AS DOUBLE), 50.0 FROM health),
+, long AS (SELECT venue, channel, window_start, 'late' AS metric, CAST(late AS DOUBLE) AS value, 16.0 AS threshold FROM edged
+           UNION ALL SELECT venue, channel, window_start, 'missing', CAST(missing AS DOUBLE), 50.0 FROM edged),
 walked AS (SELECT *, value > threshold AS breach, lag(value > threshold) OVER (PARTITION BY venue, channel, metric ORDER BY window_start) AS was FROM long)
 SELECT channel, metric, window_start, {d('value', 'value')} FROM walked WHERE breach AND NOT coalesce(was, FALSE)""")
 def _(v):
@@ -256,22 +259,29 @@ def _(v):
 _EVAL = f"""
 , quotes AS (SELECT instrument, ts, {_MID} AS mid, CAST(ask - bid AS DOUBLE) / ({_MID}) * 10000 AS spread, CAST(volume AS DOUBLE) AS vol FROM fx_snapshot),
 timed AS (SELECT *, ts + INTERVAL '30' SECOND AS t0, ts + to_microseconds(horizon_us) + INTERVAL '30' SECOND AS t1, 1 + k AS quantity FROM fx_signal),
+rates AS (SELECT instrument, ts, CAST((k - 50) * 0.00001 AS DECIMAL(18,8)) AS rate FROM fx_base WHERE event_type IN ('error', 'signup')),
 opened AS (SELECT g.*, q.mid AS m0, q.spread AS s0, q.vol AS vol FROM timed g ASOF LEFT JOIN quotes q ON g.instrument = q.instrument AND g.t0 >= q.ts),
-closed AS (SELECT g.*, q.mid AS m1, q.spread AS s1 FROM opened g ASOF LEFT JOIN quotes q ON g.instrument = q.instrument AND g.t1 >= q.ts),
-costed AS (SELECT *, CASE WHEN direction = 'long' THEN 1 ELSE -1 END * (m1 - m0) / m0 AS gross,
-                  (2 * (5.0 + 2.0) + (CASE WHEN s0 IS NULL THEN 0 ELSE greatest(s0, 0) END + CASE WHEN s1 IS NULL THEN 0 ELSE greatest(s1, 0) END) / 2 + horizon_us / 86400000000.0 * 3.0) / 10000 AS cost,
-                  CASE WHEN vol IS NULL THEN 1 ELSE least(1.0, vol * 0.1 / quantity) END AS ratio FROM closed),
+opened2 AS (SELECT * REPLACE (CASE WHEN f THEN m0 END AS m0, CASE WHEN f THEN s0 END AS s0, CASE WHEN f THEN vol END AS vol) FROM (
+  SELECT g.*, q.ts >= g.t0 - INTERVAL '2' DAY AS f FROM opened g ASOF LEFT JOIN quotes q ON g.instrument = q.instrument AND g.t0 >= q.ts) z),
+closed AS (SELECT g.*, CASE WHEN q.ts >= g.t1 - INTERVAL '2' DAY THEN q.mid END AS m1, CASE WHEN q.ts >= g.t1 - INTERVAL '2' DAY THEN q.spread END AS s1
+  FROM opened2 g ASOF LEFT JOIN quotes q ON g.instrument = q.instrument AND g.t1 >= q.ts),
+due AS (SELECT g.signal_id, sum(r.rate) AS due FROM timed g JOIN rates r ON r.instrument = g.instrument AND r.ts > g.t0 AND r.ts <= g.t1 GROUP BY 1),
+costed AS (SELECT c.*, CASE WHEN direction = 'long' THEN 1 ELSE -1 END * (m1 - m0) / m0 AS gross, m0 IS NOT NULL AND m1 IS NULL AS censored,
+                  CASE WHEN m0 IS NOT NULL AND m1 IS NOT NULL THEN (2 * (5.0 + 2.0) + (greatest(s0, 0) + greatest(s1, 0)) / 2) / 10000 END
+                    + CASE WHEN direction = 'long' THEN 1 ELSE -1 END * coalesce(CAST(due AS DOUBLE), 0) AS cost,
+                  CASE WHEN vol IS NOT NULL THEN least(1.0, vol * 0.1 / quantity) END AS ratio FROM closed c LEFT JOIN due d ON d.signal_id = c.signal_id),
 evaluated AS (SELECT *, (gross - cost) * ratio AS net FROM costed)"""
 
 
 def evaluated(v: Inputs):
     s = v("fx_signal").withColumn("quantity", 1 + F.col("k"))
-    return research.evaluate_signals(s, v("fx_snapshot"), 5.0, 2.0, 3.0, latency="30 seconds", participation=0.1)
+    rates = v("fx_base").where("event_type IN ('error', 'signup')").select("instrument", "ts", ((F.col("k") - 50) * F.lit(0.00001)).cast("decimal(18,8)").alias("rate"))
+    return research.evaluate_signals(s, v("fx_snapshot"), 5.0, 2.0, "2 days", rates, latency="30 seconds", participation=0.1)
 
 
-@query("evaluate_signals", ["fx_signal", "fx_snapshot"], _EVAL + f" SELECT signal_id, {d('gross', 'gross')}, {d('cost', 'cost')}, {d('ratio', 'fill_ratio')}, {d('net', 'net')} FROM evaluated")
+@query("evaluate_signals", ["fx_base", "fx_signal", "fx_snapshot"], _EVAL + f" SELECT signal_id, {d('gross', 'gross')}, {d('cost', 'cost')}, {d('ratio', 'fill_ratio')}, {d('net', 'net')}, censored FROM evaluated")
 def _(v):
-    return plain(evaluated(v).select("signal_id", "gross", "cost", "fill_ratio", "net"))
+    return plain(evaluated(v).select("signal_id", "gross", "cost", "fill_ratio", "net", "censored"))
 
 
 _PLAN = research.walk_forward_folds("2024-01-01 00:00:00", "10 days", "4 days", "1 day", 4)
@@ -294,10 +304,10 @@ def _(v):
     return plain(research.assign_folds(v("fx_signal"), _PLAN).select("signal_id", "fold", "role"))
 
 
-_GRID = [{"min_conf": 0.1, "max_cost": 0.01}, {"min_conf": 0.3, "max_cost": 0.01}, {"min_conf": 0.5, "max_cost": 0.02}, {"min_conf": 0.7, "max_cost": 0.03}]
+_GRID = [{"min_conf": c, "max_cost": m} for c in (0.1, 0.3, 0.5) for m in (0.01, 0.02)]
 _SWEEP = _EVAL + _FOLDS.replace("\n, folds", "\n, folds", 1) + """
 , tried AS (SELECT e.net, g.param_id, f.fold, f.role FROM evaluated e JOIN spans f ON e.ts >= f.x AND e.ts < f.y
-  JOIN (VALUES (0, 0.1, 0.01), (1, 0.3, 0.01), (2, 0.5, 0.02), (3, 0.7, 0.03)) g(param_id, min_conf, max_cost) ON CAST(e.confidence AS DOUBLE) >= g.min_conf AND e.cost <= g.max_cost WHERE e.net IS NOT NULL),
+  JOIN (VALUES (0, 0.1, 0.01), (1, 0.1, 0.02), (2, 0.3, 0.01), (3, 0.3, 0.02), (4, 0.5, 0.01), (5, 0.5, 0.02)) g(param_id, min_conf, max_cost) ON CAST(e.confidence AS DOUBLE) >= g.min_conf AND e.cost <= g.max_cost WHERE e.net IS NOT NULL),
 sweep AS (SELECT param_id, fold, role, count(*) AS n, avg(net) AS mean, stddev_samp(net) AS vol, avg(net) / nullif(stddev_samp(net), 0) AS sharpe,
                  avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, sum(net) AS total FROM tried GROUP BY 1, 2, 3)"""
 
@@ -309,24 +319,24 @@ def sweep(v: Inputs):
     return research.parameter_sweep(evaluated(v), _GRID, _PLAN, rule, seed=7)
 
 
-@query("parameter_sweep", ["fx_signal", "fx_snapshot"], _SWEEP + f"""
+@query("parameter_sweep", ["fx_base", "fx_signal", "fx_snapshot"], _SWEEP + f"""
 SELECT {n('param_id', 'param_id')}, {n('fold', 'fold')}, role, n, {d('mean', 'mean')}, {d('vol', 'vol')}, {d('sharpe', 'sharpe')}, {d('hit_rate', 'hit_rate')}, {d('total', 'total')}, {n('7', 'seed')} FROM sweep""")
 def _(v):
     return plain(sweep(v).drop("min_conf", "max_cost"))
 
 
-@query("robust_selection", ["fx_signal", "fx_snapshot"], _SWEEP + f"""
+@query("robust_selection", ["fx_base", "fx_signal", "fx_snapshot"], _SWEEP + f"""
 , per AS (SELECT param_id, avg(sharpe) FILTER (role = 'test') AS oos, coalesce(stddev_samp(sharpe) FILTER (role = 'test'), 0) AS spread, min(sharpe) FILTER (role = 'test') AS worst,
                  avg(sharpe) FILTER (role = 'train') AS ins FROM sweep GROUP BY 1),
-near AS (SELECT p.param_id, avg(q.oos) AS nb FROM per p JOIN per q ON abs(p.param_id - q.param_id) = 1 GROUP BY 1),
+near AS (SELECT p.param_id, avg(q.oos) AS nb FROM per p JOIN per q ON abs(p.param_id // 2 - q.param_id // 2) + abs(p.param_id % 2 - q.param_id % 2) = 1 GROUP BY 1),
 scored AS (SELECT p.param_id, oos, spread, worst, greatest(coalesce(ins - oos, 0), 0) AS decay, coalesce(abs(oos - nb), 0) AS instability FROM per p LEFT JOIN near x ON x.param_id = p.param_id)
 SELECT {n('param_id', 'param_id')}, {d('oos', 'oos')}, {d('spread', 'spread')}, {d('worst', 'worst')}, {d('decay', 'decay')}, {d('instability', 'instability')},
        {d('oos - spread - decay - instability', 'score')}, row_number() OVER (ORDER BY oos - spread - decay - instability DESC NULLS LAST, param_id) AS rank FROM scored""")
 def _(v):
-    return plain(research.robust_selection(sweep(v)))
+    return plain(research.robust_selection(sweep(v), ["min_conf", "max_cost"]))
 
 
-@query("performance_metrics", ["fx_signal", "fx_snapshot"], _EVAL + f"""
+@query("performance_metrics", ["fx_base", "fx_signal", "fx_snapshot"], _EVAL + f"""
 , kept AS (SELECT *, sum(net) OVER (PARTITION BY strategy_id ORDER BY ts, signal_id ROWS UNBOUNDED PRECEDING) AS cum FROM evaluated WHERE net IS NOT NULL),
 peaks AS (SELECT *, greatest(max(cum) OVER (PARTITION BY strategy_id ORDER BY ts, signal_id ROWS UNBOUNDED PRECEDING), 0) - cum AS fall FROM kept)
 SELECT strategy_id, count(*) AS n, {d('avg(net)', 'mean')}, {d('stddev_samp(net)', 'vol')}, {d('avg(net) / stddev_samp(net)', 'sharpe')}, {d('avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END)', 'hit_rate')},
@@ -434,11 +444,14 @@ def _(v):
 
 
 @query("stream_alerts", ["fx_snapshot"], """
-SELECT DISTINCT instrument FROM fx_snapshot WHERE quality IN ('stale', 'invalid')""")
+, marked AS (SELECT instrument, ts, seq, coalesce(quality IN ('stale', 'invalid'), FALSE) AS bad FROM fx_snapshot),
+walked AS (SELECT *, lag(bad) OVER w AS was, max(CASE WHEN bad THEN ts END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM marked
+  WINDOW w AS (PARTITION BY instrument ORDER BY ts, bad DESC, seq))
+SELECT instrument, ts FROM walked WHERE bad AND (NOT coalesce(was, FALSE) OR ts - before > INTERVAL '1' DAY)""")
 def _(v):
     s = streamed(v, "fx_snapshot").select("instrument", "ts", "quality")
-    out = streams.alert_stream(s, F.col("quality").isin("stale", "invalid"), ["instrument"], "ts", "40 days")
-    return plain(drained(v, out).select("instrument").distinct())
+    out = streams.alert_stream(s, F.col("quality").isin("stale", "invalid"), ["instrument"], "ts", "1 day")
+    return plain(drained(v, out).select("instrument", "ts"))
 
 
 @query("stream_risk_gate", ["fx_signal", "fx_snapshot", "fx_policy"], GATE_SQL)
