@@ -19,6 +19,7 @@ _SUM_QTY = "decimal(19,8)"
 
 
 def signed_qty() -> Column:
+    """Bought quantity, or sold as negative; NULL for a fill whose side or quantity is unknown."""
     return F.when(F.col("side") == "buy", F.col("qty")).when(F.col("side") == "sell", -F.col("qty"))
 
 
@@ -28,23 +29,31 @@ def cash_flow() -> Column:
 
 
 def position_path(fills: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: str | int = "1 day") -> DataFrame:
-    """Signed position after each fill."""
-    return running(fills, by, order, bucket(order[0], width), {"position": ("sum", signed_qty())})
+    """Signed position after each fill; unknown from a fill of unknown side or quantity on."""
+    unknown = F.when(signed_qty().isNull(), 1).otherwise(0)
+    path = running(fills, by, order, bucket(order[0], width), {"position": ("sum", signed_qty()), "__unknown": ("sum", unknown)})
+    return path.withColumn("position", F.when(F.col("__unknown") == 0, F.col("position"))).drop("__unknown")
+
+
+def known_sum(value: Column) -> Column:
+    """The sum, or NULL where one of the values is unknown."""
+    return F.when(F.count(F.when(value.isNull(), 1)) == 0, F.sum(value))
 
 
 def positions(fills: DataFrame, as_of: str | None = None, by: Sequence[str] = BY) -> DataFrame:
-    """Position per key at ``as_of`` (inclusive), or at the end."""
+    """Position per key at ``as_of`` (inclusive), or at the end; NULL where a fill's side or quantity is unknown."""
     rows = fills if as_of is None else fills.where(F.col("ts") <= F.lit(as_of).cast("timestamp"))
-    return rows.groupBy(*by).agg(F.sum(signed_qty()).alias("qty"))
+    return rows.groupBy(*by).agg(known_sum(signed_qty()).alias("qty"))
 
 
 def pnl_mark_to_market(fills: DataFrame, marks: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Cash flow minus fees plus position at the mark; the order of fills does not matter.
 
-    ``marks(instrument, price)`` holds one row per instrument. Without a mark the PnL is NULL.
+    ``marks(instrument, price)`` holds one row per instrument. The PnL is NULL without a mark, with a fill of unknown side, quantity, price or fee,
+    and where a sum passes what its decimals hold.
     """
     sums = fills.groupBy(*by).agg(
-        F.sum(signed_qty()).cast(_SUM_QTY).alias("qty"), F.sum(cash_flow()).cast(MONEY).alias("cash"), F.sum("fee").cast(MONEY).alias("fees")
+        known_sum(signed_qty()).try_cast(_SUM_QTY).alias("qty"), known_sum(cash_flow()).try_cast(MONEY).alias("cash"), known_sum(F.col("fee")).try_cast(MONEY).alias("fees")
     )
     marked = sums.join(marks.select("instrument", F.col("price").alias("mark")), "instrument", "left")
     open_value = F.when(F.col("qty") == 0, F.lit(0)).otherwise(F.col("qty") * F.col("mark"))

@@ -56,10 +56,11 @@ def size_positions(df: DataFrame) -> DataFrame:
 
 
 def exposure(positions: DataFrame, levels: Sequence[str], notional: str = "notional") -> DataFrame:
-    """Gross and net exposure for every prefix of the levels, with the grand total."""
-    value = F.col(notional)
+    """Gross and net exposure for every prefix of the levels, with the grand total. One position of unknown value makes both unknown;
+    ``unknown`` counts them."""
+    value, unknown = F.col(notional), F.count(F.when(F.col(notional).isNull(), 1))
     return positions.rollup(*levels).agg(
-        F.sum(F.abs(value)).alias("gross"), F.sum(value).alias("net"), F.grouping_id().alias("grouping")
+        F.when(unknown == 0, F.sum(F.abs(value))).alias("gross"), F.when(unknown == 0, F.sum(value)).alias("net"), unknown.alias("unknown"), F.grouping_id().alias("grouping")
     )
 
 
@@ -109,14 +110,22 @@ def _block_sums(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a[keep], "b": b[keep], **{k: v.ravel()[keep] for k, v in parts.items()}})
 
 
-def return_correlation(returns: DataFrame, min_bars: int = 2, blocks: int = 8, stretch: str = "30 days") -> DataFrame:
+def return_correlation(returns: DataFrame, min_bars: int = 2, blocks: int | None = None, stretch: str = "30 days", universe: DataFrame | None = None,
+                       threshold: float | None = None, block_size: int = 200) -> DataFrame:
     """Correlation of bar returns for every pair of instruments sharing at least ``min_bars`` bars.
 
+    ``universe(instrument)`` keeps its members only, before anything is paired; with ``threshold`` only pairs at least so strongly
+    correlated, either way, come out. Pairs without a spread have no correlation and stay out then.
+
     ``returns(instrument, ts, ret)`` has one row per instrument and bar. No pairs of rows are formed:
     instruments fall into ``blocks`` groups, bars into stretches of time, and each task multiplies two
     small matrices. What is shuffled is every return ``blocks`` times and one partial sum per pair
-    and stretch. Raise ``blocks`` with the number of markets to keep a task's matrices small.
+    and stretch. ``blocks`` follows from the number of markets, some ``block_size`` in each, unless it is given.
     """
+    if universe is not None:
+        returns = returns.join(universe.select("instrument").distinct(), "instrument", "left_semi")
+    if blocks is None:
+        blocks = max(1, -(-returns.select("instrument").distinct().count() // block_size))
     rows = returns.where(F.col("ret").isNotNull()).select(
         "instrument", us("ts").alias("t"), F.col("ret").cast("double").alias("r"),
         F.pmod(F.xxhash64("instrument"), F.lit(blocks)).cast("int").alias("block"), bucket("ts", stretch).alias("stretch"),
@@ -140,14 +149,16 @@ def return_correlation(returns: DataFrame, min_bars: int = 2, blocks: int = 8, s
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     # Beyond rounding, whatever the size of the returns.
     spreadable = (vx > F.col("sxx") * 1e-12) & (vy > F.col("syy") * 1e-12)
-    return sums.select("a", "b", F.when(spreadable, cov / F.sqrt(vx * vy)).alias("corr"), F.col("n").cast("bigint").alias("n"))
+    found = sums.select("a", "b", F.when(spreadable, cov / F.sqrt(vx * vy)).alias("corr"), F.col("n").cast("bigint").alias("n"))
+    return found if threshold is None else found.where(F.abs("corr") >= threshold)
 
 
 def concentration(positions: DataFrame, scope: Sequence[str], notional: str = "notional") -> DataFrame:
-    """Share of gross per instrument, the scope's largest share and its Herfindahl index."""
-    per = positions.groupBy(*scope, "instrument").agg(F.sum(F.abs(F.col(notional))).alias("gross"))
+    """Share of gross per instrument, the scope's largest share and its Herfindahl index; unknown where one of the scope's values is."""
+    per = positions.groupBy(*scope, "instrument").agg(F.when(F.count(F.when(F.col(notional).isNull(), 1)) == 0, F.sum(F.abs(F.col(notional)))).alias("gross"))
     value = F.col("gross").cast("double")
-    totals = per.groupBy(*scope).agg(F.sum("gross").alias("__total"), F.max("gross").alias("__max"), F.sum(value * value).alias("__sq"))
+    known = F.count("gross") == F.count("*")
+    totals = per.groupBy(*scope).agg(F.when(known, F.sum("gross")).alias("__total"), F.when(known, F.max("gross")).alias("__max"), F.when(known, F.sum(value * value)).alias("__sq"))
     total = F.nullif(F.col("__total"), F.lit(0)).cast("double")
     return per.join(totals, list(scope)).select(
         *scope, "instrument", (value / total).alias("share"), (F.col("__max").cast("double") / total).alias("largest"), (F.col("__sq") / (total * total)).alias("hhi")
@@ -164,12 +175,13 @@ def budget_ledger(events: DataFrame, scope: Sequence[str], budgets: DataFrame, o
     """Running reserved amount per scope from deduplicated reserve, release and adjust events.
 
     Reserve adds, release subtracts, adjust adds its signed amount. ``over`` marks rows beyond the
-    budget; a missing budget counts as zero.
+    budget; a missing budget counts as zero. From an event of unknown kind or amount on, the balance is unknown, and ``over``.
     """
     signed = F.when(F.col("kind").isin("reserve", "adjust"), F.col("amount")).when(F.col("kind") == "release", -F.col("amount"))
-    path = running(events, scope, order, bucket(order[0], width), {"balance": ("sum", signed)})
+    path = running(events, scope, order, bucket(order[0], width), {"balance": ("sum", signed), "__unknown": ("sum", F.when(signed.isNull(), 1).otherwise(0))})
+    path = path.withColumn("balance", F.when(F.col("__unknown") == 0, F.col("balance"))).drop("__unknown")
     joined = path.join(budgets.select(*scope, "budget"), list(scope), "left")
-    return joined.withColumn("over", F.col("balance") > F.coalesce(F.col("budget"), F.lit(0)))
+    return joined.withColumn("over", ~F.coalesce(F.col("balance") <= F.coalesce(F.col("budget"), F.lit(0)), F.lit(False)))
 
 
 def admit_by_budget(requests: DataFrame, budgets: DataFrame, scope: str = "account", order: Sequence[str] = ("ts", "seq"),

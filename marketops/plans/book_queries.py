@@ -307,28 +307,32 @@ def _(v):
 
 
 def valued_positions(v: Inputs):
+    """Positions at their marks. The one instrument without a mark is taken at 1,000, but for two accounts, where its value stays unknown."""
     marks = v("fx_mark_latest").select("instrument", F.col("price").alias("mark"))
-    joined = v("fx_position").join(marks, "instrument")
-    return joined.withColumn("notional", (F.col("qty").cast("decimal(19,8)") * F.col("mark")).cast("decimal(38,16)"))
+    joined = v("fx_position").join(marks, "instrument", "left")
+    mark = F.coalesce("mark", F.when(~F.col("account").isin("acct-3", "acct-9"), F.lit(1000))).cast("decimal(18,8)")
+    return joined.withColumn("notional", (F.col("qty").cast("decimal(19,8)") * mark).cast("decimal(38,16)"))
 
 
-_VALUED = ", valued AS (SELECT p.account, p.strategy_id, p.instrument, CAST(p.qty AS DECIMAL(38,8)) * m.price AS notional FROM fx_position p JOIN fx_mark_latest m ON m.instrument = p.instrument)"
+_MARKED = "coalesce(m.price, CASE WHEN p.account NOT IN ('acct-3', 'acct-9') THEN 1000 END)"
+_VALUED = f", valued AS (SELECT p.account, p.strategy_id, p.instrument, CAST(p.qty AS DECIMAL(38,8)) * CAST({_MARKED} AS DECIMAL(18,8)) AS notional FROM fx_position p LEFT JOIN fx_mark_latest m ON m.instrument = p.instrument)"
 
 
 @query("exposure", ["fx_position", "fx_mark_latest"], _VALUED + f"""
-SELECT account, strategy_id, instrument, {d('sum(abs(notional))', 'gross', 3)}, {d('sum(notional)', 'net', 3)}, {n('grouping_id(account, strategy_id, instrument)', '"grouping"')}
+SELECT account, strategy_id, instrument, {d('CASE WHEN count(notional) = count(*) THEN sum(abs(notional)) END', 'gross', 3)}, {d('CASE WHEN count(notional) = count(*) THEN sum(notional) END', 'net', 3)},
+       count(*) - count(notional) AS unknown, {n('grouping_id(account, strategy_id, instrument)', '"grouping"')}
 FROM valued GROUP BY ROLLUP (account, strategy_id, instrument)""")
 def _(v):
     return plain(risk.exposure(valued_positions(v), ["account", "strategy_id", "instrument"]), 3)
 
 
 @query("account_leverage", ["fx_position", "fx_mark_latest", "fx_policy"], _VALUED + f"""
-, gross AS (SELECT account, sum(abs(notional)) AS gross FROM valued GROUP BY 1)
+, gross AS (SELECT account, CASE WHEN count(notional) = count(*) THEN sum(abs(notional)) END AS gross FROM valued GROUP BY 1)
 SELECT account, {d('lev', 'leverage')}, NOT coalesce(value IS NOT NULL AND lev <= least(value, 20), FALSE) AS breach FROM (
   SELECT g.account, CASE WHEN g.account NOT IN ('acct-4', 'acct-5') THEN CAST(g.gross AS DOUBLE) / 1000000 END AS lev, CAST(l.value AS DOUBLE) AS value
   FROM gross g LEFT JOIN fx_policy l ON l.scope = 'account' AND l.name = 'max_leverage' AND l.key = g.account AND l.key <> 'acct-7') z""")
 def _(v):
-    gross = valued_positions(v).groupBy("account").agg(F.sum(F.abs("notional")).alias("gross"))
+    gross = risk.exposure(valued_positions(v), ["account"]).where("`grouping` = 0").select("account", "gross")
     equity = v("fx_position").select("account").distinct().where("account not in ('acct-4', 'acct-5')").withColumn("equity", F.lit(1_000_000))
     limits = v("fx_policy").where("scope = 'account' and name = 'max_leverage' and key <> 'acct-7'").select(F.col("key").alias("account"), F.col("value").alias("max_leverage"))
     return plain(risk.account_leverage(gross, equity, limits).select("account", "leverage", "breach"))
@@ -373,9 +377,22 @@ def _(v):
     return plain(risk.return_correlation(daily_returns(v), min_bars=5, blocks=4))
 
 
+@query("high_correlations", ["fx_snapshot", "fx_listing"], f"""
+, closes AS (SELECT instrument, time_bucket(INTERVAL '1 day', ts) AS day, CAST(arg_max(last, (ts, seq)) AS DOUBLE) AS px FROM fx_snapshot GROUP BY 1, 2),
+rets AS (SELECT instrument, day, px / lag(px) OVER (PARTITION BY instrument ORDER BY day) - 1 AS r FROM closes),
+listed AS (SELECT DISTINCT instrument FROM fx_listing WHERE kind = 'list'),
+pairs AS (SELECT a.instrument AS a, b.instrument AS b, corr(a.r, b.r) AS c, count(*) AS n FROM rets a JOIN rets b ON a.day = b.day AND a.instrument < b.instrument
+          WHERE a.r IS NOT NULL AND b.r IS NOT NULL AND a.instrument IN (SELECT instrument FROM listed) AND b.instrument IN (SELECT instrument FROM listed) GROUP BY 1, 2)
+SELECT a, b, {d('c', 'corr')}, n FROM pairs WHERE n >= 5 AND abs(c) >= 0.8""")
+def _(v):
+    listed = v("fx_listing").where("kind = 'list'").select("instrument")
+    return plain(risk.return_correlation(daily_returns(v), min_bars=5, universe=listed, threshold=0.8, block_size=50))
+
+
 @query("concentration", ["fx_position", "fx_mark_latest"], _VALUED + f"""
-, per AS (SELECT account, instrument, sum(abs(notional)) AS g FROM valued GROUP BY 1, 2),
-tot AS (SELECT account, CAST(sum(g) AS DOUBLE) AS t, CAST(max(g) AS DOUBLE) AS m, sum(CAST(g AS DOUBLE) * CAST(g AS DOUBLE)) AS q FROM per GROUP BY 1)
+, per AS (SELECT account, instrument, CASE WHEN count(notional) = count(*) THEN sum(abs(notional)) END AS g FROM valued GROUP BY 1, 2),
+tot AS (SELECT account, CAST(sum(g) AS DOUBLE) AS t, CAST(max(g) AS DOUBLE) AS m, sum(CAST(g AS DOUBLE) * CAST(g AS DOUBLE)) AS q FROM per GROUP BY 1 HAVING count(g) = count(*)
+        UNION ALL SELECT account, NULL, NULL, NULL FROM per GROUP BY 1 HAVING count(g) < count(*))
 SELECT p.account, p.instrument, {d('CAST(p.g AS DOUBLE) / t', 'share')}, {d('m / t', 'largest')}, {d('q / (t * t)', 'hhi')} FROM per p JOIN tot x ON x.account = p.account""")
 def _(v):
     return plain(risk.concentration(valued_positions(v), ["account"]))
@@ -389,11 +406,13 @@ def _(v):
 
 
 @query("budget_ledger", ["fx_budget_event", "fx_budget"], f"""
-SELECT event_id, {d('balance', 'balance', 3)}, balance > coalesce(b.budget, 0) AS "over" FROM (
-  SELECT *, sum(CASE WHEN kind = 'release' THEN -amount ELSE amount END) OVER (PARTITION BY account ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance
-  FROM fx_budget_event) e LEFT JOIN fx_budget b ON b.account = e.account AND b.account <> 'acct-2'""")
+SELECT event_id, {d('balance', 'balance', 3)}, NOT coalesce(balance <= coalesce(b.budget, 0), FALSE) AS "over" FROM (
+  SELECT *, CASE WHEN bool_or(seq % 6007 = 33) OVER w THEN NULL ELSE sum(CASE WHEN kind = 'release' THEN -amount ELSE amount END) OVER w END AS balance
+  FROM fx_budget_event WINDOW w AS (PARTITION BY account ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) e LEFT JOIN fx_budget b ON b.account = e.account AND b.account <> 'acct-2'""")
 def _(v):
-    out = risk.budget_ledger(quality.first_of(v("fx_budget_event"), ["event_id"], ["ts", "seq"]), ["account"], v("fx_budget").where("account <> 'acct-2'"))
+    # A few events are of a kind nobody knows.
+    events = v("fx_budget_event").withColumn("kind", F.when(F.col("seq") % 6007 == 33, "transfer").otherwise(F.col("kind")))
+    out = risk.budget_ledger(quality.first_of(events, ["event_id"], ["ts", "seq"]), ["account"], v("fx_budget").where("account <> 'acct-2'"))
     return plain(out.select("event_id", "balance", "over"), 3)
 
 

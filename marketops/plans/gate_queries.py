@@ -9,7 +9,7 @@ from marketops.functions.reasons import split_valid
 from marketops.functions.timing import us
 from marketops.operators import contracts, joins, quality
 from marketops.operators.features import mid_spread
-from marketops.plans.registry import Inputs, breaches, d, n, plain, query, unmet
+from marketops.plans.registry import Inputs, as_placed, breaches, d, n, plain, query, unmet
 from marketops.sources import datasets
 
 SNAPSHOT_BREACHES = {
@@ -303,11 +303,7 @@ def _(v):
 @query("total_order", ["fx_raw"], """
 SELECT seq, row_number() OVER (ORDER BY event_ts, receipt_ts, venue, channel, instrument, seq) AS place FROM fx_raw""")
 def _(v):
-    from marketops.functions.timing import bucket
-    from marketops.functions.windows import numbered
-
-    ordered = quality.total_order(v("fx_raw"))
-    return plain(numbered(ordered, [], list(quality.REPLAY_ORDER), bucket("event_ts", "10 minutes"), "place").select("seq", "place"))
+    return plain(as_placed(quality.total_order(v("fx_raw"))).select("seq", "place"))
 
 
 # Joins

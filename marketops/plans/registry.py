@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketops.functions.windows import numbered
 from marketops.operators.quality import dedup_fills
 from marketops.session import materialize, shared_dir
 from marketops.sources.fixtures import cte, view
@@ -54,6 +55,12 @@ def query(name: str, views: Sequence[str] = (), sql: str | None = None):
     return register
 
 
+def as_placed(df: DataFrame) -> DataFrame:
+    """``place``: where each row stands in the order in which its partitions hold the rows, counted from 1 per partition and summed over them."""
+    marked = df.withColumn("__at", F.monotonically_increasing_id())
+    return numbered(marked, [], ["__at"], F.shiftright("__at", 33), "place").drop("__at")
+
+
 def nudge(digits: int) -> float:
     """Added before rounding so that exact ties, which the engines break differently, are none."""
     return 1.7 * 10.0 ** -(digits + 3)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from marketops.functions.timing import shift, us
 from marketops.operators import contracts, features, joins, monitoring, orders, portfolio, quality, research, risk, universe
-from marketops.plans.book_queries import GATE_SQL, W, valued_positions
+from marketops.plans.book_queries import _MARKED, GATE_SQL, W, valued_positions
 from marketops.plans.gate_queries import STICKY_SQL
-from marketops.plans.registry import Inputs, d, n, plain, query
+from marketops.plans.registry import Inputs, as_placed, d, n, plain, query
 from marketops.sources.fixtures import VIEWS, table
 from marketops.streaming import streams, timed
 
@@ -169,7 +169,7 @@ def _(v):
 
 
 _INVARIANTS = {
-    "max_exposure": "SELECT account || '/' || instrument AS id FROM valued GROUP BY account, instrument HAVING abs(sum(notional)) > 100000",
+    "max_exposure": "SELECT account || '/' || instrument AS id FROM valued GROUP BY account, instrument HAVING NOT coalesce(count(notional) = count(*) AND abs(sum(notional)) <= 100000, FALSE)",
     "leverage": "SELECT decision_id AS id FROM fx_decision WHERE max_leverage > 20 OR leverage > max_leverage",
     "reduce_only": "SELECT fill_id AS id FROM reduced",
     "fill_counted_once": "SELECT fill_id AS id FROM fx_fill GROUP BY fill_id HAVING count(*) > 1",
@@ -184,7 +184,7 @@ _FS = "CASE WHEN side = 'buy' THEN CAST(qty AS DECIMAL(38,8)) ELSE -CAST(qty AS
 
 @query("invariant_report", ["fx_position", "fx_mark_latest", "fx_decision", "fx_fill", "fx_fill_once", "fx_request", "fx_signal", "fx_snapshot", "fx_venue_position", "fx_state", "fx_trade"],
        _TRADE_PATH + f"""
-, valued AS (SELECT p.account, p.instrument, CAST(p.qty AS DECIMAL(38,8)) * m.price AS notional FROM fx_position p JOIN fx_mark_latest m ON m.instrument = p.instrument),
+, valued AS (SELECT p.account, p.instrument, CAST(p.qty AS DECIMAL(38,8)) * CAST({_MARKED} AS DECIMAL(18,8)) AS notional FROM fx_position p LEFT JOIN fx_mark_latest m ON m.instrument = p.instrument),
 local AS (SELECT account, instrument, sum({_FS}) AS qty FROM fx_fill_once GROUP BY 1, 2),
 walked AS (SELECT *, sum({_FS}) OVER (PARTITION BY account, instrument ORDER BY ts, recv_seq, fill_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS position FROM fx_fill_once),
 reduced AS (SELECT * FROM walked WHERE reduce_only AND (abs(position) > abs(position - {_FS}) OR sign(position) * sign(position - {_FS}) < 0)),
@@ -192,7 +192,8 @@ broken AS ({' UNION ALL '.join(f"SELECT {i + 1} AS number, '{name}' AS invariant
 SELECT {n('number', 'number')}, invariant, count(*) AS violations, array_to_string(list_sort(list(id))[1:3], ',') AS sample_ids FROM broken GROUP BY 1, 2""")
 def invariant_report(v: Inputs):
     """All nine mandatory invariants over the derived tables, each with its planted violations."""
-    exposures = valued_positions(v).groupBy("account", "instrument").agg(F.sum("notional").alias("net")).where(F.abs("net") > 100_000)
+    held = risk.exposure(valued_positions(v), ["account", "instrument"]).where("`grouping` = 0")
+    exposures = held.where(~F.coalesce(F.abs("net") <= 100_000, F.lit(False)))
     pair = F.concat_ws("/", "account", "instrument").alias("id")
     _, leverage = contracts.validate_risk_decisions(v("fx_decision"), rules="core")
     fresh = joins.asof_join(v("fx_signal").select("signal_id", "instrument", "ts"), v("fx_snapshot").select("instrument", "ts", "seq", "quality"), ["instrument"], tolerance="1 day", width="1 day")
@@ -251,9 +252,9 @@ def _(v):
 
 
 @query("simulated_receive_order", ["fx_raw"], """
-SELECT seq, receipt_ts + INTERVAL '5' SECOND AS available_at FROM fx_raw""")
+SELECT seq, receipt_ts + INTERVAL '5' SECOND AS available_at, row_number() OVER (ORDER BY receipt_ts, venue, channel, instrument, seq) AS place FROM fx_raw""")
 def _(v):
-    return plain(research.simulated_receive_order(v("fx_raw"), "5 seconds").select("seq", "available_at"))
+    return plain(as_placed(research.simulated_receive_order(v("fx_raw"), "5 seconds")).select("seq", "available_at", "place"))
 
 
 _EVAL = f"""
