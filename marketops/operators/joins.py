@@ -145,6 +145,20 @@ def reconcile(local: DataFrame, venue: DataFrame, keys: Sequence[str], values: S
     return joined.select(*keys, status.alias("status"), "local", "venue")
 
 
+def reconcile_book(parts: Mapping[str, tuple[DataFrame, DataFrame, Sequence[str], Sequence[str]]], tolerance: float | Decimal = 0) -> DataFrame:
+    """(kind, id, status) of everything on which local and venue records differ: open orders, fills, balances, positions.
+
+    Each part is (local, venue, keys, values). A row of any kind keeps the runtime out of READY; ``only_venue`` orders are the unknown
+    external ones that need an operator.
+    """
+    out = None
+    for kind, (local, venue, keys, values) in parts.items():
+        key = F.concat_ws("/", *[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in keys])
+        found = reconcile(local, venue, keys, values, tolerance).where("status <> 'match'").select(F.lit(kind).alias("kind"), key.alias("id"), "status")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def reconciliation_passed(result: DataFrame) -> DataFrame:
     """One row: how many keys differ and whether new exposure may resume."""
     bad = F.count(F.when(F.col("status") != "match", 1))

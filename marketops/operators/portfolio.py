@@ -91,6 +91,10 @@ def equity_curve(fills: DataFrame, marks: DataFrame, start: Decimal | int, last_
 
     ``marks(instrument, ts, seq, price)``; each day closes at its last mark. Fills are summed per
     account, instrument and day before anything is expanded to days.
+
+    What a pair of account and instrument adds to the equity changes only on days with fills, and while something is held with the marks. So only
+    days on which a position is open are laid out per pair; a flat pair gives one change on the day it became flat. Changes are summed per account
+    and day, accumulated, and carried over the days once per account. An open position without a mark makes the account's equity unknown.
     """
     account, instrument = by
     until = F.lit(last_day).cast("date")
@@ -103,15 +107,29 @@ def equity_curve(fills: DataFrame, marks: DataFrame, start: Decimal | int, last_
 
     # At most one row per key and day, so these windows are as long as the calendar.
     daily = fills.groupBy(*by, F.to_date("ts").alias("day")).agg(
-        F.sum(signed_qty()).alias("q"), F.sum(cash_flow() - F.col("fee")).cast(MONEY).alias("c")
+        known_sum(signed_qty()).alias("q"), known_sum(cash_flow() - F.col("fee")).cast(MONEY).alias("c")
     )
     upto = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    book = held(daily.select(*by, "day", F.sum("q").over(upto).cast(_SUM_QTY).alias("q"), F.sum("c").over(upto).alias("c")), by)
+    book = daily.where(F.col("day") <= until).select(*by, "day", F.sum("q").over(upto).try_cast(_SUM_QTY).alias("q"), F.sum("c").over(upto).try_cast(MONEY).alias("c"))
     closes = marks.groupBy(instrument, F.to_date("ts").alias("day")).agg(F.max_by("price", F.struct("ts", "seq")).alias("mark"))
-    valued = book.join(held(closes, [instrument]), [instrument, "day"], "left")
-    value = F.col("c") + F.when(F.col("q") == 0, F.lit(Decimal(0))).otherwise(F.col("q") * F.col("mark"))
-    complete = F.count(value) == F.count("*")
-    return valued.groupBy(account, "day").agg(F.when(complete, F.sum(value) + F.lit(start)).cast(MONEY).alias("equity"))
+    steps = book.withColumn("__next", F.lead("day").over(Window.partitionBy(*by).orderBy("day")))
+    open_ = F.coalesce(F.col("q") != 0, F.lit(True))
+    # Cash changes with fills only.
+    cash = book.withColumn("__was", F.lag("c").over(Window.partitionBy(*by).orderBy("day")))
+    moved = cash.select(account, "day", (F.col("c") - F.coalesce("__was", F.lit(Decimal(0)))).cast(MONEY).alias("__cash"), F.when(F.col("c").isNull(), 1).otherwise(0).alias("__bad"))
+    moved = moved.groupBy(account, "day").agg(F.sum("__cash").alias("__cash"), F.sum("__bad").alias("__bad"))
+    last_held = F.coalesce(F.date_sub("__next", 1), until)
+    days = steps.where(open_).select(*by, "q", F.explode(F.sequence("day", last_held)).alias("day"))
+    valued = days.join(held(closes, [instrument]), [instrument, "day"], "left")
+    value = F.col("q") * F.col("mark")
+    worth = valued.groupBy(account, "day").agg(F.sum(value).cast(MONEY).alias("__worth"), F.count(F.when(value.isNull(), 1)).alias("__blind"))
+    first = book.groupBy(account).agg(F.min("day").alias("__first"))
+    calendar = first.select(account, F.explode(F.sequence("__first", until)).alias("day"))
+    line = calendar.join(moved, [account, "day"], "left").join(worth, [account, "day"], "left")
+    so_far = Window.partitionBy(account).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    complete = (F.coalesce(F.sum("__bad").over(so_far), F.lit(0)) == 0) & (F.coalesce("__blind", F.lit(0)) == 0)
+    total = F.sum("__cash").over(so_far) + F.coalesce("__worth", F.lit(Decimal(0))) + F.lit(start)
+    return line.select(account, "day", F.when(complete, total).cast(MONEY).alias("equity"))
 
 
 def position_episodes(path: DataFrame, by: Sequence[str] = BY, order: Sequence[str] = ORDER, width: str | int = "1 day") -> DataFrame:
@@ -128,9 +146,46 @@ def position_episodes(path: DataFrame, by: Sequence[str] = BY, order: Sequence[s
     )
 
 
+DIGEST = "__digest"
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, fanout: int = 1024, levels: int = 2) -> tuple[DataFrame, DataFrame, int]:
+    """Both tables cut down to the ranges of row digests in which they differ, and how many of these there are.
+
+    A digest tree: level by level, each table's rows are counted and their digests summed per child range, where they lie; of the ranges that
+    differ only the children are looked at further. What is shuffled is one row per range and task, and the driver learns range numbers, at most
+    ``fanout`` times those of the level before. Two 64-bit digests of all columns are summed, with multiplicity.
+    """
+    names = a.columns
+
+    def digested(df: DataFrame) -> DataFrame:
+        row = [F.xxhash64(*names, *[F.col(c).isNull() for c in names]), F.xxhash64(F.lit("second"), *names, *[F.col(c).isNull() for c in names])]
+        return df.select(*names, row[0].alias(DIGEST), row[1].alias(DIGEST + "2"))
+
+    a, b = digested(a), digested(b.select(*names))
+    width = 1
+    for _ in range(levels):
+        width *= fanout
+        part = F.pmod(F.col(DIGEST), F.lit(width))
+
+        def sums(df: DataFrame, sign: int, part: Column = part) -> DataFrame:
+            big = "decimal(38,0)"
+            return df.groupBy(part.alias("part")).agg(
+                (F.count("*") * sign).alias("n"), (F.sum(F.col(DIGEST).cast(big)) * sign).cast(big).alias("x"), (F.sum(F.col(DIGEST + "2").cast(big)) * sign).cast(big).alias("y"))
+
+        net = sums(a, 1).unionByName(sums(b, -1)).groupBy("part").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y")])
+        apart = [r.part for r in net.where("n <> 0 OR x <> 0 OR y <> 0").select("part").collect()]
+        if len(apart) > fanout:  # so many ranges differ that further levels would spare little
+            break
+        a, b = (df.where(part.isin(apart)) if apart else df.limit(0) for df in (a, b))
+        if not apart:
+            break
+    return a.select(*names), b.select(*names), len(apart)
+
+
 def difference(a: DataFrame, b: DataFrame, left: str = "only_a", right: str = "only_b") -> DataFrame:
-    """Rows of either table that the other lacks, with multiplicity."""
-    b = b.select(*a.columns)
+    """Rows of either table that the other lacks, with multiplicity; only rows of ranges that differ are shuffled and compared."""
+    a, b, _ = differing_ranges(a, b)
     only_a = a.exceptAll(b).select(F.lit(left).alias("side"), "*")
     return only_a.unionByName(b.exceptAll(a).select(F.lit(right).alias("side"), "*"))
 

@@ -254,7 +254,7 @@ held AS (SELECT c.*, b.q, b.c FROM cal c ASOF JOIN book b ON c.account = b.accou
 valued AS (SELECT h.*, m.mark FROM held h ASOF LEFT JOIN marks m ON h.instrument = m.instrument AND h.day >= m.day)
 SELECT account, strftime(day, '%Y-%m-%d') AS day, {d('1000000 + sum(c + q * mark)', 'equity', 2)} FROM valued GROUP BY 1, 2""")
 def _(v):
-    once = v.ledger()
+    once = v.ledger(*LEDGER, "price", "fee")
     marks = once.select("instrument", "ts", F.col("fill_id").alias("seq"), "price")
     out = portfolio.equity_curve(once, marks, 1_000_000, "2001-12-31")
     return plain(out.withColumn("day", F.col("day").cast("string")), equity=2)

@@ -374,6 +374,28 @@ def _(v):
     return plain(out.select("account", "instrument", "status", F.col("local.qty").alias("local_qty"), F.col("venue.qty").alias("venue_qty")))
 
 
+@query("reconcile_book", ["fx_order", "fx_venue_order", "fx_fill_once", "fx_venue_fill", "fx_balance", "fx_venue_balance", "fx_venue_position"], """
+, local AS (SELECT account, instrument, SUM(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS qty FROM fx_fill_once GROUP BY 1, 2),
+pairs AS (
+  SELECT 'order' AS kind, coalesce(a.client_order_id, b.client_order_id) AS id, a.client_order_id IS NULL AS x, b.client_order_id IS NULL AS y, a.qty = b.qty AS same
+  FROM fx_order a FULL OUTER JOIN fx_venue_order b ON a.client_order_id = b.client_order_id
+  UNION ALL SELECT 'fill', coalesce(a.fill_id, b.fill_id), a.fill_id IS NULL, b.fill_id IS NULL, a.qty = b.qty AND a.price = b.price FROM fx_fill_once a FULL OUTER JOIN fx_venue_fill b ON a.fill_id = b.fill_id
+  UNION ALL SELECT 'balance', coalesce(a.account, b.account), a.account IS NULL, b.account IS NULL, a.balance = b.balance FROM fx_balance a FULL OUTER JOIN fx_venue_balance b ON a.account = b.account
+  UNION ALL SELECT 'position', coalesce(a.account, b.account) || '/' || coalesce(a.instrument, b.instrument), a.account IS NULL, b.account IS NULL, a.qty = b.qty
+  FROM local a FULL OUTER JOIN fx_venue_position b ON a.account = b.account AND a.instrument = b.instrument)
+SELECT kind, id, CASE WHEN x THEN 'only_venue' WHEN y THEN 'only_local' ELSE 'differs' END AS status FROM pairs WHERE x OR y OR NOT same""")
+def _(v):
+    from marketops.operators.portfolio import positions
+
+    fills = v("fx_fill_once")
+    return plain(joins.reconcile_book({
+        "order": (v("fx_order"), v("fx_venue_order"), ["client_order_id"], ["qty"]),
+        "fill": (fills, v("fx_venue_fill"), ["fill_id"], ["qty", "price"]),
+        "balance": (v("fx_balance"), v("fx_venue_balance"), ["account"], ["balance"]),
+        "position": (positions(fills), v("fx_venue_position"), ["account", "instrument"], ["qty"]),
+    }))
+
+
 @query("reconciliation_passed", ["fx_fill_once", "fx_venue_position"], """
 , local AS (SELECT account, instrument, SUM(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS qty FROM fx_fill_once GROUP BY 1, 2)
 SELECT count(*) AS n_keys, count(*) FILTER (x.qty IS NULL OR l.qty IS NULL OR abs(l.qty - x.qty) > 1) AS differences,

@@ -173,6 +173,19 @@ VIEWS: dict[str, str] = {
         WHERE NOT (account = 'acct-5' AND instrument = 'INST-7')
         UNION ALL
         SELECT 'acct-ext', 'INST-' || CAST(n_nationkey AS STRING), CAST(1 + n_nationkey AS DECIMAL(38,8)) FROM {nation}""",
+    "fx_venue_order": """
+        SELECT client_order_id, CASE WHEN CAST(client_order_id AS BIGINT) % 97 = 5 THEN CAST(qty + 1 AS DECIMAL(18,8)) ELSE qty END AS qty
+        FROM {fx_order} WHERE CAST(client_order_id AS BIGINT) % 101 <> 7
+        UNION ALL
+        SELECT 'external-' || CAST(n_nationkey AS STRING), CAST(1 AS DECIMAL(18,8)) FROM {nation}""",
+    "fx_venue_fill": """
+        SELECT fill_id, qty, CASE WHEN recv_seq % 331 = 4 THEN CAST(price + 1 AS DECIMAL(18,8)) ELSE price END AS price
+        FROM {fx_fill_once} WHERE recv_seq % 397 <> 11""",
+    "fx_balance": """
+        SELECT account, CAST(SUM(CASE WHEN side = 'buy' THEN -CAST(qty AS BIGINT) ELSE CAST(qty AS BIGINT) END * price) AS DECIMAL(38,8)) AS balance
+        FROM {fx_fill_once} GROUP BY account""",
+    "fx_venue_balance": """
+        SELECT account, CAST(CASE WHEN account = 'acct-8' THEN balance + 3 ELSE balance END AS DECIMAL(38,8)) AS balance FROM {fx_balance} WHERE account <> 'acct-2'""",
     "fx_position": """
         SELECT account, strategy_id, instrument, SUM(CASE WHEN side = 'buy' THEN qty ELSE -qty END) AS qty
         FROM {fx_fill_once} GROUP BY account, strategy_id, instrument""",
