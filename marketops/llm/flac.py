@@ -16,14 +16,15 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketops.llm.common import bounded_batches, steps, utf8
+from marketops.llm.pieces import worker_memory
 
 RATE = 8000
 BLOCK = 4096
@@ -51,9 +52,20 @@ def crc8(data: bytes) -> int:
     return crc
 
 
-@lru_cache(1)
+def _once() -> dict:
+    """What is worked out once per process, on first use. The module travels to executors by value, so it lies outside it."""
+    return worker_memory("flac", dict)
+
+
 def _crc16_by_distance(longest: int = 2 * BLOCK) -> np.ndarray:
     """What a byte adds to the checksum, by its distance from the end: the checksum is linear."""
+    once = _once()
+    if "crc16" not in once:
+        once["crc16"] = _crc16_rows(longest)
+    return once["crc16"]
+
+
+def _crc16_rows(longest: int) -> np.ndarray:
     table = np.array(CRC16, np.uint16)
     rows = [table]
     for _ in range(longest - 1):
@@ -91,8 +103,17 @@ def _number(value: int) -> bytes:
     return bytes([(0xFF << (8 - n)) & 0xFF | (value >> (6 * (n - 1))), *tail])
 
 
-@lru_cache(100_000)
 def _frame_header(number: int, samples: int) -> bytes:
+    once = _once()
+    known = once.get((number, samples))
+    if known is None:
+        known = _new_frame_header(number, samples)
+        if len(once) < 100_000:
+            once[number, samples] = known
+    return known
+
+
+def _new_frame_header(number: int, samples: int) -> bytes:
     code = 0xC if samples == BLOCK else 0x7
     head = bytes([0xFF, 0xF8, code << 4 | 0x4, 0x02]) + _number(number)
     if samples != BLOCK:
@@ -465,10 +486,26 @@ def pcm(x: np.ndarray, depth: int) -> bytes:
     return (x + 128).astype(np.uint8).tobytes() if depth <= 8 else _little(x, depth)
 
 
-def encode_column(df: DataFrame, column: str, to: str = "media") -> DataFrame:
-    """Replace a binary column by its FLAC stream."""
+def _without(df: DataFrame, *names: str, but: str) -> DataFrame:
+    """Without columns of these names, whatever their case, the one to be read excepted."""
+    new = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c == but or c.lower() not in new])
+
+
+def blocks(decoded: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., block, sample, samples, pcm): one row per frame of ``decode_column``'s output, which starts at that sample of its stream; a stream without
+    samples has none."""
+    total = F.aggregate("seek", F.lit(0).cast("bigint"), lambda n, s: n + s["samples"])
+    rows = decoded.where(total > 0).select(*[F.col(f"`{c}`") for c in keep], "pcm", (F.octet_length("pcm") / total).cast("int").alias("__width"), F.posexplode("seek").alias("block", "__at"))
+    part = F.substring("pcm", (F.col("__at.sample") * F.col("__width") + 1).cast("int"), (F.col("__at.samples") * F.col("__width")).cast("int"))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "block", F.col("__at.sample").alias("sample"), F.col("__at.samples").alias("samples"), part.alias("pcm"))
 
+
+def encode_column(df: DataFrame, column: str, to: str = "media") -> DataFrame:
+    """Replace a binary column by its FLAC stream, and with it any other column of the new name; NULL stays NULL, repeated rows stay."""
     bounded_batches(df.sparkSession)
+    df = _without(df, to, but=column)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(column))
@@ -483,7 +520,8 @@ def encode_column(df: DataFrame, column: str, to: str = "media") -> DataFrame:
 
 
 def decode_column(df: DataFrame, column: str = "media", strict: bool = True) -> DataFrame:
-    """Add ``pcm``, ``seek`` (sample, byte, samples of each frame) and ``feature`` (a summary of the samples)."""
+    """Add ``pcm``, ``seek`` (sample, byte, samples of each frame) and ``feature`` (a summary of the samples); input columns of these names are replaced."""
+    df = _without(df, "pcm", "seek", "feature", but=column)
     point = pa.struct([("sample", pa.int64()), ("byte", pa.int64()), ("samples", pa.int32())])
 
     def one(stream: bytes):

@@ -81,6 +81,30 @@ def test_linear_prediction_partitions_escapes_and_stereo():
     assert flac.pcm(x, 16) == x.astype("<i2").tobytes()
 
 
+def test_a_published_stream():
+    # Fixed value: the first example stream of RFC 9639, appendix D.
+    raw = bytes.fromhex("664c61438000002210001000" "00000f00000f0ac442f00000" "00013e84b41807dc69030758" "6a3dad1a2e0ffff869180000" "bf0358fd03128baa9a")
+    (x, seek, info), = flac.decode([raw])
+    assert x.tolist() == [[25588, 10416]] and info["depth"] == 16
+    assert hashlib.md5(flac.pcm(x, 16)).hexdigest() == "3e84b41807dc690307586a3dad1a2e0f"
+
+
+def test_blocks_start_at_their_samples(spark):
+    texts = [bytes([i % 251 for i in range(n)]) for n in (0, 64, 4096, 4097, 12_345)] + [None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, raw binary")
+    rows = flac.blocks(flac.decode_column(flac.encode_column(df, "raw")), ["id"]).orderBy("id", "block").collect()
+    assert [(r.id, r.block, r["sample"]) for r in rows] == [(i, b, b * flac.BLOCK) for i, t in enumerate(texts) for b in range(-(-len(t or b"") // flac.BLOCK))]
+    for i, t in enumerate(texts):
+        mine = [r for r in rows if r.id == i]
+        assert b"".join(bytes(r.pcm) for r in mine) == (t or b"") and all(len(r.pcm) == r.samples for r in mine)
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(b"abc" * 50, 1, 2, 3, 4, 5)] * 2, "raw binary, pcm int, Seek int, feature int, media int, id int")
+    rows = flac.decode_column(flac.encode_column(df, "raw")).collect()
+    assert [bytes(r.pcm) for r in rows] == [b"abc" * 50] * 2 and sorted(rows[0].asDict()) == ["feature", "id", "media", "pcm", "seek"]
+
+
 def test_columns(spark, awkward, nothing):
     media = flac.encode_column(awkward.selectExpr("doc_id", "cast(text as binary) AS raw"), "raw")
     for r in flac.decode_column(media).collect():
