@@ -6,7 +6,8 @@ partition's start) and ``.docs`` (64-bit doc ids). The manifest has a row per pa
 give every partition's base. A file is written under the task attempt's own name and renamed, so a repeated
 task replaces it by the same content.
 
-A NULL text is empty (its one token is the end id). Rows that repeat a doc_id stay apart, ordered by text. Rows without
+Texts are encoded as the tokenizer's plain call does without adding tokens: strings of its added tokens in a text become these tokens, unless
+``added_as_text`` is set. A NULL text is empty (its one token is the end id). Rows that repeat a doc_id stay apart, ordered by text. Rows without
 doc_id come first. Other columns are ignored.
 """
 
@@ -48,7 +49,7 @@ def splits_like(tokenizer, pattern: str):
     return None
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None, parts: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None, parts: int | None = None, added_as_text: bool = False) -> DataFrame:
     """Write the files below ``folder`` (default: a new one in the shared folder); the stored manifest, with ``base``."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/marketops-tokens-{uuid.uuid4().hex}"
@@ -60,10 +61,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = added_as_text
+        # Texts that hold such a string are encoded whole.
+        added = [] if added_as_text else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         kind = np.dtype("<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
 
-        words = worker_memory(f"tokens {tokenizer_path} words", lambda: Memory(WORDS))
+        words = worker_memory(f"tokens {tokenizer_path} {added_as_text} words", lambda: Memory(WORDS))
         # A byte-level model takes words in its own alphabet; where its split is this pattern, common scripts are split here.
         plain_pattern = splits_like(tokenizer, PATTERN)
 
@@ -95,7 +98,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
                 out[i] = o
             return out
 
-        cache = PieceCache(f"tokens {tokenizer_path}", encode)
+        cache = PieceCache(f"tokens {tokenizer_path} {added_as_text}", encode)
         end = np.array([end_id], kind).tobytes()
         files, path = fs.FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
@@ -107,7 +110,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
             for batch in batches:
                 _, offsets = utf8(batch.column("text"))
                 for i, j in steps(offsets):
-                    coded = cache(batch.column("text").slice(i, j - i).to_pylist())
+                    texts = batch.column("text").slice(i, j - i).to_pylist()
+                    whole = [k for k, t in enumerate(texts) if any(a in t for a in added)]
+                    held = set(whole)
+                    coded = cache(["" if k in held else t for k, t in enumerate(texts)])
+                    for k, c in zip(whole, alone([texts[k] for k in whole]), strict=True):
+                        coded[k] = c
                     for c in coded:
                         out.write(c)
                         out.write(end)

@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from marketops.llm import byte_bpe, token_files
+from marketops.llm import byte_bpe, pieces, token_files
 
 RANKS, FILE, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
@@ -49,12 +49,13 @@ def test_round_trip(spark, awkward, nothing, known, sf):
     assert byte_bpe.decode(byte_bpe.encode(nothing, RANKS, PATTERN), RANKS).collect() == []
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize("table", ["odd", "awkward", "given"])
-def test_files_hold_all_documents_in_order(spark, awkward, sf, table):
+def test_files_hold_all_documents_in_order(spark, awkward, sf, table, as_text):
     df = {"odd": spark.createDataFrame(list(enumerate(ODD)), "doc_id bigint, text string"), "awkward": awkward, "given": spark.read.parquet(f"{sf}/documents.parquet")}[table]
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
-    rows = sorted((r.start, r.doc_id, bytes(r.ids)) for r in token_files.read_tokens(spark, token_files.write_tokens(df, FILE)).collect())
+    tokenizer.encode_special_tokens = as_text
+    rows = sorted((r.start, r.doc_id, bytes(r.ids)) for r in token_files.read_tokens(spark, token_files.write_tokens(df, FILE, added_as_text=as_text)).collect())
     want = sorted(((r.doc_id is not None, r.doc_id or 0, (r.text or "").encode(), r.text or "") for r in df.collect()))
     start = 0
     for (at, doc_id, ids), (known, number, _, text) in zip(rows, want, strict=True):
@@ -63,5 +64,16 @@ def test_files_hold_all_documents_in_order(spark, awkward, sf, table):
         start += len(own) // 4
 
 
+def test_added_tokens_follow_the_plain_call(spark):
+    docs = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endoftext| >")], "doc_id bigint, text string")
+    rows = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_tokens(spark, token_files.write_tokens(docs, FILE)).collect()}
+    assert rows[1] == [87, 220, 50256, 331, 0] and rows[2] == [50256, 50256, 0] and 50256 not in rows[3]
+
+
+def test_pieces_are_the_borders_of_the_text():
+    for text in ["a b", " a b", "a b ", "a  b", "a \n b", "a\nb c", "", " ", "\u2003a b", "a\u2003 b", "a b\x85", "a b.\nC d"]:
+        assert pieces.split(text) == pieces.BORDER.split(text)
+
+
 def test_no_documents_no_files(spark, nothing):
     assert token_files.read_tokens(spark, token_files.write_tokens(nothing, FILE)).collect() == []
