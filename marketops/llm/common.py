@@ -66,8 +66,19 @@ class Rolling:
         n = len(self.prefix) - length
         return mixed((self.prefix[length:] - self.prefix[:n]) * self.inverse[:n])
 
+    #: Some words of 1,024 letters and more have equal polynomials modulo 2**64 whatever the base, so no range longer than this is hashed at once.
+    _longest = 256
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64) * MIX_A)
+        short = np.minimum(end, start + self._longest)
+        found = mixed((self.prefix[short] - self.prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64) * MIX_A)
+        left = np.flatnonzero(short < end)
+        while len(left):
+            begin = short[left]
+            short[left] = np.minimum(end[left], begin + self._longest)
+            found[left] = mixed(found[left] * MIX_B + (self.prefix[short[left]] - self.prefix[begin]) * self.inverse[begin])
+            left = left[short[left] < end[left]]
+        return found
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -64,3 +64,12 @@ def test_awkward_rows(awkward, nothing):
 def test_query_on_given_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op8_ngram_join"](spark, sf).collect()), key=str) == brute(docs, 3, 90)
+
+
+def test_long_words_with_equal_polynomials_stay_apart(spark):
+    swap = str.maketrans("ab", "ba")
+    a = "a"
+    for _ in range(12):  # the Thue-Morse word and its complement
+        a += a.translate(swap)
+    docs = spark.createDataFrame([(1, a), (2, a.translate(swap)), (3, a)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in link_documents(docs, words=3, percent=90).collect()} == {1: 1, 2: 2, 3: 1}
