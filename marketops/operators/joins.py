@@ -317,20 +317,26 @@ def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held, ignore_index=True)
 
 
-def bucket_search(asks: DataFrame, ticks: DataFrame, search: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def bucket_search(asks: DataFrame, ticks: DataFrame, search: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 50_000) -> DataFrame:
     """Run a vectorised ``search`` over the ticks of each (instrument, bucket) together with its searches.
 
-    One shuffle by instrument and bucket; a task walks its sorted groups batch by batch and holds no
+    Only ticks of buckets that are searched go to Python. A bucket with more than ``most`` searches is dealt in shares, each with the bucket's
+    ticks. One shuffle by instrument, bucket and share; a task walks its sorted groups batch by batch and holds no
     more than one batch and one bucket of one instrument. The number of tasks is fixed because the work
     per row is Python's, which the size of the shuffled data does not show.
     """
-    pool = asks.unionByName(ticks, allowMissingColumns=True).where(F.col("instrument").isNotNull())
+    asks = asks.where(F.col("instrument").isNotNull())
+    shares = asks.groupBy("instrument", "bucket").agg(F.ceil(F.count("*") / most).cast("int").alias("__shares"))
+    key = next(c for c in asks.columns if c.endswith("_id"))
+    dealt = asks.join(shares, ["instrument", "bucket"]).withColumn("share", F.pmod(F.hash(key), F.col("__shares"))).drop("__shares")
+    copied = ticks.join(shares, ["instrument", "bucket"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares")
+    pool = dealt.unionByName(copied, allowMissingColumns=True)
     tasks = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return (search(group) for group in whole_groups(batches))
 
-    return pool.repartition(tasks, "instrument", "bucket").sortWithinPartitions("instrument", "bucket").mapInPandas(run, schema)
+    return pool.repartition(tasks, "instrument", "bucket", "share").sortWithinPartitions("instrument", "bucket", "share").mapInPandas(run, schema)
 
 
 def _units(price: str) -> Column:
@@ -343,46 +349,62 @@ def node_range(first: Column, last: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
-def first_invalidation(signals: DataFrame, snapshots: DataFrame, width: str | int = "10 minutes", fanout: int = 36, price: str = "last") -> DataFrame:
+def extremes_tree(fine: DataFrame, fanout: int, levels: int) -> list[DataFrame]:
+    """Per level the table (instrument, parent, kids): each parent's children with their lowest and highest value, in order.
+
+    ``fine(instrument, node, lowest, highest)`` are the nodes of level 0. A parent holds ``fanout`` consecutive nodes; on the last level one root
+    per instrument holds all, so that any span of time is covered.
+    """
+    tree, nodes = [], fine
+    for level in range(levels):
+        parent = F.floor(F.col("node") / fanout).cast("bigint") if level < levels - 1 else F.lit(0).cast("bigint")
+        kids = nodes.groupBy("instrument", parent.alias("parent")).agg(
+            F.array_sort(F.collect_list(F.struct("node", "lowest", "highest"))).alias("kids"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+        tree.append(kids.select("instrument", "parent", "kids"))
+        nodes = kids.select("instrument", F.col("parent").alias("node"), "lowest", "highest")
+    return tree
+
+
+def first_invalidation(signals: DataFrame, snapshots: DataFrame, width: str | int = "10 minutes", fanout: int = 36, levels: int = 3, price: str = "last") -> DataFrame:
     """First snapshot after the signal and within its horizon that crosses the invalidation level.
 
-    Long signals are invalidated at or below the level, short ones at or above. The extremes of every
-    instrument are pre-aggregated per bucket of ``width`` and per block of ``fanout`` buckets. A signal
-    looks up the blocks up to its deadline, then the buckets of its own block and of the first block
-    that crosses: equi joins on unique keys, a bounded number of them per signal. Only its own bucket
+    Long signals are invalidated at or below the level, short ones at or above. The extremes of every instrument form a tree over buckets of
+    ``width``. A signal looks once into each level on its way up, at the siblings behind its own node, takes the lowest level on which one crosses,
+    and goes down from there, again one look a level: equi joins on unique keys, as many as twice the levels, however long the horizon is. Only its own bucket
     and the first crossing bucket are searched tick by tick.
     """
     width_us = micros(width)
-    block_us = width_us * fanout
     ticks = snapshots.select("instrument", bucket("ts", width).alias("bucket"), us("ts").alias("at"), "seq", _units(price).alias("price"))
     asks = signals.where(F.col("horizon_us") > 0).select(
         "signal_id", "instrument", us("ts").alias("at"), (us("ts") + F.col("horizon_us")).alias("until"),
         (F.col("direction") == "long").alias("is_long"), _units("invalidation_level").alias("level"), bucket("ts", width).alias("bucket"),
     )
-    fine = ticks.groupBy("instrument", "bucket").agg(F.min("price").alias("lowest"), F.max("price").alias("highest"))
-    coarse = fine.groupBy("instrument", F.floor(F.col("bucket") / fanout).cast("bigint").alias("block")).agg(
-        F.min("lowest").alias("lowest"), F.max("highest").alias("highest")
-    )
-    crosses = F.when(F.col("is_long"), F.col("lowest") <= F.col("level")).otherwise(F.col("highest") >= F.col("level"))
-    end_bucket, end_block = (F.floor(F.col("until") / size).cast("bigint") for size in (width_us, block_us))
-    own_block = F.floor(F.col("bucket") / fanout).cast("bigint")
-
-    blocks = asks.select("signal_id", "instrument", "is_long", "level", F.explode(node_range(own_block + 1, end_block)).alias("block"))
-    hit_block = blocks.join(coarse, ["instrument", "block"]).where(crosses).groupBy("signal_id").agg(F.min("block").alias("hit_block"))
-    near = node_range(F.col("bucket") + 1, F.least(end_bucket, (own_block + 1) * fanout - 1))
-    far = F.when(F.col("hit_block").isNotNull(), F.sequence(F.col("hit_block") * fanout, (F.col("hit_block") + 1) * fanout - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    nodes = asks.join(hit_block, "signal_id", "left").select(
-        "signal_id", "instrument", "until", "is_long", "level", F.explode(F.concat(near, far)).alias("bucket")
-    )
-    later = (
-        nodes.join(fine, ["instrument", "bucket"])
-        .where(crosses)
-        .groupBy("signal_id", "instrument", "until", "is_long", "level")
-        .agg(F.min("bucket").alias("bucket"))
-        .withColumn("at", F.col("bucket") * width_us - 1)
-    )
+    fine = ticks.groupBy("instrument", F.col("bucket").alias("node")).agg(F.min("price").alias("lowest"), F.max("price").alias("highest"))
+    tree = extremes_tree(fine, fanout, levels)
+
+    def crossing(kids: str, after: Column | None, last: Column | None) -> Column:
+        """The first child behind ``after`` and up to ``last`` that crosses the level."""
+        long, level = F.col("is_long"), F.col("level")
+
+        def fits(kid: Column) -> Column:
+            crosses = F.when(long, kid["lowest"] <= level).otherwise(kid["highest"] >= level)
+            return crosses if after is None else crosses & (kid["node"] > after) & (kid["node"] <= last)
+
+        return F.get(F.filter(kids, fits), F.lit(0))["node"]
+
+    walk = asks.where(F.col("instrument").isNotNull()).withColumns({"end": F.floor(F.col("until") / width_us).cast("bigint"), "found": F.lit(None).cast("bigint"), "height": F.lit(None).cast("int")})
+    columns = walk.columns
+    for height, table in enumerate(tree):
+        node, last = (F.floor(F.col(c) / fanout**height).cast("bigint") for c in ("bucket", "end"))
+        parent = F.floor(node / fanout).cast("bigint") if height < levels - 1 else F.lit(0).cast("bigint")
+        seen = walk.withColumn("parent", parent).join(table, ["instrument", "parent"], "left").withColumn("here", crossing("kids", node, last))
+        new = F.col("found").isNull() & F.col("here").isNotNull()
+        walk = seen.withColumns({"height": F.when(new, F.lit(height)).otherwise(F.col("height")), "found": F.coalesce("found", "here")}).select(*columns)
+    for height in range(levels - 1, 0, -1):
+        inner = F.col("height") == height
+        seen = walk.withColumn("parent", F.when(inner, F.col("found"))).join(tree[height - 1], ["instrument", "parent"], "left").withColumn("here", crossing("kids", None, None))
+        walk = seen.withColumns({"found": F.when(inner, F.col("here")).otherwise(F.col("found")), "height": F.when(inner, F.lit(height - 1)).otherwise(F.col("height"))}).select(*columns)
+    later = walk.where(F.col("found").isNotNull()).select("signal_id", "instrument", (F.col("found") * width_us - 1).alias("at"), "until", "is_long", "level", F.col("found").alias("bucket"))
     hits = bucket_search(asks.unionByName(later), ticks, first_crossing(width_us), "signal_id string, hit_us long")
     first = hits.where("hit_us >= 0").groupBy("signal_id").agg(F.min("hit_us").alias("__hit"))
     inside = F.col("__hit") <= us("ts") + F.col("horizon_us")
