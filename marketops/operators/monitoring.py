@@ -95,12 +95,12 @@ def invariant_report(violations: Mapping[str, DataFrame], samples: int = 3) -> D
     return out.select("number", "invariant", F.coalesce("violations", F.lit(0)).alias("violations"), F.coalesce("sample_ids", F.array().cast("array<string>")).alias("sample_ids"))
 
 
-def feed_health(events: DataFrame, width: str, late_after: str | int, feed: Sequence[str] = ("venue", "channel"), ts: str = "event_ts") -> DataFrame:
+def feed_health(events: DataFrame, width: str, late_after: str | int, feed: Sequence[str] = ("venue", "channel"), ts: str = "event_ts", edges: bool = True) -> DataFrame:
     """Events, missing sequence numbers, late events and stale share per feed and tumbling window.
 
     Runs on a batch or, with a watermark, on a stream; lateness is receipt minus event time, so it is
-    counted before any watermark drops a row. ``missing`` holds for deduplicated events; a hole between two windows counts in the later one. A stream
-    closes windows one by one and counts holes inside them only.
+    counted before any watermark drops a row. ``missing`` holds for deduplicated events; a hole between two windows counts in the later one, unless
+    ``edges`` is off. A stream closes windows one by one and counts holes inside them only.
     """
     late = us("receipt_ts") - us(ts) > micros(late_after)
     stale = F.when(F.col("quality").isin("live", "delayed"), 0.0).otherwise(1.0) if "quality" in events.columns else F.lit(None).cast("double")
@@ -108,7 +108,7 @@ def feed_health(events: DataFrame, width: str, late_after: str | int, feed: Sequ
     per = events.groupBy(*feed, F.window(ts, width).alias("w")).agg(
         F.count("*").alias("n"), inside, F.count(F.when(late, 1)).alias("late"), F.avg(stale).alias("stale_share"), F.min("seq").alias("__lo"), F.max("seq").alias("__hi"),
     ).select(*feed, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "missing", "late", "stale_share", "__lo", "__hi")
-    if not events.isStreaming:
+    if edges and not events.isStreaming:
         # One row per feed and window; a year of windows forms a segment.
         per = previous(per, feed, ["window_start"], bucket("window_start", "365 days"), {"__p": "__hi"})
         per = per.withColumn("missing", F.col("missing") + F.coalesce(F.col("__lo") - 1 - F.col("__p"), F.lit(0)))
