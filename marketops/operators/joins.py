@@ -14,6 +14,7 @@ from marketops.functions.reasons import not_ok
 from marketops.functions.timing import bucket, micros, us
 from marketops.functions.windows import running, scan
 from marketops.schemas import PRICE
+from marketops.session import materialize
 
 
 def asof_join(
@@ -325,7 +326,8 @@ def bucket_search(asks: DataFrame, ticks: DataFrame, search: Callable[[pd.DataFr
     more than one batch and one bucket of one instrument. The number of tasks is fixed because the work
     per row is Python's, which the size of the shuffled data does not show.
     """
-    asks = asks.where(F.col("instrument").isNotNull())
+    # Read twice, so written once.
+    asks = materialize(asks.where(F.col("instrument").isNotNull()))
     shares = asks.groupBy("instrument", "bucket").agg(F.ceil(F.count("*") / most).cast("int").alias("__shares"))
     key = next(c for c in asks.columns if c.endswith("_id"))
     dealt = asks.join(shares, ["instrument", "bucket"]).withColumn("share", F.pmod(F.hash(key), F.col("__shares"))).drop("__shares")

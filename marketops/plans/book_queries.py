@@ -22,7 +22,7 @@ _FLOOR8 = "floor({0} * 100000000 + 0.001) / 100000000"
 
 def deadlines(v: Inputs):
     s = v("fx_signal").withColumn("policy_expiry", F.when(F.col("k") < 40, F.col("ts") + F.expr("INTERVAL 6 HOUR")))
-    ended = joins.first_invalidation(s, v("fx_snapshot"))
+    ended = joins.first_invalidation(s, v("fx_snapshot"), levels=2)
     return signals.signal_deadline(joins.policy_join(ended, v("fx_policy"), {"instrument": "instrument"}, ["max_age_us"]))
 
 

@@ -469,7 +469,7 @@ GROUP BY g.signal_id"""
 
 @query("first_invalidation", ["fx_signal", "fx_snapshot"], FIRST_INVALIDATION_SQL)
 def _(v):
-    return plain(joins.first_invalidation(v("fx_signal"), v("fx_snapshot")).select("signal_id", "invalidated_at"))
+    return plain(joins.first_invalidation(v("fx_signal"), v("fx_snapshot"), levels=2).select("signal_id", "invalidated_at"))
 
 
 @query("unprotected_positions", ["fx_position", "fx_stop"], f"""
