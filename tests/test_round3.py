@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from marketops.operators import risk
+from marketops.operators import monitoring, portfolio, risk
 from marketops.operators.risk import SIZING_INPUTS, size_positions
 from marketops.plans.registry import as_placed, d, plain
 from marketops.session import scratch_tables
@@ -57,3 +57,17 @@ def test_correlation_by_tiles_is_that_of_whole_series(spark, monkeypatch):
     strong = risk.return_correlation(df, min_bars=5, block_size=5, most_blocks=3, threshold=0.8)
     assert {(r.a, r.b) for r in strong.collect()} == {k for k, (_, c) in want.items() if c is not None and abs(c) >= 0.8}
     assert strong._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_rebuild_parity_stores_positions_before_comparing(spark):
+    fills = spark.createDataFrame([("a", "i", "buy", D(5)), ("a", "j", "sell", D(2))], "account string, instrument string, side string, qty decimal(18,8)")
+    before = scratch_tables()
+    out = portfolio.rebuild_parity(fills, portfolio.positions(fills.where("instrument = 'i'")), fills)
+    assert scratch_tables() == before + 2
+    assert sorted((r.side, r.instrument, int(r.qty)) for r in out.collect()) == [("full", "i", 5), ("rebuilt", "i", 10)]
+
+
+def test_invariant_report_starts_no_python_worker(spark):
+    out = monitoring.invariant_report({"leverage": spark.range(5).select("id")})
+    assert "ExistingRDD" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert [(r.number, r.violations, r.sample_ids) for r in out.collect()] == [(2, 5, ["0", "1", "2"])]
