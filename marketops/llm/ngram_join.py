@@ -157,33 +157,56 @@ def compare(percent: int):
     return run
 
 
-def differences(percent: int):
-    """The rows of the token-group matrix that tell a set from its group's leader: new tokens, then missing ones.
-
-    With B missing and A new tokens, a link of two sets of one group needs at least
-    ``f(a) + f(b) - (100 - p) / (100 + p) * |leader|`` common differences, f = (100 B + p A) / (100 + p). A set is linked to the leader
-    if and only if f is at most that last term. So a set must share more than f of its differences with one that is not, and one of
-    the first few differences (``near``), in a fixed order, is common. A set that is not linked itself needs more of them (``far``)
-    to meet one that is.
+def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the token-group matrix: what tells a set ``a`` from its group's leader ``b``, new tokens and missing ones."""
+    for batch in batches:
+        a, b = batch.column("tokens_a"), batch.column("tokens_b")
+        rows = []
+        for i in range(batch.num_rows):
+            x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
+            missing = np.setdiff1d(y, x, True)
+            rows.append(np.r_[np.setdiff1d(x, y, True), mixed(missing.view(np.uint64)).view(np.int64)])  # another sign, another token
+        ends = np.cumsum([0, *map(len, rows)])
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("own"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["a", "b", "own", "differences"])
+
+
+def possible(asked: DataFrame) -> DataFrame:
+    """The rows that some other set of the group can link with, as no set shares more differences than it has (``d``); with ``least_f``, the
+    smallest f they could meet.
+
+    A query of another group meets the group's own members only, a member meets all, as such a query may be all that it links with. A
+    group's two largest rooms are enough, as a set is no partner of its own.
     """
-    out = pa.list_(pa.struct([("token", pa.int64()), ("near", pa.bool_())]))
+    mine = F.col("own") == 1
+    room = asked.select("a", "b", "f", "own", (F.col("d") - F.col("f")).alias("room"))
+    largest = room.withColumn("__n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("room"), "a"))).where(F.col("__n") <= 2)
+    rooms = largest.groupBy("b").agg(F.max("room").alias("most"), F.min_by("a", "__n").alias("whose"), F.max(F.when(F.col("__n") == 2, F.col("room"))).alias("second"))
+    members = room.groupBy("b").agg(F.max(F.when(mine, F.col("room"))).alias("most_own"), F.min(F.when(mine, F.col("f"))).alias("f_own"), F.min("f").alias("f_any"))
+    best = F.when(~mine, F.col("most_own")).when(F.col("whose") == F.col("a"), F.coalesce("second", F.lit(-1.0))).otherwise(F.col("most"))
+    kept = asked.join(rooms, "b").join(members, "b").where(F.col("f_own").isNotNull() & (F.col("f") - F.col("slack") <= best + 1e-9))
+    return kept.withColumn("least_f", F.when(mine, F.col("f_any")).otherwise(F.col("f_own"))).drop("most", "whose", "second", "most_own", "f_own", "f_any")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, linked = batch.column("tokens_a"), batch.column("tokens_b"), batch.column("linked").to_pylist()
-            rows = []
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-                new, missing = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
-                all_ = np.r_[new, mixed(missing.view(np.uint64)).view(np.int64)]  # another sign, another token
-                f = 100 * len(missing) + percent * len(new)
-                near = len(all_) - f // (100 + percent)
-                least = max(1, -((percent - 100) * len(y) + f) // -(100 + percent))
-                far = near if linked[i] else len(all_) - least + 1
-                rows.append([{"token": t, "near": j < near} for j, t in enumerate(all_[: max(near, far)].tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(rows, out)], names=["a", "b", "differences"])
 
-    return run
+def prefixes(asked: DataFrame, told: DataFrame) -> DataFrame:
+    """Of each set the few differences one of which it shares with any set it links with, each with its place ``at`` among the set's.
+
+    With B missing and A new tokens, a link of two sets of one group needs at least ``f(a) + f(b) - slack`` common differences,
+    f = (100 B + p A) / (100 + p), slack = (100 - p) / (100 + p) * |leader|. A set is linked to the leader if and only if f is at most slack. So a
+    set must share more than f of its differences with one that is not, and at least f + least_f - slack with any. Differences that no set it may
+    meet has are none to share; without them, ``d`` are left. In an order that all sets of a group have in common, two sets with t common
+    differences share one of the first ``d - t + 1`` of each. The rarest go first, so that what many sets lack is hardly ever looked at.
+    """
+    listed = told.select("a", "b", "own", F.explode("differences").alias("token"))
+    counts = listed.groupBy("b", "token").agg(F.count("*").alias("k"), F.max("own").alias("mine")).where("k > 1 AND mine = 1").drop("mine")
+    shared = listed.join(counts, ["b", "token"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("list"))
+    held = possible(asked.drop("d", "least_f").join(shared.withColumn("d", F.size("list")), ["a", "b"]))
+    least = F.greatest(F.lit(1), F.ceil(F.col("f") + F.col("least_f") - F.col("slack") - 1e-9))
+    near = F.col("d") + 1 - F.greatest(least, F.floor("f") + 1)
+    first = F.when(F.col("linked"), near).otherwise(F.col("d") + 1 - least)
+    held = held.withColumn("near", near).withColumn("list", F.slice("list", F.lit(1), F.greatest(F.lit(0), first).cast("int")))
+    opened = held.select("a", "b", "n", "label", "linked", "own", "f", "d", "slack", "near", F.posexplode("list").alias("at", "found"))
+    return opened.select("*", F.col("found.token").alias("token"), (F.col("at") < F.col("near")).alias("is_near")).drop("near", "found")
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -251,22 +274,19 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     asked = met.groupBy(F.col("key").alias("a"), "n", "label", "b").agg(F.max((F.col("group") == F.col("b")).cast("int")).alias("own"))
     weight = (F.col("missing") * 100 + F.col("new") * percent) / (100 + percent)
     asked = scratch.store(asked.join(led, ["a", "b"]).withColumns({"f": weight, "d": F.col("missing") + F.col("new"), "slack": (F.col("n") + F.col("missing") - F.col("new")) * (100 - percent) / (100 + percent)}))
-    # The bound: no set shares more differences than it has. A group's two largest rooms, as a set is no partner of its own; queries from
-    # other groups count, for they may be all that a member links with.
-    room = asked.select("a", "b", (F.col("d") - F.col("f")).alias("room"))
-    largest = room.withColumn("__n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("room"), "a"))).where(F.col("__n") <= 2)
-    rooms = largest.groupBy("b").agg(F.max("room").alias("most"), F.min_by("a", "__n").alias("whose"), F.max(F.when(F.col("__n") == 2, F.col("room"))).alias("second"))
-    bounded = asked.join(rooms, "b").where(F.col("f") - F.col("slack") <= F.when(F.col("whose") == F.col("a"), F.coalesce("second", F.lit(-1.0))).otherwise(F.col("most")) + 1e-9)
-
-    told = with_sets(bounded.select("a", "b", "linked")).select("a", "b", "linked", "tokens_a", "tokens_b").mapInArrow(differences(percent), "a binary, b binary, differences array<struct<token: bigint, near: boolean>>")
-    matrix = scratch.store(bounded.join(told, ["a", "b"]).select("a", "b", "n", "label", "linked", "own", "f", "d", "slack", F.inline("differences")))
-    one = matrix.select(F.col("b").alias("group"), "token", F.col("a").alias("one"), F.col("n").alias("n_1"), F.col("label").alias("label_1"), F.col("linked").alias("linked_1"), F.col("near").alias("near_1"), F.col("f").alias("f_1"), F.col("d").alias("d_1"), "slack")
-    two = matrix.where("own = 1").select(F.col("b").alias("group"), "token", F.col("a").alias("two"), F.col("n").alias("n_2"), F.col("label").alias("label_2"), F.col("linked").alias("linked_2"), F.col("near").alias("near_2"), F.col("f").alias("f_2"), F.col("d").alias("d_2"))
+    bounded = scratch.store(possible(asked))
+    told = scratch.store(with_sets(bounded.select("a", "b", "own")).select("a", "b", "own", "tokens_a", "tokens_b").mapInArrow(differences, "a binary, b binary, own int, differences array<bigint>"))
+    matrix = scratch.store(prefixes(bounded, told))
+    fields = {"a": "set", "n": "n", "label": "label", "linked": "linked", "is_near": "near", "f": "f", "d": "d", "at": "at"}
+    one = matrix.select(F.col("b").alias("group"), "token", "slack", *[F.col(c).alias(f"{name}_1") for c, name in fields.items()])
+    two = matrix.where("own = 1").select(F.col("b").alias("group"), "token", *[F.col(c).alias(f"{name}_2") for c, name in fields.items()])
+    # At their first common difference, no more can be common than the shorter rest.
+    rest = F.least(F.col("d_1") - F.col("at_1"), F.col("d_2") - F.col("at_2"))
     pairs = one.join(two, ["group", "token"]).where(
-        (F.col("label_1") != F.col("label_2")) & (F.col("linked_1") | F.col("linked_2") | (F.col("near_1") & F.col("near_2"))) & (F.col("f_1") + F.col("f_2") - F.col("slack") <= F.least("d_1", "d_2") + 1e-9)
+        (F.col("label_1") != F.col("label_2")) & (F.col("linked_1") | F.col("linked_2") | (F.col("near_1") & F.col("near_2"))) & (F.col("f_1") + F.col("f_2") - F.col("slack") <= rest + 1e-9)
         & (F.col("n_1") * percent <= F.col("n_2") * 100) & (F.col("n_2") * percent <= F.col("n_1") * 100)
     )
-    pairs = pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    pairs = pairs.select(F.least("set_1", "set_2").alias("a"), F.greatest("set_1", "set_2").alias("b")).distinct()
     more = scratch.store(verified(pairs).where("linked").select("a", "b"))
     labels = components(nodes, links.unionByName(more), scratch)
 

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from marketops.llm import ngram_join
 from marketops.llm.ngram_join import link_documents
 from marketops.llm.queries import QUERIES
 
@@ -73,3 +74,30 @@ def test_long_words_with_equal_polynomials_stay_apart(spark):
         a += a.translate(swap)
     docs = spark.createDataFrame([(1, a), (2, a.translate(swap)), (3, a)], "doc_id bigint, text string")
     assert {r.doc_id: r.component_id for r in link_documents(docs, words=3, percent=90).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_copies_of_one_text_do_not_meet_in_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    docs = []
+    for i in range(800):  # leaders are far from the text, so that all their groups lack and have the same runs
+        own = list(base)
+        for _ in range(rng.randint(14, 18) if i < 60 else rng.randint(1, 12)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(100_000)}"
+        docs.append((i, " ".join(own)))
+    compared, plain = spark.sparkContext.accumulator(0), ngram_join.compare
+
+    def counting(percent):
+        run = plain(percent)
+
+        def counted(batches):
+            for batch in batches:
+                compared.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return counted
+
+    monkeypatch.setattr(ngram_join, "compare", counting)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    assert sorted(map(tuple, link_documents(df, 3, 90).collect()), key=str) == brute(docs, 3, 90)
+    assert compared.value < 20 * len(docs)
