@@ -402,10 +402,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = 1000, carry: S
     numbered = rows.withColumn("copy", (F.row_number().over(Window.partitionBy("key").orderBy("text")) - 1).cast("int"))
     table = scratch.bucketed(numbered, parts, "key")
 
-    anchored = table.mapInArrow(find_anchors(length, 16 * parts), BLOB).repartition(parts, "bucket")
+    # A bucket is a partition: a batch sends no more rows than partitions read them.
+    anchored = table.mapInArrow(find_anchors(length, parts), BLOB).repartitionById(parts, "bucket")
     marks = scratch.store(anchored.mapInArrow(compare_surroundings(length, hot), MARKS))
     undecided = marks.where("kind = 1").groupBy("key").agg(F.collect_list("payload").alias("marks"))
-    opened = table.join(undecided, "key").mapInArrow(open_surroundings(length, 16 * parts), BLOB).repartition(parts, "bucket")
+    opened = table.join(undecided, "key").mapInArrow(open_surroundings(length, parts), BLOB).repartitionById(parts, "bucket")
     more = scratch.store(opened.mapInArrow(sort_surroundings(length), MARKS))
     spans = marks.where("kind = 0").unionByName(more).groupBy("key").agg(F.collect_list("payload").alias("marks"))
     fields = T._parse_datatype_string("doc_id bigint, copy int, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary").fields

@@ -4,6 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from marketops.llm import suffix_dedup
 from marketops.llm.queries import QUERIES
 from marketops.llm.suffix_dedup import remove_repeats
 from marketops.llm.suffix_sort import suffix_array
@@ -70,3 +71,25 @@ def test_awkward_rows(awkward, nothing):
 def test_query_on_given_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert ordered(map(tuple, QUERIES["op3_suffix_dedup"](spark, sf).collect())) == ordered(brute(docs))
+
+
+def test_a_batch_sends_no_more_rows_than_there_are_partitions(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, "".join(rng.choice("abcdefgh ") for _ in range(3000))) for i in range(120)]
+    sent, plain = spark.sparkContext.accumulator(0), suffix_dedup.find_anchors
+
+    def counting(*given):
+        run = plain(*given)
+
+        def counted(batches):
+            for batch in run(batches):
+                sent.add(batch.num_rows)
+                yield batch
+
+        return counted
+
+    monkeypatch.setattr(suffix_dedup, "find_anchors", counting)
+    df = spark.createDataFrame([*docs, *[(500 + i, t) for i, t in docs[:20]]], "doc_id bigint, text string")
+    assert ordered(found(df)) == ordered(brute([*docs, *[(500 + i, t) for i, t in docs[:20]]]))
+    # 8 tasks and 8 partitions; removed ranges come with at most a row per document
+    assert sent.value <= 8 * 8 + 140
