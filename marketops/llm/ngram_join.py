@@ -9,10 +9,11 @@ words the whole sequence is one run. Two documents link when ``100 * intersectio
    leader it meets. So similar documents fall into one group, and a class is a query to every group it shares a block with.
 3. Every query is compared with its groups' leaders, exactly. Most links of a large group of near copies are settled here:
    what is linked to one leader is connected, and no pairs within the group are made.
-4. For blocks whose members are still in different components, the token-group matrix is taken relative to the leader: per
-   group the tokens that its members have beyond the leader's, or lack. From the counts of such differences follows how many two
+4. For blocks whose members are still in different components, the token-group matrix is taken relative to what most members of
+   a group hold: per group the tokens that its members have beyond that, or lack. From the counts of such differences follows how many two
    members must have in common, if they are to link; groups where no member can have so many are not opened. In the rest, only pairs that
-   share one of the decisive differences are compared, exactly (see ``differences``).
+   share one of the decisive differences are compared, exactly (see ``prefixes``). Of two groups that share a block, the members of the
+   smaller one are queries to the larger.
 5. Components of the links, by smallest label with pointer jumping, each round stored.
 
 No step gathers a group in one task or makes all pairs of it; hot blocks and groups are aggregated or joined, and
@@ -34,6 +35,8 @@ from marketops.llm.common import MIX_A, Rolling, Scratch, documents_of, mixed, s
 
 NO_ID = -(2**63)
 ROWS = 3
+#: Sets of a group that its reference is taken from.
+SAMPLED = 9
 #: Sets the places of a run apart.
 TAGS = mixed(np.arange(1, 65, dtype=np.uint64) * MIX_A)
 
@@ -158,17 +161,40 @@ def compare(percent: int):
 
 
 def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of the token-group matrix: what tells a set ``a`` from its group's leader ``b``, new tokens and missing ones."""
+    """The rows of the token-group matrix: what tells a set from its group's reference, new tokens and missing ones. Other columns stay."""
     for batch in batches:
-        a, b = batch.column("tokens_a"), batch.column("tokens_b")
-        rows = []
+        sets, references = batch.column("tokens"), batch.column("reference")
+        rows, missing, new = [], [], []
         for i in range(batch.num_rows):
-            x, y = a[i].values.to_numpy(), b[i].values.to_numpy()
-            missing = np.setdiff1d(y, x, True)
-            rows.append(np.r_[np.setdiff1d(x, y, True), mixed(missing.view(np.uint64)).view(np.int64)])  # another sign, another token
+            x, y = sets[i].values.to_numpy(), references[i].values.to_numpy()
+            lacks, has = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
+            rows.append(np.r_[has, mixed(lacks.view(np.uint64)).view(np.int64)])  # another sign, another token
+            missing.append(len(lacks))
+            new.append(len(has))
         ends = np.cumsum([0, *map(len, rows)])
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("own"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["a", "b", "own", "differences"])
+        kept = [c for c in batch.schema.names if c not in ("tokens", "reference")]
+        added = [pa.array(missing, pa.int64()), pa.array(new, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *added], names=[*kept, "missing", "new", "differences"])
+
+
+def references(asked: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(b, reference): the tokens that more than half of a few sets of each group hold, its own members first.
+
+    The bounds hold whatever set the differences are taken from; one near the members only leaves fewer of them. A leader may be far
+    from all the copies of a text, which then lack and have the same long lists.
+    """
+    few = asked.select("a", "b", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("own"), "a")).alias("__n")).where(F.col("__n") <= SAMPLED)
+    sizes = few.groupBy("b").agg(F.max("__n").alias("sets"))
+    held = few.join(tokens.select(F.col("key").alias("a"), "tokens"), "a").select("b", F.explode("tokens").alias("held"))
+    most = held.groupBy("b", "held").agg(F.count("*").alias("k")).join(sizes, "b").where(F.col("k") * 2 > F.col("sets"))
+    return most.groupBy("b").agg(F.collect_list("held").alias("reference"))
+
+
+def weighted(rows: DataFrame, percent: int) -> DataFrame:
+    """With the weight ``f`` of the differences, their number ``d`` and the ``slack`` of what they are taken from (see ``prefixes``)."""
+    weight = (F.col("missing") * 100 + F.col("new") * percent) / (100 + percent)
+    return rows.withColumns({"f": weight, "d": F.col("missing") + F.col("new"), "slack": (F.col("n") + F.col("missing") - F.col("new")) * (100 - percent) / (100 + percent)}).drop("missing", "new")
 
 
 def possible(asked: DataFrame) -> DataFrame:
@@ -188,24 +214,38 @@ def possible(asked: DataFrame) -> DataFrame:
     return kept.withColumn("least_f", F.when(mine, F.col("f_any")).otherwise(F.col("f_own"))).drop("most", "whose", "second", "most_own", "f_own", "f_any")
 
 
-def prefixes(asked: DataFrame, told: DataFrame) -> DataFrame:
+def centred(rows: DataFrame) -> DataFrame:
+    """With the set ``m`` of each group that is nearest to its reference, and its weight ``f_m``.
+
+    Two sets link without any common difference if and only if their weights add up to no more than the slack. Those of which that holds with
+    ``m`` are ``close``, linked to it and, within the group, of its component: so no such pair is left to be found.
+    """
+    first = F.struct("f", "a")
+    middle = rows.groupBy("b").agg(F.min("f").alias("f_m"), F.min_by("a", first).alias("m"), F.min_by("label", first).alias("label_m"))
+    found = rows.join(middle, "b").withColumn("close", F.col("f") + F.col("f_m") <= F.col("slack") + 1e-9)
+    return found.withColumn("label", F.when(F.col("close"), F.col("label_m")).otherwise(F.col("label"))).drop("label_m")
+
+
+def prefixes(held: DataFrame) -> DataFrame:
     """Of each set the few differences one of which it shares with any set it links with, each with its place ``at`` among the set's.
 
-    With B missing and A new tokens, a link of two sets of one group needs at least ``f(a) + f(b) - slack`` common differences,
-    f = (100 B + p A) / (100 + p), slack = (100 - p) / (100 + p) * |leader|. A set is linked to the leader if and only if f is at most slack. So a
-    set must share more than f of its differences with one that is not, and at least f + least_f - slack with any. Differences that no set it may
-    meet has are none to share; without them, ``d`` are left. In an order that all sets of a group have in common, two sets with t common
-    differences share one of the first ``d - t + 1`` of each. The rarest go first, so that what many sets lack is hardly ever looked at.
+    With B missing and A new tokens relative to whatever set R, two sets of one group link if and only if they have at least
+    ``f(a) + f(b) - slack`` common differences, f = (100 B + p A) / (100 + p), slack = (100 - p) / (100 + p) * |R|. So a set must share more
+    than f - f_m of its differences with one that is not close (see ``centred``), and at least f + least_f - slack with any.
+    Differences that no set of another component has, or no member of the group, are none to share; without them, ``d`` are left. In an order that
+    all sets of a group have in common, two sets with t common differences share one of the first ``d - t + 1`` of each. The rarest go first,
+    so that what many sets lack is hardly ever looked at.
     """
-    listed = told.select("a", "b", "own", F.explode("differences").alias("token"))
-    counts = listed.groupBy("b", "token").agg(F.count("*").alias("k"), F.max("own").alias("mine")).where("k > 1 AND mine = 1").drop("mine")
+    listed = held.select("a", "b", "own", "label", F.explode("differences").alias("token"))
+    counts = listed.groupBy("b", "token").agg(F.count("*").alias("k"), F.max("own").alias("mine"), F.min("label").alias("low"), F.max("label").alias("high"))
+    counts = counts.where("mine = 1 AND low != high").select("b", "token", "k")
     shared = listed.join(counts, ["b", "token"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("k", "token"))).alias("list"))
-    held = possible(asked.drop("d", "least_f").join(shared.withColumn("d", F.size("list")), ["a", "b"]))
+    held = possible(held.drop("differences", "d", "least_f").join(shared.withColumn("d", F.size("list")), ["a", "b"]))
     least = F.greatest(F.lit(1), F.ceil(F.col("f") + F.col("least_f") - F.col("slack") - 1e-9))
-    near = F.col("d") + 1 - F.greatest(least, F.floor("f") + 1)
-    first = F.when(F.col("linked"), near).otherwise(F.col("d") + 1 - least)
-    held = held.withColumn("near", near).withColumn("list", F.slice("list", F.lit(1), F.greatest(F.lit(0), first).cast("int")))
-    opened = held.select("a", "b", "n", "label", "linked", "own", "f", "d", "slack", "near", F.posexplode("list").alias("at", "found"))
+    near = F.col("d") + 1 - F.greatest(least, F.floor(F.col("f") - F.col("f_m")) + 1)
+    first = F.when(F.col("close"), near).otherwise(F.col("d") + 1 - least)
+    held = held.withColumns({"near": near, "list": F.slice("list", F.lit(1), F.greatest(F.lit(0), first).cast("int"))})
+    opened = held.select("a", "b", "n", "label", "close", "own", "f", "d", "slack", "near", F.posexplode("list").alias("at", "found"))
     return opened.select("*", F.col("found.token").alias("token"), (F.col("at") < F.col("near")).alias("is_near")).drop("near", "found")
 
 
@@ -266,24 +306,29 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     labels = scratch.store(components(nodes, links, scratch))
 
     # Blocks that still hold several components; in them, the queries and the groups of what they could link with.
-    placed = grouped.join(labels, "key")
+    sizes = nodes.groupBy("group").agg(F.count("*").alias("size"))
+    placed = grouped.join(labels.join(nodes.join(sizes, "group").select("key", "size"), "key"), "key")
     unsettled = placed.groupBy("sig").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("sig")
-    open_ = scratch.store(placed.join(unsettled, "sig").select("sig", "key", "n", "label", F.col("group.key").alias("group")))
-    sides = open_.groupBy("sig", F.col("group").alias("b")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    met = open_.join(sides, "sig").where((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")) | (F.col("group") == F.col("b")))
+    open_ = scratch.store(placed.join(unsettled, "sig").select("sig", "key", "n", "label", F.col("group.key").alias("group"), F.struct("size", "group.key").alias("place")))
+    sides = open_.groupBy("sig", F.col("group").alias("b"), F.col("place").alias("to")).agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    # A pair of two groups is looked for once, in the larger one.
+    met = open_.join(sides, "sig").where((F.col("group") == F.col("b")) | ((F.col("place") < F.col("to")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label")))))
     asked = met.groupBy(F.col("key").alias("a"), "n", "label", "b").agg(F.max((F.col("group") == F.col("b")).cast("int")).alias("own"))
-    weight = (F.col("missing") * 100 + F.col("new") * percent) / (100 + percent)
-    asked = scratch.store(asked.join(led, ["a", "b"]).withColumns({"f": weight, "d": F.col("missing") + F.col("new"), "slack": (F.col("n") + F.col("missing") - F.col("new")) * (100 - percent) / (100 + percent)}))
-    bounded = scratch.store(possible(asked))
-    told = scratch.store(with_sets(bounded.select("a", "b", "own")).select("a", "b", "own", "tokens_a", "tokens_b").mapInArrow(differences, "a binary, b binary, own int, differences array<bigint>"))
-    matrix = scratch.store(prefixes(bounded, told))
-    fields = {"a": "set", "n": "n", "label": "label", "linked": "linked", "is_near": "near", "f": "f", "d": "d", "at": "at"}
+    bounded = scratch.store(possible(weighted(asked.join(led.drop("linked"), ["a", "b"]), percent)).select("a", "b", "n", "label", "own"))
+    pairs = bounded.join(tokens.withColumnRenamed("key", "a"), "a").join(references(bounded, tokens), "b", "left")
+    pairs = pairs.withColumn("reference", F.coalesce("reference", F.array().cast("array<bigint>")))
+    told = "b binary, a binary, n bigint, label struct<rep: bigint, key: binary>, own int, missing bigint, new bigint, differences array<bigint>"
+    told = scratch.store(pairs.select("b", "a", "n", "label", "own", "tokens", "reference").mapInArrow(differences, told))
+    told = scratch.store(centred(weighted(told, percent)))
+    links = links.unionByName(told.where("close AND a != m").select("a", F.col("m").alias("b")))
+    matrix = scratch.store(prefixes(scratch.store(possible(told))))
+    fields = {"a": "set", "n": "n", "label": "label", "close": "close", "is_near": "near", "f": "f", "d": "d", "at": "at"}
     one = matrix.select(F.col("b").alias("group"), "token", "slack", *[F.col(c).alias(f"{name}_1") for c, name in fields.items()])
     two = matrix.where("own = 1").select(F.col("b").alias("group"), "token", *[F.col(c).alias(f"{name}_2") for c, name in fields.items()])
     # At their first common difference, no more can be common than the shorter rest.
     rest = F.least(F.col("d_1") - F.col("at_1"), F.col("d_2") - F.col("at_2"))
     pairs = one.join(two, ["group", "token"]).where(
-        (F.col("label_1") != F.col("label_2")) & (F.col("linked_1") | F.col("linked_2") | (F.col("near_1") & F.col("near_2"))) & (F.col("f_1") + F.col("f_2") - F.col("slack") <= rest + 1e-9)
+        (F.col("label_1") != F.col("label_2")) & (F.col("close_1") | F.col("close_2") | (F.col("near_1") & F.col("near_2"))) & (F.col("f_1") + F.col("f_2") - F.col("slack") <= rest + 1e-9)
         & (F.col("n_1") * percent <= F.col("n_2") * 100) & (F.col("n_2") * percent <= F.col("n_1") * 100)
     )
     pairs = pairs.select(F.least("set_1", "set_2").alias("a"), F.greatest("set_1", "set_2").alias("b")).distinct()

@@ -101,3 +101,26 @@ def test_near_copies_of_one_text_do_not_meet_in_pairs(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     assert sorted(map(tuple, link_documents(df, 3, 90).collect()), key=str) == brute(docs, 3, 90)
     assert compared.value < 20 * len(docs)
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_matrix_of_near_copies_holds_their_own_edits_only(spark, monkeypatch, words, percent):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    docs = []
+    for i in range(400):  # the first, which lead the groups, are far from the text; some of the others link without any edit in common
+        own = list(base)
+        for _ in range(rng.randint(14, 18) if i < 60 else rng.choice((1, 2, 3, 9, 12, 15))):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(100_000)}"
+        docs.append((i, " ".join(own)))
+    cells, plain = spark.sparkContext.accumulator(0), ngram_join.differences
+
+    def counted(batches):
+        for batch in plain(batches):
+            cells.add(len(batch.column("differences").flatten()))
+            yield batch
+
+    monkeypatch.setattr(ngram_join, "differences", counted)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    assert sorted(map(tuple, link_documents(df, words, percent).collect()), key=str) == brute(docs, words, percent)
+    assert cells.value < 250 * len(docs)
