@@ -173,3 +173,23 @@ def test_correlation_equals_pandas(spark):
         got = risk.return_correlation(df, min_bars=5, blocks=blocks, stretch="9 days").collect()
         assert len(got) == 21
         assert all(abs(r["corr"] - want.loc[r.a, r.b]) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("width", ["30 days", None])
+def test_admission_accumulates_only_what_a_phase_can_reach(spark, monkeypatch, width):
+    rng, seen, plain = random.Random(5), [], risk.running
+
+    def counted(df, *args, **kwargs):
+        seen.append(df.count())
+        return plain(df, *args, **kwargs)
+
+    monkeypatch.setattr(risk, "running", counted)
+    rows = [("hot", f"r{i}", T0 + timedelta(days=i), i, D(rng.randrange(1, 100))) for i in range(2000)]
+    requests = spark.createDataFrame(rows, "account string, request_id string, ts timestamp, seq long, amount decimal(38,16)")
+    table = spark.createDataFrame([("hot", D(1000))], "account string, budget decimal(38,16)")
+    left, want = D(1000), {}
+    for _, rid, *_, amount in rows:
+        want[rid] = amount <= left
+        left -= amount if want[rid] else 0
+    assert {r.request_id: r.admitted for r in risk.admit_by_budget(requests, table, width=width).collect()} == want
+    assert sum(seen) < 2 * len(rows)
