@@ -193,3 +193,19 @@ def test_admission_accumulates_only_what_a_phase_can_reach(spark, monkeypatch, w
         left -= amount if want[rid] else 0
     assert {r.request_id: r.admitted for r in risk.admit_by_budget(requests, table, width=width).collect()} == want
     assert sum(seen) < 2 * len(rows)
+
+
+def test_trailing_stop_sorts_ticks_for_its_nodes_once(spark, monkeypatch):
+    reads, plain = [], orders.materialize
+
+    def counted(df):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [instrument"))
+        return plain(df)
+
+    monkeypatch.setattr(orders, "materialize", counted)
+    ticks = [("i", T0 + timedelta(minutes=m), m, float(100 + m)) for m in range(30)] + [("i", T0 + timedelta(minutes=30), 30, 60.0)]
+    market = spark.createDataFrame(ticks, "instrument string, ts timestamp, seq long, last double")
+    entries = spark.createDataFrame([("e", "i", "long", T0, 100.0, T0 + timedelta(hours=2))], "entry_id string, instrument string, direction string, ts timestamp, price double, closed_at timestamp")
+    (got,) = orders.trailing_stop_path(entries, market, 0.3, str(T0 + timedelta(days=1)), width="5 minutes", fanout=3).collect()
+    assert (got.extreme, got.hit_at) == (129.0, T0 + timedelta(minutes=30))
+    assert max(reads) == 1
