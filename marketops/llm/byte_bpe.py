@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketops.llm.common import bounded_batches, steps, utf8
-from marketops.llm.pieces import Memory, PieceCache, worker_memory
+from marketops.llm.pieces import CUT_BYTES, Memory, PieceCache, worker_memory
 
 #: Pairs of tokens whose compatibility is remembered; beyond that the memory is emptied.
 PAIRS = 1_000_000
@@ -150,11 +150,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         cache = PieceCache(name, lambda new: map(encoder.encode, new))
         for batch in batches:
             _, offsets = utf8(batch.column(text))
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, CUT_BYTES):
                 part = batch.slice(i, j - i)
-                coded = cache([t or "" for t in part.column(text).to_pylist()])
-                ends = np.cumsum([0, *map(len, coded)]) // 4
-                yield _with(part, ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32))))
+                coded, ends = cache(part.column(text))
+                yield _with(part, ids, pa.ListArray.from_arrays(pa.array(np.r_[0, ends] // 4, pa.int32()), pa.array(coded.view(np.int32))))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 

@@ -13,40 +13,109 @@ doc_id come first. Other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketops.llm.common import Scratch, documents_of, parallelism, shared_dir, steps, utf8
-from marketops.llm.pieces import Memory, PieceCache, worker_memory
+from marketops.llm.pieces import CUT_BYTES, Memory, PieceCache, worker_memory
 
 NO_ID = -(2**63)
-#: Words whose ids a worker remembers.
-WORDS = 100_000
-#: The split of byte-level tokenizers (fixed value) and the texts on which all engines for patterns agree about it.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-COMMON = regex.compile(r"[\x21-\x7e \n\xa1-\u024f]*")
+#: Pieces and words whose ids a worker remembers, some 200 bytes each and two generations: words are coined throughout, and merging one anew costs more.
+PIECES, WORDS = 400_000, 150_000
+#: The texts that are split here: printable characters up to U+024F, spaces and line feeds. All engines for patterns agree about them.
+LATIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250))]
+LETTERS, DIGITS = ("".join(c for c in LATIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+UNCOMMON = re.compile(r"[^\x21-\x7e \n\xa1-\u024f]")
+#: The split of byte-level tokenizers (fixed value) on such texts.
+PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
 #: The alphabet of byte-level models: printable bytes stand for themselves, the others follow from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-ALPHABET = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+OTHERS = [b for b in range(256) if b not in PRINTABLE]
+ALPHABET = "".join(chr(b if b in PRINTABLE else 256 + OTHERS.index(b)) for b in range(256))
 MANIFEST = "part string, n_docs bigint, n_tokens bigint, low bigint, width int"
 
 
-def splits_like(tokenizer, pattern: str):
-    """The compiled pattern, if the tokenizer is a byte-level model without other steps, else None."""
+def is_byte_level(tokenizer) -> bool:
+    """Whether the tokenizer is a byte-level model without other steps, which splits by the usual pattern."""
     state = json.loads(tokenizer.to_str())
     before = state.get("pre_tokenizer") or {}
-    if state.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and state["model"]["type"] == "BPE":
-        return regex.compile(pattern)
-    return None
+    return state.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and state["model"]["type"] == "BPE"
+
+
+class Coder:
+    """A tokenizer's ids of strings as bytes; made once in a worker, as loading takes longer than a megabyte of text."""
+
+    def __init__(self, path: str, added_as_text: bool, end_id: int = 0):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = added_as_text
+        #: Texts that hold such a string are encoded whole.
+        self.added = [] if added_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        # A byte-level model takes words in its own alphabet.
+        self.model = self.tokenizer.model if is_byte_level(self.tokenizer) else None
+        self.words = Memory(WORDS)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, self.kind).tobytes() for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Single matches of the pattern, by the model alone."""
+        coded = codecs.charmap_decode("\0".join(words).encode(), "strict", ALPHABET)[0].split(ALPHABET[0])
+        tokenize, code = self.model.tokenize, "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, [t.id for t in tokenize(c)]).tobytes() for c in coded]
+
+    def matches(self, found: list[str]) -> list[bytes]:
+        words = list(dict.fromkeys(found))
+        return [*map(dict(zip(words, self.words.all(words, self.merged), strict=True)).__getitem__, found)]
+
+    def pieces(self, new: list[str]) -> list[bytes]:
+        """Strings that stand for themselves."""
+        if not self.model:
+            return self.whole(new)
+        # No match of the pattern goes on from another character to a space: such strings are split in one go. Others, and those of rare characters, are not.
+        bad = UNCOMMON.search("".join(new)) is not None
+        rest = {p for p in new if p[:1] != " " or p[-1].isspace() or (bad and UNCOMMON.search(p))}
+        joined = [p for p in new if p not in rest] if rest else new
+        found = PATTERN.findall("".join(joined))
+        ids = self.matches(found)
+        ends = np.searchsorted(np.cumsum([*map(len, found)]), np.cumsum([*map(len, joined)])) + 1
+        out = [b"".join(ids[i:j]) for i, j in pairwise([0, *ends.tolist()])]
+        if not rest:
+            return out
+        rare = [p for p in rest if bad and UNCOMMON.search(p)]
+        known = dict(zip(joined, out, strict=True)) | dict(zip(rare, self.whole(rare), strict=True))
+        for p in rest - known.keys():
+            known[p] = b"".join(self.matches(PATTERN.findall(p)))
+        return [known[p] for p in new]
+
+    def encode(self, texts: pa.Array, cache: PieceCache, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, each followed by ``end``; where each text's end, in bytes)"""
+        holds = np.zeros(len(texts), bool)
+        for string in self.added:
+            holds |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+        data, ends = cache(pc.if_else(pa.array(holds), "", texts) if holds.any() else texts, end)
+        if not holds.any():
+            return data, ends
+        parts = [data[i:j].tobytes() for i, j in pairwise([0, *ends.tolist()])]
+        held = np.flatnonzero(holds).tolist()
+        for i, ids in zip(held, self.whole([texts[i].as_py() for i in held]), strict=True):
+            parts[i] = ids + end
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([*map(len, parts)])
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder: str | None = None, parts: int | None = None, added_as_text: bool = False) -> DataFrame:
@@ -58,47 +127,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = added_as_text
-        # Texts that hold such a string are encoded whole.
-        added = [] if added_as_text else [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        kind = np.dtype("<u2" if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-
-        words = worker_memory(f"tokens {tokenizer_path} {added_as_text} words", lambda: Memory(WORDS))
-        # A byte-level model takes words in its own alphabet; where its split is this pattern, common scripts are split here.
-        plain_pattern = splits_like(tokenizer, PATTERN)
-
-        model = tokenizer.model
-
-        def word(text: str) -> bytes:
-            known = words.get(text)
-            if known is None:
-                coded = text.encode().decode("latin-1").translate(ALPHABET)
-                known = array("H" if kind.itemsize == 2 else "I", [t.id for t in model.tokenize(coded)]).tobytes()
-                words.put(text, known)
-            return known
-
-        def alone(new: list[str]) -> list[bytes]:
-            return [np.array(found.ids, kind).tobytes() for found in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-
-        def encode(new: list[str]) -> list[bytes]:
-            if not plain_pattern:
-                return alone(new)
-            out = []
-            for p in new:
-                body = p[1:]
-                if body.isalpha() and body.isascii() and (p[0] == " " or p.isalpha()):
-                    out.append(word(p))  # one match of the pattern
-                else:
-                    out.append(b"".join(map(word, plain_pattern.findall(p))) if COMMON.fullmatch(p) else None)
-            rest = [i for i, o in enumerate(out) if o is None]
-            for i, o in zip(rest, alone([new[i] for i in rest]), strict=True):
-                out[i] = o
-            return out
 
-        cache = PieceCache(f"tokens {tokenizer_path} {added_as_text}", encode)
+        name = f"tokens {tokenizer_path} {added_as_text} {end_id >> 16}"
+        coder = worker_memory(f"{name} coder", lambda: Coder(tokenizer_path, added_as_text, end_id))
+        cache, kind = PieceCache(name, coder.pieces, PIECES), coder.kind
         end = np.array([end_id], kind).tobytes()
         files, path = fs.FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
@@ -109,17 +141,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, folder:
         with files.open_output_stream(f"{mine}.ids") as out:
             for batch in batches:
                 _, offsets = utf8(batch.column("text"))
-                for i, j in steps(offsets):
-                    texts = batch.column("text").slice(i, j - i).to_pylist()
-                    whole = [k for k, t in enumerate(texts) if any(a in t for a in added)]
-                    held = set(whole)
-                    coded = cache(["" if k in held else t for k, t in enumerate(texts)])
-                    for k, c in zip(whole, alone([texts[k] for k in whole]), strict=True):
-                        coded[k] = c
-                    for c in coded:
-                        out.write(c)
-                        out.write(end)
-                    sizes.append(np.array([len(c) // kind.itemsize + 1 for c in coded], np.int64))
+                for i, j in steps(offsets, CUT_BYTES):
+                    texts = batch.column("text").slice(i, j - i)
+                    data, ends = coder.encode(texts, cache, end)
+                    out.write(data)
+                    sizes.append(np.diff(ends, prepend=0) // kind.itemsize)
                 ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
         if not ids:
             files.delete_file(f"{mine}.ids")
