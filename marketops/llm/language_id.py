@@ -156,10 +156,12 @@ class Scorer:
         return np.log(alpha) - np.log(BYTE_SCALE) * lattice.size[:, None]
 
     def add(self, units: set[str]) -> None:
-        units = units - self.row.keys()
-        if len(self.row) + len(units) > REMEMBERED:
+        """All these units, at most ``REMEMBERED``, are in the memory afterwards."""
+        new = units - self.row.keys()
+        if len(self.row) + len(new) > REMEMBERED:
             self.row.clear()
-        todo = sorted(units)
+            new = units
+        todo = sorted(new)
         for i in range(0, len(todo), 20_000):
             some = todo[i : i + 20_000]
             at = len(self.row)
@@ -179,12 +181,10 @@ class Scorer:
         """By text the log probabilities of all its units, None without letters."""
         found = [None if not t else list(unit_batches(t)) if len(t) < 100_000 else None for t in texts]
         lists = [f[0] if f else [] for f in found]
-        new = set().union(*lists)
-        if len(self.row) + len(new - self.row.keys()) > REMEMBERED:
-            self.row.clear()
+        units = set().union(*lists)
         out: list[np.ndarray | None] = [None] * len(texts)
-        if len(new) <= REMEMBERED:
-            self.add(new)
+        if len(units) <= REMEMBERED:
+            self.add(units)
             index = np.fromiter(map(self.row.__getitem__, chain.from_iterable(lists)), np.int64)
             edge = np.cumsum([0, *map(len, lists)])
             some = [i for i, x in enumerate(lists) if x]

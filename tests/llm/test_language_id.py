@@ -99,6 +99,21 @@ def test_long_texts_and_a_full_memory(monkeypatch):
         assert got is None if not units else np.allclose(got, scorer.total(units))
 
 
+def test_a_memory_that_turns_within_a_long_text_keeps_its_units(monkeypatch):
+    """A long text that holds remembered units and more new ones than there is room for."""
+    p = np.stack([random_p(1), random_p(2)], 1)
+    model = language_id.Model(["x", "y"], PIECES, p)
+    words = [bin(i)[2:].replace("0", "a").replace("1", "b") for i in range(256, 456)]
+    long = " ".join(words[70:120] * 300)
+    assert len(long) >= 100_000
+    want = model.scorer().total(language_id.UNIT.findall(long))
+    monkeypatch.setattr(language_id, "REMEMBERED", 100)
+    scorer = model.scorer()
+    scorer.totals([" ".join(words[:90])])
+    (got,) = scorer.totals([long])
+    assert np.allclose(got, want) and len(scorer.row) <= 100
+
+
 def test_too_many_labels_are_an_error(spark):
     rows = spark.createDataFrame([(f"l{i}", "abc") for i in range(5)], "lang string, text string")
     try:
