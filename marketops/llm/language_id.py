@@ -138,17 +138,17 @@ class Model:
         self.p = np.where(single[:, None], np.maximum(mixed, FLOOR), mixed)
 
     def scorer(self) -> Scorer:
-        return Scorer(self)
+        return Scorer(self.langs, self.pieces, self.p)
 
 
 class Scorer:
     """Log probabilities of units by language, remembered."""
 
-    def __init__(self, model: Model):
-        self.automaton = automaton_of(model.pieces)
-        self.p = scaled(model.pieces, model.p)
+    def __init__(self, langs: list[str], pieces: list[bytes], p: np.ndarray):
+        self.automaton = automaton_of(pieces)
+        self.p = scaled(pieces, p)
         self.row: dict[str, int] = {}
-        self.table = np.zeros((REMEMBERED, len(model.langs)))
+        self.table = np.zeros((REMEMBERED, len(langs)))
 
     def logs(self, units: list[str]) -> np.ndarray:
         lattice = Lattice(self.automaton, units)
@@ -245,27 +245,28 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
     spark = docs.sparkSession
     bounded_batches(spark)
     kept = [f for f in docs.schema.fields if f.name.lower() not in (lang.lower(), score.lower())]
-    shared = spark.sparkContext.broadcast(model)  # at most pieces x most_languages numbers
+    # At most pieces x most_languages numbers. Broadcasts are pickled by reference: a Model could only be read where the package is installed.
+    key, shared = model.key, spark.sparkContext.broadcast((model.langs, model.pieces, model.p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        langs, pieces, p = shared.value
         memory = worker_memory("language id", dict)
-        if model.langs and model.key not in memory:
+        if langs and key not in memory:
             memory.clear()
-            memory[model.key] = model.scorer()
+            memory[key] = Scorer(langs, pieces, p)
         for batch in batches:
             _, offsets = utf8(batch.column(text))
             for i, j in steps(offsets, 1_000_000):
                 part = batch.slice(i, j - i)
                 names, scores = [], []
-                totals = memory[model.key].totals(part.column(text).to_pylist()) if model.langs else [None] * part.num_rows
+                totals = memory[key].totals(part.column(text).to_pylist()) if langs else [None] * part.num_rows
                 for logs in totals:
                     if logs is None:
                         names.append(UNDECIDED)
                         scores.append(0.0)
                         continue
                     best = int(np.argmax(logs))
-                    names.append(model.langs[best])
+                    names.append(langs[best])
                     scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*[f.name for f in kept], lang, score])
 

@@ -1,10 +1,12 @@
 """Language identification against sums over all segmentations, and held-out accuracy."""
 
 import math
+import pickle
 
 import numpy as np
 import public_tokenizers
 import regex
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from marketops.llm import language_id
@@ -114,6 +116,14 @@ def test_a_memory_that_turns_within_a_long_text_keeps_its_units(monkeypatch):
     assert np.allclose(got, want) and len(scorer.row) <= 100
 
 
+def test_broadcasts_need_no_package_on_the_executors(spark, monkeypatch):
+    sent, plain = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or plain(self, value))
+    model = language_id.Model(["x", "y"], PIECES, np.stack([random_p(1), random_p(2)], 1))
+    assert language_id.predict(spark.createDataFrame([("ab ba",)], "text string"), model).count() == 1
+    assert sent and not any(b"marketops" in pickle.dumps(value) for value in sent)
+
+
 def test_too_many_labels_are_an_error(spark):
     rows = spark.createDataFrame([(f"l{i}", "abc") for i in range(5)], "lang string, text string")
     try:
